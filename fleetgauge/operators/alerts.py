@@ -178,7 +178,7 @@ def alert_notices(
     kind = F.when(F.col("new") > 0, "firing").otherwise("resolved")
     notices = F.concat(
         F.array(F.struct(F.col("at"), kind.alias("kind"))),
-        F.transform(F.coalesce(again, F.array().cast("array<bigint>")), lambda t: F.struct(t.alias("at"), F.lit("repeat").alias("kind"))),
+        F.transform(F.coalesce(again, F.array().cast("array<bigint>")), lambda t: F.named_struct(F.lit("at"), t, F.lit("kind"), F.lit("repeat"))),
     )
     return looks.select(*by, F.explode(notices).alias("x"), "n_active").select(
         *by, F.col("x.at").alias("notify_us"), F.col("x.kind").alias("kind"), "n_active"

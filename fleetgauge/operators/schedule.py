@@ -48,7 +48,7 @@ def weekdays(spec: Column) -> tuple[Column, Column]:
         is_range = F.contains(t, F.lit("-"))
         a = F.when(is_range, _number(t, rf"^{_INT}-{_INT}", 1)).otherwise(_number(t, f"^{_INT}", 1))
         b = F.when(is_range, _number(t, rf"^{_INT}-{_INT}", 2)).otherwise(a)
-        return F.struct(a.alias("a"), b.alias("b"), (day(a) & day(b)).alias("ok"))
+        return F.named_struct(F.lit("a"), a, F.lit("b"), b, F.lit("ok"), day(a) & day(b))
 
     tokens = F.transform(F.filter(F.split(spec, ","), lambda t: t != ""), token)
     days = F.flatten(F.transform(
@@ -142,15 +142,12 @@ def maintenance_status(
     Windows become disjoint pieces per (server, bucket), so a sample meets at most one of them in
     an equi-join; open-ended windows reduce to their earliest start per server.
     """
-    pieces = disjoint_windows(maint, bucket_us).withColumnsRenamed({"a": "_a", "b": "_b", "bucket": "_bucket"})
+    pieces = disjoint_windows(maint, bucket_us).withColumnsRenamed({"instance": "_i", "bucket": "_hour", "a": "_a", "b": "_b"})
     open_from = maint.where("end_us IS NULL AND start_us IS NOT NULL").groupBy("instance").agg(F.min("start_us").alias("_open"))
     rows = samples.withColumn("_bucket", whole_div(F.col(ts), int(bucket_us)))
     rows = rows.join(open_from, "instance", "left")
-    hit = (
-        (rows["instance"] == pieces["instance"]) & (rows["_bucket"] == pieces["_bucket"])
-        & rows[ts].between(pieces["_a"], pieces["_b"])
-    )
-    rows = rows.join(pieces, hit, "left").drop(pieces["instance"]).drop(pieces["_bucket"])
+    hit = (F.col("instance") == F.col("_i")) & (F.col("_bucket") == F.col("_hour")) & F.col(ts).between(F.col("_a"), F.col("_b"))
+    rows = rows.join(pieces, hit, "left")
     inside = F.col("_a").isNotNull() | (F.col(ts) >= F.col("_open"))
     status = F.when(inside, MAINT_WINDOW).otherwise(MAINT_NONE)
     if manual is not None:
