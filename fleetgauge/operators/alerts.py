@@ -128,71 +128,110 @@ def alert_notices(
     notice when an alert is new, else a ``resolved`` one when an alert has gone, else a
     ``repeat`` when the last notice is ``repeat_us`` old.
     """
-    by = list(by)
+    waits = (int(wait_us), int(interval_us), int(repeat_us))
+    placed = place_alerts(_intervals(alerts, by), until_us, list(by), waits)
+    return notices(placed, until_us, list(by), waits)
+
+
+def _intervals(alerts: DataFrame, by) -> DataFrame:
+    """Equal intervals of a group act alike: one row with their number."""
     end = F.coalesce("ends_us", F.lit(FOREVER))
     rows = alerts.where(end > F.col("starts_us")).select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], F.col("starts_us").alias("s"), end.alias("e")
     )
-    # Equal intervals act alike; then stretches without a gap.
-    rows = rows.groupBy(*by, "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by, "s", "e").agg(F.count(F.lit(1)).alias("n"))
+
+
+def place_alerts(rows: DataFrame, until_us: int, by: list[str], waits, state: DataFrame | None = None) -> DataFrame:
+    """Add to each interval when its group opened, and the looks that first see it and find it gone.
+
+    ``state`` (by, opened) holds the groups that were open before these rows.
+    """
+    wait, interval, _ = waits
+    # Stretches: intervals that follow each other without a gap.
     rows = ordered_scan(rows, by, ["s", "e"], [max_before(F.col("e"), "_before")])
     fresh = F.col("_before").isNull() | (F.col("s") > F.col("_before"))
     rows = ordered_scan(rows, by, ["s", "e"], [last_seen(F.when(fresh, F.col("s")), "stretch")])
     stretches = rows.groupBy(*by, "stretch").agg(F.max("e").alias("over"))
 
-    # Stretches further apart than a look are independent; the others may share one group.
-    gap = max(int(wait_us), int(interval_us))
+    # Stretches further apart than a look are independent; nearer ones may share one group.
+    gap = max(wait, interval)
     series = Window.partitionBy(*by).orderBy("stretch")
     apart = F.coalesce(F.col("stretch") - F.lag("over").over(series) > gap, F.lit(True))
     blocks = stretches.withColumn("_apart", apart).withColumn(
         "block", F.max(F.when(F.col("_apart"), F.col("stretch"))).over(series)
     ).drop("_apart")
+    if state is None:
+        blocks = blocks.withColumn("opened", F.lit(None).cast("bigint"))
+    else:
+        first = F.col("block") == F.min("block").over(Window.partitionBy(*by))
+        blocks = blocks.join(state.select(*by, "opened"), by, "left").withColumn("opened", F.when(first, F.col("opened")))
     opened = blocks.groupBy(*by, "block").applyInPandas(
-        _opened(wait_us, interval_us), ", ".join(f"{c} string" for c in by) + ", stretch long, opened long"
+        _opened(wait, interval), ", ".join(f"{c} string" for c in by) + ", stretch long, opened long"
     )
+    rows = rows.join(opened, [*by, "stretch"])
 
     def look(at):
-        late = at - F.col("opened") - F.lit(int(wait_us))
-        return F.col("opened") + F.lit(int(wait_us)) + F.greatest(ceil_to(late, int(interval_us)), F.lit(0))
-
-    rows = rows.join(opened, [*by, "stretch"]).withColumn("seen", look(F.col("s"))).where("seen < e")
-    rows = rows.withColumn("gone", F.when(F.col("e") <= until_us, look(F.col("e"))))
-    marks = rows.select(*by, "opened", F.explode(F.array(
-        F.struct(F.col("seen").alias("at"), F.col("n").alias("new"), F.lit(0).cast("bigint").alias("old")),
-        F.struct(F.col("gone").alias("at"), F.lit(0).cast("bigint").alias("new"), F.col("n").alias("old")),
+        return F.col("opened") + F.lit(wait) + F.greatest(ceil_to(at - F.col("opened") - F.lit(wait), interval), F.lit(0))
+
+    return rows.select(
+        *by, "s", "e", "n", "opened", look(F.col("s")).alias("seen"),
+        F.when(F.col("e") <= until_us, look(F.col("e"))).alias("gone"),
+    )
+
+
+def changes(placed: DataFrame, until_us: int, by: list[str]) -> DataFrame:
+    """Per look at which something changed: alerts newly seen, alerts gone, alerts active."""
+    none = F.lit(0).cast("bigint")
+    marks = placed.where("seen < e").select(*by, "opened", F.explode(F.array(
+        F.struct(F.col("seen").alias("at"), F.col("n").alias("new"), none.alias("old")),
+        F.struct(F.col("gone").alias("at"), none.alias("new"), F.col("n").alias("old")),
     )).alias("m"))
-    looks = (
+    return (
         marks.where(F.col("m.at") <= until_us)
         .groupBy(*by, "opened", F.col("m.at").alias("at"))
         .agg(F.sum("m.new").alias("new"), F.sum("m.old").alias("old"))
     )
+
+
+def notices(placed: DataFrame, until_us: int, by: list[str], waits, after_us: int = -1, state: DataFrame | None = None) -> DataFrame:
+    """Notices in ``(after, until]``. ``state`` also tells each open group's last change (``changed``)."""
+    _, interval, repeat = waits
+    looks = changes(placed, until_us, by)
+    if state is not None:
+        zero = F.lit(0).cast("bigint")
+        known = state.select(*by, "opened", F.col("changed").alias("at"), zero.alias("new"), zero.alias("old"))
+        looks = looks.unionByName(known).groupBy(*by, "opened", "at").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
     order = Window.partitionBy(*by, "opened").orderBy("at")
     looks = looks.withColumns({
         "n_active": F.sum(F.col("new") - F.col("old")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "next": F.lead("at").over(order),
     })
-    every = -(-int(repeat_us) // int(interval_us)) * int(interval_us)
+    every = -(-repeat // interval) * interval
     stop = F.coalesce(F.col("next") - 1, F.lit(int(until_us)))
     first = F.col("at") + F.lit(every)
     again = F.when((F.col("n_active") > 0) & (first <= stop), F.sequence(first, stop, F.lit(every)))
     kind = F.when(F.col("new") > 0, "firing").otherwise("resolved")
-    notices = F.concat(
+    said = F.concat(
         F.array(F.struct(F.col("at"), kind.alias("kind"))),
         F.transform(F.coalesce(again, F.array().cast("array<bigint>")), lambda t: F.named_struct(F.lit("at"), t, F.lit("kind"), F.lit("repeat"))),
     )
-    return looks.select(*by, F.explode(notices).alias("x"), "n_active").select(
-        *by, F.col("x.at").alias("notify_us"), F.col("x.kind").alias("kind"), "n_active"
-    )
+    out = looks.select(*by, F.explode(said).alias("x"), "n_active").where(F.col("x.at") > F.lit(int(after_us)))
+    return out.select(*by, F.col("x.at").alias("notify_us"), F.col("x.kind").alias("kind"), "n_active")
 
 
 def _opened(wait_us: int, interval_us: int):
-    """Which group opening each stretch of activity belongs to (stretches are disjoint in time)."""
+    """Which group opening each stretch of activity belongs to.
+
+    Stretches are disjoint in time, so their number is bounded by the time span, not by the alerts.
+    """
     import pandas as pd
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("stretch")
-        opened, closes, out = None, -1, []
-        for start, over in zip(rows["stretch"], rows["over"]):
+        known = rows["opened"].iloc[0]
+        opened, closes, out = (None, -1, []) if pd.isna(known) else (int(known), FOREVER, [])
+        for start, over in zip(rows["stretch"].tolist(), rows["over"].tolist()):
             if opened is None or start > closes:
                 opened = start
             looks = max(0, -(-(over - opened - wait_us) // interval_us))

@@ -21,7 +21,7 @@ from fleetgauge.functions.text import whole_div
 def _answers(interval: int, width: int):
     """Per chunk: due time after the chunk for each range of due times before it."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t = np.unique(rows["ts"].to_numpy())
         follow = np.searchsorted(t, t + interval)
         after = t + interval
@@ -41,7 +41,7 @@ def _answers(interval: int, width: int):
     return run
 
 
-def _dues(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _dues(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Fold the answers of one series: the due time each chunk starts with, and ends with."""
     rows = rows.sort_values(["chunk", "upto"])
     due, out = np.iinfo(np.int64).min, []

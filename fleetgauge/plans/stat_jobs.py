@@ -251,9 +251,9 @@ def flt_label_regex(spark, sf):
     return fl.label_regex(_samples(spark, sf), "op", "c.*|sign").select("event_id", "op", "value")
 
 
-@job("flt_value_threshold", "SELECT event_id, instance, value FROM gauges WHERE value > 100", "gauges")
+@job("flt_value_threshold", "SELECT event_id, instance, value FROM gauges WHERE value > 100000", "gauges")
 def flt_value_threshold(spark, sf):
-    return fl.value_threshold(v.gauges(spark, sf), ">", 100).select("event_id", "instance", "value")
+    return fl.value_threshold(v.gauges(spark, sf), ">", 100_000).select("event_id", "instance", "value")
 
 
 @job("flt_time_range", f"SELECT event_id, ts_us, value FROM gauges WHERE ts_us BETWEEN {v.AT_US - 24 * HOUR} AND {v.AT_US}", "gauges")

@@ -42,7 +42,17 @@ def milli():
 
 
 def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").withColumns({"ts_us": epoch_us("ts"), "instance": server()})
+    return timed(table(spark, sf, "events"))
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"ts_us": epoch_us("ts"), "instance": server()})
+
+
+def event_stream(spark, sf) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf, "events").schema
+    return timed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
 def counters(spark, sf) -> DataFrame:
@@ -88,7 +98,11 @@ def cycle(by: str, values: list) -> F.Column:
 
 def stats(spark, sf) -> DataFrame:
     """Typed statistics; facility is NULL on some rows."""
-    return events(spark, sf).select(
+    return as_stats(events(spark, sf))
+
+
+def as_stats(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "event_id", "ts_us", F.expr("ts_us div 86400000000").alias("snapshot"), "instance",
         F.when(F.col("event_id") % 97 != 0, F.concat(F.lit("Brand#"), F.expr("user_id % 25 + 1"))).alias("facility"),
         cycle("event_id", STAT_NAMES).alias("stat"),
@@ -239,7 +253,11 @@ def targets(spark, sf) -> DataFrame:
 
 def evals(spark, sf) -> DataFrame:
     """Rule evaluations of the down rule: true where the target did not answer."""
-    return up(spark, sf).select("event_id", "instance", "ts_us", (F.col("value") == 0).alias("active"))
+    return as_evals(events(spark, sf))
+
+
+def as_evals(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "instance", "ts_us", (F.col("event_type") == "error").alias("active"))
 
 
 def alerts(spark, sf) -> DataFrame:

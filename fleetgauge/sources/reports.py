@@ -16,7 +16,7 @@ _ROW = r"(?s)^(.*?)  " + _NUMBER + " " + " ".join([_NUMBER] * 4)
 def read_captures(spark: SparkSession, path: str, instance_part: str, day_part: str) -> DataFrame:
     """One row per report file: instance and day from the path, whole text."""
     file = F.col("_metadata.file_path")
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.regexp_extract(file, instance_part, 1).alias("instance"), F.regexp_extract(file, day_part, 1).alias("d"),
         F.col("value").alias("text"),
     )
