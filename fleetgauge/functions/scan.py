@@ -1,9 +1,9 @@
 """Ordered scans (previous row, running sum, last value, running maximum) that survive hot keys.
 
 A plain window over one series puts the whole series into one task. Here every key is cut
-into time chunks: the window runs inside (key, chunk), each chunk is reduced to one row by a
-partial aggregate, the window over a key only sees those chunk rows, and the carry is joined
-back on (key, chunk). Results are exactly those of the plain window.
+into time chunks: the window runs inside (key, chunk), the last row of a chunk tells what it hands on,
+the window over a key only sees those chunk rows, and the carry is joined back on (key, chunk).
+Results are exactly those of the plain window.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from fleetgauge.constants import HOUR
 @dataclass(frozen=True)
 class Scan:
     kind: str  # lag | sum | last | max | max_before
-    value: Column
+    value: Column | str  # a column name where it can be: it is then not carried twice
     alias: str
 
 
@@ -48,62 +48,60 @@ def max_before(value, alias):
     return Scan("max_before", value, alias)
 
 
-def ordered_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    scans: list[Scan],
-    chunk_us: int = HOUR,
-) -> DataFrame:
-    """Add one column per scan. ``order[0]`` is an integer that is also cut into chunks; keys are not NULL."""
-    values = {f"_v{i}": s.value for i, s in enumerate(scans)}
-    base = df.withColumns(values).withColumn("_chunk", F.expr(f"`{order[0]}` div {int(chunk_us)}"))
-    group = [*keys, "_chunk"]
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *phases: list[Scan], chunk_us: int = HOUR) -> DataFrame:
+    """Add one column per scan; a later phase may use the columns of an earlier one.
+
+    ``order[0]`` is an integer that is also cut into chunks; keys are not NULL. Both sides of the
+    carry join start from the same window, so Spark reuses its shuffle instead of reading the
+    source again, most of all when ``df`` holds only keys, order and scanned columns.
+    """
+    rows = df.withColumn("_chunk", F.expr(f"`{order[0]}` div {int(chunk_us)}"))
+    for c in [*keys, "_chunk"]:
+        rows = rows.where(F.col(c).isNotNull())  # stated here so that both sides of the join read alike
+    for scans in phases:
+        rows = _phase(rows, [*keys, "_chunk"], list(keys), order, scans)
+    return rows.drop("_chunk")
+
+
+def _phase(df: DataFrame, group: list[str], keys: list[str], order: list[str], scans: list[Scan]) -> DataFrame:
     inner = Window.partitionBy(*group).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    previous = Window.partitionBy(*keys).orderBy("_chunk")
-    at = F.struct(*order)
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
 
-    local, total, carry = {}, [], {}
+    # _l: the scan inside the chunk; _t: its value after the chunk's last row; _c: carry into the chunk.
+    local, total, carry, out = {}, {}, {}, {}
     for i, s in enumerate(scans):
-        v, t, c, o = F.col(f"_v{i}"), f"_t{i}", f"_c{i}", f"_l{i}"
+        v = F.col(s.value if isinstance(s.value, str) else f"_v{i}")
+        here, past, t = F.col(f"_l{i}"), F.col(f"_c{i}"), f"_t{i}"
         if s.kind == "lag":
-            local[o] = F.lag(v).over(inner)
-            total.append(F.max_by(v, at).alias(t))
-            carry[c] = F.lag(t).over(previous)
+            local[f"_l{i}"], total[t], carry[f"_c{i}"] = F.lag(v).over(inner), v, F.lag(t).over(chunks)
+            out[s.alias] = F.when(F.col("_head"), past).otherwise(here)
         elif s.kind == "sum":
-            local[o] = F.sum(v).over(upto)
-            total.append(F.sum(v).alias(t))
-            carry[c] = F.sum(t).over(before)
+            local[f"_l{i}"], total[t], carry[f"_c{i}"] = F.sum(v).over(upto), here, F.sum(t).over(before)
+            out[s.alias] = F.coalesce(past, F.lit(0)) + F.coalesce(here, F.lit(0))
         elif s.kind == "last":
-            local[o] = F.last(v, ignorenulls=True).over(upto)
-            total.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(t))
-            carry[c] = F.last(t, ignorenulls=True).over(before)
-        elif s.kind in ("max", "max_before"):
-            local[o] = F.max(v).over(upto if s.kind == "max" else inner.rowsBetween(Window.unboundedPreceding, -1))
-            total.append(F.max(v).alias(t))
-            carry[c] = F.max(t).over(before)
+            local[f"_l{i}"], total[t] = F.last(v, ignorenulls=True).over(upto), here
+            carry[f"_c{i}"] = F.last(t, ignorenulls=True).over(before)
+            out[s.alias] = F.coalesce(here, past)
+        elif s.kind == "max":
+            local[f"_l{i}"], total[t], carry[f"_c{i}"] = F.max(v).over(upto), here, F.max(t).over(before)
+            out[s.alias] = F.greatest(here, past)
+        elif s.kind == "max_before":
+            local[f"_l{i}"], total[t], carry[f"_c{i}"] = F.max(v).over(earlier), F.greatest(here, v), F.max(t).over(before)
+            out[s.alias] = F.greatest(here, past)
         else:
             raise ValueError(s.kind)
+    local["_tail"] = F.lead(F.lit(True)).over(inner).isNull()
     if any(s.kind == "lag" for s in scans):
-        local["_first"] = F.row_number().over(inner) == 1
+        local["_head"] = F.lag(F.lit(True)).over(inner).isNull()
 
-    inside = base.withColumns(local)
-    carried = base.groupBy(*group).agg(*total).withColumns(carry).select(*group, *carry)
+    values = {f"_v{i}": s.value for i, s in enumerate(scans) if not isinstance(s.value, str)}
+    inside = (df.withColumns(values) if values else df).withColumns(local)
+    tails = inside.where("_tail").select(*group, *[e.alias(t) for t, e in total.items()])
+    carried = tails.withColumns(carry).select(*group, *carry)
     joined = inside.join(carried, group)
-
-    out = {}
-    for i, s in enumerate(scans):
-        here, past = F.col(f"_l{i}"), F.col(f"_c{i}")
-        if s.kind == "lag":
-            out[s.alias] = F.when(F.col("_first"), past).otherwise(here)
-        elif s.kind == "sum":
-            out[s.alias] = F.coalesce(past, F.lit(0)) + F.coalesce(here, F.lit(0))
-        elif s.kind == "last":
-            out[s.alias] = F.coalesce(here, past)
-        else:
-            out[s.alias] = F.greatest(here, past)
     return joined.select(*[c for c in df.columns if c not in out], *[e.alias(a) for a, e in out.items()])
 
 

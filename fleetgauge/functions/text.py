@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_OTHER_ASCII = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_REPLACED = "".join("C" if c == "/" else "_" for c in _OTHER_ASCII)
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -29,8 +31,14 @@ def whole_div(number: Column, by: int) -> Column:
 
 
 def sanitized(name: Column) -> Column:
-    """Letters and digits stay, a slash becomes C, everything else an underscore."""
-    return F.regexp_replace(F.translate(name, "/", "C"), "[^A-Za-z0-9]", "_")
+    """Letters and digits stay, a slash becomes C, everything else an underscore.
+
+    Plain ASCII names, nearly all of them, go through a character table; only others need the pattern.
+    """
+    plain = F.octet_length(name) == F.char_length(name)
+    return F.when(plain, F.translate(name, _OTHER_ASCII, _REPLACED)).otherwise(
+        F.regexp_replace(F.translate(name, "/", "C"), "[^A-Za-z0-9]", "_")
+    )
 
 
 def prefixed(prefix: str | None, name: Column) -> Column:
@@ -47,6 +55,14 @@ def help_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f]", ""), " +", " "))
 
 
+def matched_number(text: Column, pattern: str, group: int, kind: str = "bigint") -> Column:
+    """The number a pattern finds; NULL where it finds none or it is too large.
+
+    The empty string of a missed match is taken out first: a failing cast is far slower than NULL.
+    """
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast(kind)
+
+
 def first_token(text: Column) -> Column:
     return F.substring_index(text, " ", 1)
 
@@ -106,6 +122,15 @@ def label_text(labels: Column) -> Column:
     return F.when(F.size(labels) > 0, F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))).otherwise(F.lit(""))
 
 
+def static_series_key(name: Column, labels: dict[str, Column]) -> Column:
+    """``series_key`` for label names known beforehand; NULL values are left out."""
+    pairs = [
+        F.when(v.isNotNull(), F.concat(F.lit(f'{k}="'), escaped(v), F.lit('"'))) for k, v in sorted(labels.items())
+    ]
+    text = F.concat_ws(", ", *pairs)
+    return F.concat(name, F.when(text != "", F.concat(F.lit("{"), text, F.lit("}"))).otherwise(F.lit("")))
+
+
 def series_key(name: Column, labels: Column) -> Column:
     """Name plus sorted label pairs: the identity of a series."""
     return F.concat(name, label_text(labels))

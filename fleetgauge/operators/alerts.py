@@ -21,13 +21,14 @@ def alert_episodes(evals: DataFrame, for_us: int, keep_us: int = 0, keys=("insta
     evaluation before then continues the same alert.
     """
     keys, order = list(keys), [ts, tie]
-    rows = ordered_scan(evals.select(*keys, *order, "active"), keys, order, [lag(F.col("active"), "_was")])
     was = F.coalesce("_was", F.lit(False))
     marks = [
         last_seen(F.when(F.col("active") & ~was, F.struct(*order)), "_episode"),
         last_seen(F.when(~F.col("active") & was, F.col(ts)), "_fell"),
     ]
-    rows = ordered_scan(rows, keys, order, marks if keep_us else marks[:1]).where("_episode IS NOT NULL")
+    rows = ordered_scan(
+        evals.select(*keys, *order, "active"), keys, order, [lag("active", "_was")], marks if keep_us else marks[:1]
+    ).where("_episode IS NOT NULL")
     held = F.col("active") & (F.col(ts) >= F.col(f"_episode.{ts}") + F.lit(int(for_us)))
     ends = [F.min(F.when(~F.col("active"), F.col(ts))).alias("resolved_at")]
     if keep_us:
@@ -43,9 +44,8 @@ def _continued(episodes: DataFrame, keys: list[str]) -> DataFrame:
     """Join a firing episode with those that follow before its keep time has run out."""
     order = ["active_at"]
     chain = episodes.withColumn("_open", F.col("_kept").isNull())
-    chain = ordered_scan(chain, keys, order, [lag(F.col("_open"), "_prev_open")])
     cut = F.when(F.coalesce("_prev_open", F.lit(False)), 0).otherwise(1)
-    chain = ordered_scan(chain, keys, order, [running_sum(cut, "_chain")])
+    chain = ordered_scan(chain, keys, order, [lag(F.col("_open"), "_prev_open")], [running_sum(cut, "_chain")])
     fired = F.when(F.col("fires_at").isNotNull(), 1).otherwise(0)
     chain = ordered_scan(chain, [*keys, "_chain"], order, [running_max(fired, "_firing")])
     one = F.when(F.col("_firing") == 1, F.lit(-1)).otherwise(F.col("active_at"))
@@ -78,7 +78,7 @@ def alert_inhibit(alerts: DataFrame, source="critical", target="warning", equal=
     )
     keyed = rows.withColumns({f"_k{i}": F.coalesce(F.col(k), F.lit("")) for i, k in enumerate(equal)})
     keys = [f"_k{i}" for i in range(len(equal))]
-    seen = ordered_scan(keyed, keys, ["_at", "_rank"], [running_max(F.col("_end"), "_until")])
+    seen = ordered_scan(keyed, keys, ["_at", "_rank"], [running_max("_end", "_until")])
     kept = seen.where(is_source | F.col("_until").isNull() | (F.col("_until") <= F.col("starts_us")))
     others = alerts.where(~(is_source | is_target) | F.col("severity").isNull())
     return kept.select(*alerts.columns).unionByName(others)
@@ -149,9 +149,10 @@ def place_alerts(rows: DataFrame, until_us: int, by: list[str], waits, state: Da
     """
     wait, interval, _ = waits
     # Stretches: intervals that follow each other without a gap.
-    rows = ordered_scan(rows, by, ["s", "e"], [max_before(F.col("e"), "_before")])
     fresh = F.col("_before").isNull() | (F.col("s") > F.col("_before"))
-    rows = ordered_scan(rows, by, ["s", "e"], [last_seen(F.when(fresh, F.col("s")), "stretch")])
+    rows = ordered_scan(
+        rows, by, ["s", "e"], [max_before("e", "_before")], [last_seen(F.when(fresh, F.col("s")), "stretch")]
+    )
     stretches = rows.groupBy(*by, "stretch").agg(F.max("e").alias("over"))
 
     # Stretches further apart than a look are independent; nearer ones may share one group.

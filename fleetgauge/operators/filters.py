@@ -60,10 +60,10 @@ def verdicts(stats: DataFrame, value="value_milli") -> DataFrame:
 def conditional_emit(rows: DataFrame, rules: dict[str, tuple[Column, Column]], ids) -> DataFrame:
     """One output row per metric whose guard holds: ``rules`` maps a metric to (guard, value)."""
     candidates = F.array(*[
-        F.struct(F.lit(m).alias("metric"), guard.alias("guard"), value.cast("bigint").alias("value"))
+        F.when(guard, F.struct(F.lit(m).alias("metric"), value.cast("bigint").alias("value")))
         for m, (guard, value) in rules.items()
     ])
-    out = rows.select(*ids, F.explode(F.filter(candidates, lambda c: c["guard"])).alias("c"))
+    out = rows.select(*ids, F.explode(F.array_compact(candidates)).alias("c"))
     return out.select(*ids, "c.metric", "c.value")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.constants import (
     SECOND, STATE_AVAILABLE, STATE_BUSY, STATE_RESTRICTED, STATE_UNREACHABLE,
 )
-from fleetgauge.functions.text import sanitized, whole_div
+from fleetgauge.functions.text import matched_number, sanitized, whole_div
 from fleetgauge.operators.filters import conditional_emit
 
 
@@ -60,7 +60,7 @@ def extent_listing(files: DataFrame, suffix: str = ".TXN") -> DataFrame:
 
 def extent_number(name: Column) -> Column:
     """Number of ``S<digits>[.suffix]``; other names give NULL."""
-    return F.regexp_extract(name, r"^S([0-9]+)([.].*)?$", 1).try_cast("bigint")
+    return matched_number(name, r"^S([0-9]+)([.].*)?$", 1)
 
 
 def extent_summary(files: DataFrame, suffix: str = ".TXN") -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.scan import positioned
 from fleetgauge.constants import SECOND
-from fleetgauge.functions.text import series_key, whole_div
+from fleetgauge.functions.text import static_series_key, whole_div
 
 
 def labelled(rows: DataFrame, name: str, labels: list[str]) -> DataFrame:
     """Add ``name``, the ``labels`` map of the given columns and the ``series_key``."""
     pairs = F.create_map(*[x for c in labels for x in (F.lit(c), F.col(c))])
     out = rows.withColumns({"name": F.lit(name), "labels": F.map_filter(pairs, lambda _, v: v.isNotNull())})
-    return out.withColumn("series_key", series_key(F.col("name"), F.col("labels")))
+    return out.withColumn("series_key", static_series_key(F.col("name"), {c: F.col(c) for c in labels}))
 
 
 def target_labels(samples: DataFrame, targets: DataFrame) -> DataFrame:

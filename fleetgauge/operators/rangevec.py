@@ -136,7 +136,7 @@ def counter_resets(samples, value="count_total", keys=KEYS, ts="ts_us", tie="eve
     """One row per reset: the value before and after."""
     rows = samples.select(*keys, ts, tie, F.col(value).alias("after"))
     return (
-        ordered_scan(rows, list(keys), [ts, tie], [lag(F.col("after"), "before")])
+        ordered_scan(rows, list(keys), [ts, tie], [lag("after", "before")])
         .where("after < before")
         .select(*keys, ts, "before", "after")
     )

@@ -9,7 +9,7 @@ from fleetgauge.constants import (
     DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, HOUR, MAINT_MANUAL, MAINT_NONE, MAINT_WINDOW, SECOND,
 )
 from fleetgauge.functions.scan import last_seen, ordered_scan, running_max
-from fleetgauge.functions.text import duration_text, epoch_us, whole_div
+from fleetgauge.functions.text import duration_text, epoch_us, matched_number, whole_div
 
 # --- business calendar -------------------------------------------------------------------
 
@@ -20,7 +20,7 @@ _H = rf"^{_INT}-{_INT}"
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    return matched_number(text, pattern, group, "int")
 
 
 def hours_seconds(spec: Column) -> tuple[Column, Column, Column]:
@@ -40,41 +40,46 @@ def hours_seconds(spec: Column) -> tuple[Column, Column, Column]:
     return start, end, hms | hm | h
 
 
-def weekdays(spec: Column) -> tuple[Column, Column]:
-    """``1-5,0`` as (array of weekdays, valid). Ranges wrap; bad tokens are left out and reported."""
+def weekdays(spec: Column) -> Column:
+    """``1-5,0`` as one array of weekdays per token. Ranges wrap; a bad token is NULL."""
     day = lambda c: c.isNotNull() & c.between(0, 6)
 
-    def token(t):
-        is_range = F.contains(t, F.lit("-"))
-        a = F.when(is_range, _number(t, rf"^{_INT}-{_INT}", 1)).otherwise(_number(t, f"^{_INT}", 1))
-        b = F.when(is_range, _number(t, rf"^{_INT}-{_INT}", 2)).otherwise(a)
-        return F.named_struct(F.lit("a"), a, F.lit("b"), b, F.lit("ok"), day(a) & day(b))
+    def numbers(t):
+        second = F.when(F.contains(t, F.lit("-")), _number(t, rf"^{_INT}-{_INT}", 2)).otherwise(_number(t, f"^{_INT}", 1))
+        return F.named_struct(F.lit("a"), _number(t, f"^{_INT}", 1), F.lit("b"), second)
 
-    tokens = F.transform(F.filter(F.split(spec, ","), lambda t: t != ""), token)
-    days = F.flatten(F.transform(
-        F.filter(tokens, lambda t: t["ok"]),
-        lambda t: F.transform(F.sequence(t["a"], t["a"] + F.pmod(t["b"] - t["a"], F.lit(7))), lambda d: d % 7),
-    ))
-    return days, F.forall(tokens, lambda t: t["ok"])
+    def span(t):
+        ahead = F.pmod(t["b"] - t["a"], F.lit(7))
+        return F.when(day(t["a"]) & day(t["b"]), F.transform(F.sequence(t["a"], t["a"] + ahead), lambda d: d % 7))
+
+    tokens = F.transform(F.filter(F.split(spec, ","), lambda t: t != ""), numbers)
+    return F.transform(tokens, span)
 
 
 def calendar_from_spec(config: DataFrame, overrides: DataFrame) -> DataFrame:
     """Seven rows per server with the calendar switched on (a day spec, or ``calendar_on``)."""
-    days, days_ok = weekdays(F.coalesce("days", F.lit(DEFAULT_BUSINESS_DAYS)))
     rows = config.where(F.col("days").isNotNull() | F.col("calendar_on")).select(
-        "instance", F.coalesce("hours", F.lit(DEFAULT_BUSINESS_HOURS)).alias("hours"),
-        days.alias("_days"), days_ok.alias("_days_ok"),
-        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"),
+        "instance", _hours(F.coalesce("hours", F.lit(DEFAULT_BUSINESS_HOURS))).alias("_usual"),
+        weekdays(F.coalesce("days", F.lit(DEFAULT_BUSINESS_DAYS))).alias("_tokens"),
+    )
+    rows = rows.select(
+        "instance", "_usual", F.flatten(F.array_compact("_tokens")).alias("_days"),
+        F.forall("_tokens", lambda t: t.isNotNull()).alias("_days_ok"),
     )
-    special = overrides.select("instance", "weekday", F.col("hours").alias("_special"))
-    rows = rows.join(special, ["instance", "weekday"], "left")
-    start, end, hours_ok = hours_seconds(F.coalesce("_special", "hours"))
+    rows = rows.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    special = overrides.select("instance", "weekday", _hours(F.col("hours")).alias("_special"))
+    rows = rows.join(special, ["instance", "weekday"], "left").withColumn("_h", F.coalesce("_special", "_usual"))
     return rows.select(
         "instance", "weekday", F.array_contains("_days", F.col("weekday")).alias("is_business_day"),
-        start.alias("start_s"), end.alias("end_s"), (F.col("_days_ok") & hours_ok).alias("valid"),
+        F.col("_h.a").alias("start_s"), F.col("_h.b").alias("end_s"), (F.col("_days_ok") & F.col("_h.ok")).alias("valid"),
     )
 
 
+def _hours(spec: Column) -> Column:
+    start, end, ok = hours_seconds(spec)
+    return F.when(spec.isNotNull(), F.named_struct(F.lit("a"), start, F.lit("b"), end, F.lit("ok"), ok))
+
+
 def business_time(samples: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFrame:
     """Add ``business_day`` and ``business_hours`` (0/1); servers without a calendar are always in.
 
@@ -167,8 +172,8 @@ def maintenance_commands(commands: DataFrame) -> DataFrame:
     stamp = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?$"
 
     def minutes(prefix):
-        text = F.regexp_extract(F.substring(cmd, len(prefix) + 1, 1_000_000), r"^\s*([+-]?\d+)", 1)
-        return F.coalesce(text.try_cast("bigint"), F.lit(0))
+        rest = F.substring(cmd, len(prefix) + 1, 1_000_000)
+        return F.coalesce(matched_number(rest, r"^\s*([+-]?\d+)", 1), F.lit(0))
 
     def moment(prefix):
         text = F.substring(cmd, len(prefix) + 1, 1_000_000)

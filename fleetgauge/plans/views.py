@@ -60,7 +60,7 @@ def counters(spark, sf) -> DataFrame:
         "event_id", F.lit(JOB).alias("job"), "instance", F.col("event_type").alias("op"), "ts_us",
         F.to_date("ts").alias("day"), milli().alias("m"),
     )
-    scans = [running_sum(F.lit(1).cast("bigint"), "count_total"), running_sum(F.col("m"), "ms_total")]
+    scans = [running_sum(F.lit(1).cast("bigint"), "count_total"), running_sum("m", "ms_total")]
     return ordered_scan(rows, ["instance", "op", "day"], ["ts_us", "event_id"], scans).drop("day", "m")
 
 

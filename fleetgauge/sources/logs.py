@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import epoch_us, series_key
+from fleetgauge.functions.text import static_series_key
 
 # The fields taken from a log line; others are dropped.
 FIELDS = "time STRING, status INT, method STRING, uri STRING, request_time DECIMAL(12,3)"
@@ -26,15 +26,8 @@ def parse_access_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def log_times(logs: DataFrame, time: str = "time") -> DataFrame:
     """RFC 3339 text to microseconds (``ts_us``), whatever the session zone."""
-    zone = F.regexp_extract(time, r"(Z|z|[+-]\d{2}:\d{2})$", 1)
-    wall = F.expr(f"try_cast(regexp_replace({time}, '(Z|z|[+-][0-9]{{2}}:[0-9]{{2}})$', '') AS TIMESTAMP_NTZ)")
-    minutes = F.when(
-        F.length(zone) == 6,
-        (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
-        * F.when(zone.startswith("-"), -1).otherwise(1),
-    ).otherwise(0)
-    rows = logs.withColumn("_wall", F.when(zone != "", wall))
-    return rows.withColumn("ts_us", epoch_us("_wall") - minutes.cast("bigint") * 60_000_000).drop("_wall")
+    zoned = F.col(time).rlike(r"\d([Zz]|[+-]\d{2}:\d{2})$")  # the text names its own zone
+    return logs.withColumn("ts_us", F.when(zoned, F.unix_micros(F.upper(time).try_cast("timestamp"))))
 
 
 def json_fields(lines: DataFrame) -> DataFrame:
@@ -45,12 +38,10 @@ def json_fields(lines: DataFrame) -> DataFrame:
 
 def promote_labels(logs: DataFrame, job: str, namespace: str, pod: str) -> DataFrame:
     """Method and status become labels beside the static job, namespace and pod."""
-    labels = F.create_map(
-        F.lit("job"), F.lit(job), F.lit("method"), F.col("method"), F.lit("namespace"), F.lit(namespace),
-        F.lit("pod"), F.lit(pod), F.lit("status"), F.col("status").cast("string"),
-    )
-    rows = logs.withColumn("labels", F.map_filter(labels, lambda _, value: value.isNotNull()))
-    return rows.withColumn("series_key", series_key(F.lit(""), F.col("labels")))
+    return logs.withColumn("series_key", static_series_key(F.lit(""), {
+        "job": F.lit(job), "namespace": F.lit(namespace), "pod": F.lit(pod),
+        "method": F.col("method"), "status": F.col("status").cast("string"),
+    }))
 
 
 def read_log(spark: SparkSession, path: str, job: str, file_part: str = "([^/]+)$") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import sanitized
+from fleetgauge.functions.text import matched_number, sanitized
 
 HEADER = "Function"  # fixed value: first word of the table header
 NAME_CHARS = 63
@@ -41,7 +41,7 @@ def parse_captures(captures: DataFrame, ids=("instance", "d")) -> DataFrame:
     name = sanitized(F.substring(F.regexp_extract("line", _ROW, 1), 1, NAME_CHARS))
     return rows.select(
         *ids, name.alias("op"),
-        *[F.regexp_extract("line", _ROW, i + 2).try_cast("bigint").alias(n) for i, n in enumerate(numbers)],
+        *[matched_number(F.col("line"), _ROW, i + 2).alias(n) for i, n in enumerate(numbers)],
     ).where("op <> ''")
 
 
