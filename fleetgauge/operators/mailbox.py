@@ -25,7 +25,7 @@ def pending(mail: DataFrame, from_us: int, to_us: int, every_us: int) -> DataFra
     last = F.least(F.col("added_us") + F.lit(MAIL_LOOKBACK_US), F.lit(int(to_us)))
     first = F.lit(int(from_us)) + ceil_to(first - F.lit(int(from_us)), every_us)
     scans = F.when(first <= last, F.sequence(first, last, F.lit(int(every_us))))
-    rows = deliverable(mail).withColumn("scan_us", F.explode(scans))
+    rows = deliverable(mail).where("added_us IS NOT NULL").withColumn("scan_us", F.explode(scans))
     return rows.select(
         "scan_us", "mailbox", "note_id", whole_div(F.col("scan_us") - F.col("added_us"), SECOND).alias("wait_s")
     )

@@ -23,16 +23,20 @@ def _answers(interval: int, width: int):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t = np.unique(rows["ts"].to_numpy())
+        # The last sample kept in this chunk when starting from each sample: follow the chain by doubling.
         follow = np.searchsorted(t, t + interval)
-        after = t + interval
-        for i in range(len(t) - 1, -1, -1):
-            if follow[i] < len(t):
-                after[i] = after[follow[i]]
+        last = np.where(follow < len(t), follow, np.arange(len(t)))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        after = t[last] + interval
         # Due times reach at most one interval into the chunk; one sample past that answers the rest.
         heads = min(len(t), int(np.searchsorted(t, key[-1] * width + interval)) + 1)
         upto, after = t[:heads], after[:heads]
-        last = np.append(after[1:] != after[:-1], True)
-        out = pd.DataFrame({"upto": upto[last], "after": after[last]})
+        ends = np.append(after[1:] != after[:-1], True)
+        out = pd.DataFrame({"upto": upto[ends], "after": after[ends]})
         for i, k in enumerate(key[:-1]):
             out[f"k{i}"] = k
         out["chunk"] = key[-1]

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import DAY
 from fleetgauge.plans import range_jobs as rj
 from fleetgauge.plans import schedule_jobs as sj
 from fleetgauge.plans import text_jobs as tj
@@ -61,12 +60,14 @@ def st_log_positions(spark, sf):
     return spark.read.parquet(f"{out}/table")
 
 
-@job("st_snapshot_dedup", "SELECT DISTINCT instance, snapshot, lower(concat_ws('.', facility, stat)) AS key FROM stats WHERE facility IS NOT NULL", "stats")
+@job("st_snapshot_dedup", """
+    SELECT instance, snapshot, key, min_by(value_milli, event_id) AS value, count(*) - 1 AS n_dup
+    FROM (SELECT *, lower(concat_ws('.', facility, stat)) AS key FROM stats WHERE facility IS NOT NULL) GROUP BY ALL""", "stats")
 def st_snapshot_dedup(spark, sf):
     out = fresh_dir(spark, "firsts")
-    firsts = ingest.first_of_snapshot(v.as_stats(v.event_stream(spark, sf)), 2 * DAY)
-    tables.append_available(firsts.select("instance", "snapshot", "key"), f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table")
+    firsts = ingest.first_of_snapshot(v.as_stats(v.event_stream(spark, sf)))
+    tables.run_available(firsts, lambda df, i: tables.write_batch(df, f"{out}/table", i), f"{out}/checkpoint", "update")
+    return tables.latest(spark, f"{out}/table", ["instance", "snapshot", "key"])
 
 
 @job("st_range_increase", "SELECT instance, op, step_us, inc, n FROM w", "counters", rj.WINDOWS)

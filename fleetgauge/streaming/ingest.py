@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import DAY, LOG_RETENTION_HOURS
-from fleetgauge.functions.text import stat_key
+from fleetgauge.constants import DAY, LOG_RETENTION_HOURS, METRIC_RETENTION_DAYS
+from fleetgauge.functions.text import stat_key, whole_div
 from fleetgauge.sources.exposition import parse_samples
 from fleetgauge.sources.logs import log_times, parse_access_log
 
@@ -38,11 +38,18 @@ def requests_per_minute(lines: DataFrame, late_hours: int = LOG_RETENTION_HOURS)
     )
 
 
-def first_of_snapshot(stats: DataFrame, late_us: int = 2 * DAY) -> DataFrame:
-    """The first row per name and snapshot; a snapshot is shorter than the lateness allowed."""
+def first_of_snapshot(stats: DataFrame, snapshot_us: int = DAY, late_hours: int = METRIC_RETENTION_DAYS * 24) -> DataFrame:
+    """The first row per name and snapshot, and how many came after it.
+
+    An aggregate, so repeated names are reduced before the shuffle. Run it in update mode: a row
+    that comes late but is earlier takes over. State of a snapshot goes when its data is deleted.
+    """
     rows = stats.where("facility IS NOT NULL AND stat IS NOT NULL").withColumns({
         "key": stat_key(), "at": F.timestamp_micros("ts_us"),
     })
-    return rows.withWatermark("at", f"{late_us // 1_000_000} seconds").dropDuplicatesWithinWatermark(
-        ["instance", "snapshot", "key"]
+    window = F.window("at", f"{snapshot_us // 1_000_000} seconds")
+    firsts = rows.withWatermark("at", f"{late_hours} hours").groupBy(window, "instance", "key").agg(
+        F.min_by("value_milli", "event_id").alias("value"), (F.count(F.lit(1)) - 1).alias("n_dup")
     )
+    snapshot = whole_div(F.unix_micros("window.start"), snapshot_us)
+    return firsts.select("instance", snapshot.alias("snapshot"), "key", "value", "n_dup")
