@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import DEFAULT_EXCLUDES, DEFAULT_INCLUDES
+from fleetgauge.functions.local import local_table
 from fleetgauge.functions.text import stat_key
 
 FOLDED_RULES = 200
@@ -28,8 +29,8 @@ def prefix_rules(stats: DataFrame, include=DEFAULT_INCLUDES, exclude=DEFAULT_EXC
         key = stat_key()
         return stats.where(starts_with_any(key, include) | ~starts_with_any(key, exclude))
     spark = stats.sparkSession
-    rules = spark.createDataFrame(
-        [(p, True) for p in include] + [(p, False) for p in exclude], "head string, keeps boolean"
+    rules = local_table(
+        spark, [(p, True) for p in include] + [(p, False) for p in exclude], {"head": "string", "keeps": "boolean"}
     ).distinct()
     lengths = sorted({len(p) for p in include + exclude})
     rows = stats.withColumn("_key", stat_key())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import HOUR, MINUTE
+from fleetgauge.functions.local import local_table
 from fleetgauge.operators import alerts as al
 from fleetgauge.operators import schedule as sc
 from fleetgauge.plans import views as v
@@ -14,7 +15,7 @@ MANUAL = ["srv3"]
 
 
 def manual(spark):
-    return spark.createDataFrame([(m,) for m in MANUAL], "instance string")
+    return local_table(spark, [(m,) for m in MANUAL], {"instance": "string"})
 
 
 # Weekday and second of the day on the calendar's clock.

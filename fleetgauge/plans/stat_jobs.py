@@ -327,25 +327,3 @@ def wn_staleness(spark, sf):
         F.concat(F.lit("srv"), "user_id").alias("instance"), v.epoch_us("ts").alias("ts_us"),
         (F.col("event_type") == "signup").alias("shutdown"))
     return lb.staleness(rows, v.TO_US)
-
-
-DATA_FAMILIES = """
-    SELECT instance, 'state' AS metric, CAST(state AS BIGINT) AS value, event_id AS ref FROM states
-    UNION ALL SELECT instance, 'disk_total_bytes', total_bytes, NULL FROM disks
-    UNION ALL SELECT instance, 'disk_free_bytes', free_bytes, NULL FROM disks
-    UNION ALL SELECT instance, 'translog_file_count', n_files, NULL FROM extents"""
-
-
-def family_parts(spark, sf):
-    states = he.server_state(v.probes(spark, sf)).select(
-        "instance", F.lit("state").alias("metric"), F.col("state").cast("bigint").alias("value"), F.col("event_id").alias("ref"))
-    disks = fl.conditional_emit(v.disks(spark, sf), {
-        "disk_total_bytes": (F.lit(True), F.col("total_bytes")), "disk_free_bytes": (F.lit(True), F.col("free_bytes")),
-    }, ["instance"])
-    logs = he.log_metrics(he.extent_summary(v.txn(spark, sf))).where("metric = 'translog_file_count'")
-    return states, disks, logs
-
-
-@job("se_union_families", DATA_FAMILIES, "probes disks txn", {**STATE, **EXTENTS})
-def se_union_families(spark, sf):
-    return lb.union_families(*family_parts(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import DAY, HOUR, TRANS_PREFIX
+from fleetgauge.functions.local import local_table
 from fleetgauge.functions.text import milli_text, whole_div
 from fleetgauge.operators import labels as lb
 from fleetgauge.operators import store as st
@@ -28,7 +29,7 @@ FILE_PART = "(instance=[^/]+/d=[^/]+)/"
 
 
 def families(spark):
-    return spark.createDataFrame(FAMILIES, "name string, family_no int, type string, help string")
+    return local_table(spark, FAMILIES, {"name": "string", "family_no": "int", "type": "string", "help": "string"})
 
 
 def trans_samples(spark, sf):

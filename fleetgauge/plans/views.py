@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import DAY, DISK_COMPONENTS, HOUR, MINUTE
+from fleetgauge.functions.local import local_table
 from fleetgauge.functions.scan import ordered_scan, running_sum
 from fleetgauge.functions.text import EPOCH, epoch_us
 
@@ -223,6 +224,7 @@ def server_config(spark, sf) -> DataFrame:
         cycle("c_custkey", ["1-5", "1,2,3", "1-5,0", "5-1", "7", "0-6", "1,x,3", None, "2-9,4", ",6,,"]).alias("days"),
         cycle("c_custkey", ["6-18", "06:00-18:00", "06:30:00-18:00:15", "22-6", None, "soon", "06:00-13:30"]).alias("hours"),
         F.expr("CAST(c_custkey % 3 % 2 AS INT)").alias("store_on"),
+        F.expr("CAST(c_custkey % 3 AS INT)").alias("log_style"), F.expr("CAST(c_custkey % 2 AS INT)").alias("restricted"),
         F.expr("CAST(c_nationkey % 6 AS INT)").alias("store_catalog_status"),
     )
 
@@ -237,9 +239,10 @@ def server_hours(spark, sf) -> DataFrame:
 
 
 def calendar(spark) -> DataFrame:
-    return spark.createDataFrame(
-        CALENDAR, "instance string, weekday int, is_business_day boolean, start_s int, end_s int, zone int, dst int"
-    )
+    return local_table(spark, CALENDAR, {
+        "instance": "string", "weekday": "int", "is_business_day": "boolean", "start_s": "int", "end_s": "int",
+        "zone": "int", "dst": "int",
+    })
 
 
 def targets(spark, sf) -> DataFrame:
@@ -373,7 +376,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT concat('srv', c_custkey) AS instance, c_custkey % 4 <> 3 AS calendar_on,
           {_cyc('c_custkey', ["1-5", "1,2,3", "1-5,0", "5-1", "7", "0-6", "1,x,3", None, "2-9,4", ",6,,"])} AS days,
           {_cyc('c_custkey', ["6-18", "06:00-18:00", "06:30:00-18:00:15", "22-6", None, "soon", "06:00-13:30"])} AS hours,
-          CAST(c_custkey % 3 % 2 AS INT) AS store_on, CAST(c_nationkey % 6 AS INT) AS store_catalog_status FROM customer"""),
+          CAST(c_custkey % 3 % 2 AS INT) AS store_on, CAST(c_custkey % 3 AS INT) AS log_style, CAST(c_custkey % 2 AS INT) AS restricted, CAST(c_nationkey % 6 AS INT) AS store_catalog_status FROM customer"""),
     "server_hours": ([], """
         SELECT concat('srv', c_custkey) AS instance, CAST(c_custkey % 7 AS INT) AS weekday,
           CASE WHEN c_custkey % 3 = 0 THEN '6-13' ELSE '08:15-12:45' END AS hours FROM customer WHERE c_custkey % 2 = 0"""),
