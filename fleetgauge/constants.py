@@ -9,6 +9,10 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
+# Width of the pieces a series is cut into: the rows one task sees of a hot series, and the number
+# of pieces a window over the series sees, are both bounded by it.
+CHUNK_US = 10 * MINUTE
+
 STAT_PREFIX = "Fleet"
 HEALTH_PREFIX = "FleetHealth"
 TRANS_PREFIX = "FleetTrans"

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import HOUR
+from fleetgauge.constants import CHUNK_US
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def max_before(value, alias):
     return Scan("max_before", value, alias)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *phases: list[Scan], chunk_us: int = HOUR) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *phases: list[Scan], chunk_us: int = CHUNK_US) -> DataFrame:
     """Add one column per scan; a later phase may use the columns of an earlier one.
 
     ``order[0]`` is an integer that is also cut into chunks; keys are not NULL. Both sides of the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OTHER_ASCII = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -134,3 +134,12 @@ def static_series_key(name: Column, labels: dict[str, Column]) -> Column:
 def series_key(name: Column, labels: Column) -> Column:
     """Name plus sorted label pairs: the identity of a series."""
     return F.concat(name, label_text(labels))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that they are computed once per row.
+
+    A plain column is copied into every later filter on it; the output of a generator is not.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))

@@ -13,7 +13,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import MAX_POINTS, SECOND
+from fleetgauge.constants import CHUNK_US, MAX_POINTS, SECOND
 from fleetgauge.functions.scan import lag, ordered_scan
 from fleetgauge.functions.text import ceil_to
 
@@ -72,7 +72,7 @@ def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS,
     ``value`` may be a list; then ``inc0``, ``inc1``, ... hold the increases.
     """
     values = [value] if isinstance(value, str) else list(value)
-    pane_us = gcd(int(range_us), int(step_us))
+    pane_us = gcd(int(range_us), int(step_us), CHUNK_US)
     panes = counter_panes(samples, keys, values, pane_us, ts, tie)
     placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", pane_us, int(range_us), int(step_us))))
     incs = [

@@ -9,7 +9,7 @@ from fleetgauge.constants import (
     DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, HOUR, MAINT_MANUAL, MAINT_NONE, MAINT_WINDOW, SECOND,
 )
 from fleetgauge.functions.scan import last_seen, ordered_scan, running_max
-from fleetgauge.functions.text import duration_text, epoch_us, matched_number, whole_div
+from fleetgauge.functions.text import duration_text, epoch_us, matched_number, once, whole_div
 
 # --- business calendar -------------------------------------------------------------------
 
@@ -94,10 +94,10 @@ def business_time(samples: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFr
     )
     rows = samples.join(per_server, "instance", "left")
     local = whole_div(F.col(ts), SECOND) + (F.col("_dst") - F.col("_zone")) * 3600
-    rows = rows.withColumn("_local", local)
+    rows = once(rows, {"_local": local})
     # 1970-01-01 was a Thursday; weekday 0 is Sunday.
     weekday = F.pmod(whole_div(F.col("_local"), 86400) + 4, F.lit(7))
-    rows = rows.withColumns({"_day": F.col("_days")[weekday], "_s": F.pmod(F.col("_local"), F.lit(86400))})
+    rows = once(rows, {"_day": F.col("_days")[weekday], "_s": F.pmod(F.col("_local"), F.lit(86400))})
     a, b, s = F.col("_day.start_s"), F.col("_day.end_s"), F.col("_s")
     in_hours = F.when(a <= b, s.between(a, b)).otherwise((s >= a) | (s <= b))
     on_day = F.coalesce(F.col("_day.is_business_day"), F.lit(False))

@@ -1,15 +1,18 @@
 """Keep a sample only when the interval has passed since the last kept one.
 
-The rule is sequential, but a series need not sit in one task. Each series is cut into chunks much
+The rule is sequential, but a series need not sit in one task. Each series is cut into chunks
 longer than the interval. The only thing a chunk learns from its past is the time the next sample
 is due, which lies before the end of the chunk's first interval; so every chunk first tells, for
 each such due time, what the due time after it would be (runs with the same answer collapse to one
 row). A fold over these few rows gives each chunk its true due time, and the chunks are then
-thinned in parallel.
+thinned in parallel. All three steps read sorted partitions as a stream.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +20,26 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.text import whole_div
 
+FIRST = -(2**63)  # due before every sample
+
+
+def _runs(part: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Stretches of rows with equal ``columns``: (values, from, to)."""
+    arrays = [part[c].to_numpy() for c in columns]
+    change = np.zeros(len(part), dtype=bool)
+    for a in arrays:
+        change[1:] |= a[1:] != a[:-1]
+    edges = [0, *np.flatnonzero(change).tolist(), len(part)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield tuple(a[lo] for a in arrays), lo, hi
 
-def _answers(interval: int, width: int):
-    """Per chunk: due time after the chunk for each range of due times before it."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(rows["ts"].to_numpy())
+def _answers(keys: list[str], interval: int, width: int):
+    """Per chunk: the due time after it, for each range of due times before it."""
+
+    def answer(t: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        t = np.unique(t)
         # The last sample kept in this chunk when starting from each sample: follow the chain by doubling.
         follow = np.searchsorted(t, t + interval)
         last = np.where(follow < len(t), follow, np.arange(len(t)))
@@ -31,58 +48,90 @@ def _answers(interval: int, width: int):
             if (further == last).all():
                 break
             last = further
-        after = t[last] + interval
         # Due times reach at most one interval into the chunk; one sample past that answers the rest.
-        heads = min(len(t), int(np.searchsorted(t, key[-1] * width + interval)) + 1)
-        upto, after = t[:heads], after[:heads]
+        heads = min(len(t), int(np.searchsorted(t, chunk * width + interval)) + 1)
+        upto, after = t[:heads], (t[last] + interval)[:heads]
         ends = np.append(after[1:] != after[:-1], True)
-        out = pd.DataFrame({"upto": upto[ends], "after": after[ends]})
-        for i, k in enumerate(key[:-1]):
-            out[f"k{i}"] = k
-        out["chunk"] = key[-1]
-        return out
+        return upto[ends], after[ends]
+
+    def frame(done: list) -> pd.DataFrame:
+        sizes = [len(upto) for _, upto, _ in done]
+        out = {c: np.repeat(np.array([k[i] for k, _, _ in done], dtype=object), sizes) for i, c in enumerate(keys)}
+        out["chunk"] = np.repeat(np.array([k[-1] for k, _, _ in done], dtype="int64"), sizes)
+        out["upto"] = np.concatenate([u for _, u, _ in done])
+        out["after"] = np.concatenate([a for _, _, a in done])
+        return pd.DataFrame(out)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, times, done = None, [], []
+        for part in parts:
+            ts = part["ts"].to_numpy()
+            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+                if key != held:
+                    if held is not None:
+                        done.append((held, *answer(np.concatenate(times), int(held[-1]))))
+                    held, times = key, []
+                times.append(ts[lo:hi])
+            if done:
+                yield frame(done)
+                done = []
+        if held is not None:
+            yield frame([(held, *answer(np.concatenate(times), int(held[-1])))])
+
+    return run
+
+
+def _dues(keys: list[str]):
+    """Fold the answers of each series in time order: the due time before and after each chunk."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, chunk, due, after, open_ = None, None, FIRST, FIRST, False
+        for part in parts:
+            upto, then, out = part["upto"].tolist(), part["after"].tolist(), []
+            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+                if key[:-1] != series:
+                    series, chunk, after = key[:-1], None, FIRST
+                if key[-1] != chunk:
+                    chunk, due, open_ = key[-1], after, True
+                if open_:
+                    at = bisect_left(upto, due, lo, hi)  # the first answer that covers the due time
+                    if at < hi:
+                        after, open_ = then[at], False
+                        out.append((*key, due, after))
+            yield pd.DataFrame(out, columns=[*keys, "chunk", "due", "next_due"])
 
     return run
 
 
-def _dues(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Fold the answers of one series: the due time each chunk starts with, and ends with."""
-    rows = rows.sort_values(["chunk", "upto"])
-    due, out = np.iinfo(np.int64).min, []
-    for chunk, part in rows.groupby("chunk", sort=False):
-        at = int(np.searchsorted(part["upto"].to_numpy(), due))
-        before = due
-        if at < len(part):
-            due = int(part["after"].iloc[at])
-        out.append((chunk, before, due))
-    frame = pd.DataFrame(out, columns=["chunk", "due", "next_due"])
-    for i, k in enumerate(key):
-        frame[f"k{i}"] = k
-    return frame
-
-
-def _kept(interval: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "tie"])
-        t, due, keep = rows["ts"].to_numpy(), int(rows["due"].iloc[0]), []
-        at = int(np.searchsorted(t, due))
-        while at < len(t):
-            keep.append(at)
-            at = int(np.searchsorted(t, t[at] + interval))
-        return rows.iloc[keep].drop(columns=["due"])
+def _kept(keys: list[str], interval: int):
+    """Thin each chunk; its first row brings the due time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, due = None, FIRST
+        for part in parts:
+            ts, keep = part["ts"].tolist(), []
+            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+                if key != held:
+                    held, due, lo = key, int(part["due"].iloc[lo]), lo + 1
+                at = bisect_left(ts, due, lo, hi)
+                while at < hi:
+                    keep.append(at)
+                    due = ts[at] + interval
+                    at = bisect_left(ts, due, at + 1, hi)
+            yield part.iloc[keep].drop(columns=["chunk", "due"])
 
     return run
 
 
 def due_thinning(
-    samples: DataFrame, interval_us: int, keys=("instance", "op"), ts="ts_us", tie="event_id", chunk_intervals: int = 256
+    samples: DataFrame, interval_us: int, keys=("instance", "op"), ts="ts_us", tie="event_id", chunk_intervals: int = 16
 ) -> DataFrame:
     """Kept rows as keys, time and tie."""
     kept, _ = thin(samples, interval_us, list(keys), ts, tie, chunk_intervals)
     return kept
 
 
-def thin(samples, interval_us, keys, ts="ts_us", tie="event_id", chunk_intervals=256, due: DataFrame | None = None):
+def thin(samples, interval_us, keys, ts="ts_us", tie="event_id", chunk_intervals=16, due: DataFrame | None = None):
     """Kept rows, and the next due time per series. ``due`` holds the due times of earlier batches."""
     interval, width = int(interval_us), int(interval_us) * int(chunk_intervals)
     k = [f"k{i}" for i in range(len(keys))]
@@ -95,15 +144,22 @@ def thin(samples, interval_us, keys, ts="ts_us", tie="event_id", chunk_intervals
     rows = rows.withColumn("chunk", whole_div(F.col("ts"), width))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     key_schema = ", ".join(f"{n} {kinds[n]}" for n in k)
-    times = rows.select(*k, "chunk", "ts").distinct()
-    answers = times.groupBy(*k, "chunk").applyInPandas(
-        _answers(interval, width), f"upto long, after long, {key_schema}, chunk long"
+    answers = (
+        rows.select(*k, "chunk", "ts").repartition(*k, "chunk").sortWithinPartitions(*k, "chunk", "ts")
+        .mapInPandas(_answers(k, interval, width), f"{key_schema}, chunk long, upto long, after long")
+    )
+    dues = (
+        answers.repartition(*k).sortWithinPartitions(*k, "chunk", "upto")
+        .mapInPandas(_dues(k), f"{key_schema}, chunk long, due long, next_due long")
     )
-    dues = answers.groupBy(*k).applyInPandas(_dues, f"chunk long, due long, next_due long, {key_schema}")
+    # The due time travels as one more row at the head of its chunk: one shuffle, no join. Chunks
+    # without such a row hold nothing that is kept.
+    heads = dues.select(*k, "chunk", F.lit(FIRST).alias("ts"), F.lit(0).cast(kinds["tie"]).alias("tie"), "due")
+    never = F.lit(2**63 - 1)
+    unhanded = rows.select(*k, "chunk", "ts", "tie", never.alias("due"))
     kept = (
-        rows.join(dues.select(*k, "chunk", "due"), [*k, "chunk"]).select(*k, "chunk", "ts", "tie", "due")
-        .groupBy(*k, "chunk")
-        .applyInPandas(_kept(interval), f"{key_schema}, chunk long, ts long, tie {kinds['tie']}")
+        unhanded.unionByName(heads).repartition(*k, "chunk").sortWithinPartitions(*k, "chunk", "ts", "tie")
+        .mapInPandas(_kept(k, interval), f"{key_schema}, ts long, tie {kinds['tie']}")
     )
     names = [F.col(n).alias(c) for c, n in zip(keys, k)]
     state = dues.groupBy(*k).agg(F.max("next_due").alias("due")).select(*names, "due")

@@ -93,7 +93,7 @@ def st_sample_thinning(spark, sf):
     src, out = fresh_dir(spark, "gauges"), fresh_dir(spark, "thinned")
     rows = v.gauges(spark, sf).select("event_id", "instance", "op", "ts_us")
     arriving(rows, "ts_us", src,
-             lambda s: stateful.sample_thinning(s, out, f"{out}/checkpoint", tj.THIN, chunk_intervals=16))
+             lambda s: stateful.sample_thinning(s, out, f"{out}/checkpoint", tj.THIN))
     return spark.read.parquet(f"{out}/kept").drop("batch")
 
 

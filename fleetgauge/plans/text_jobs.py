@@ -208,4 +208,4 @@ THIN_SQL = {
 @job("wn_due_thinning", "SELECT instance, op, ts_us, event_id FROM kept JOIN counters USING (instance, op, ts_us)", "counters", THIN_SQL)
 def wn_due_thinning(spark, sf):
     samples = v.gauges(spark, sf)
-    return th.due_thinning(samples, THIN, chunk_intervals=16)
+    return th.due_thinning(samples, THIN)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import label_text, series_key
+from fleetgauge.functions.text import label_text, once, series_key
 
 _NAME = "[a-zA-Z_:][a-zA-Z0-9_:]*"
 _SAMPLE = rf"^({_NAME})(?:\{{(.*)\}})?[ \t]+(\S+)(?:[ \t]+-?[0-9]+)?\s*$"
@@ -30,12 +30,12 @@ def parse_samples(lines: DataFrame) -> DataFrame:
     """Sample lines (column ``value``) as name, labels, series_key, op, value; other columns stay."""
     keep = [c for c in lines.columns if c != "value"]
     line = F.col("value")
-    rows = lines.where(~line.startswith("#") & line.rlike(_SAMPLE)).select(
-        *keep,
-        F.regexp_extract(line, _SAMPLE, 1).alias("name"),
-        label_map(F.regexp_extract(line, _SAMPLE, 2)).alias("labels"),
-        F.regexp_extract(line, _SAMPLE, 3).try_cast("double").alias("value"),
-    ).where("labels IS NOT NULL AND value IS NOT NULL")
+    rows = once(lines.where(~line.startswith("#") & line.rlike(_SAMPLE)), {
+        "name": F.regexp_extract(line, _SAMPLE, 1),
+        "labels": label_map(F.regexp_extract(line, _SAMPLE, 2)),
+        "_number": F.regexp_extract(line, _SAMPLE, 3).try_cast("double"),
+    })
+    rows = rows.select(*keep, "name", "labels", F.col("_number").alias("value")).where("labels IS NOT NULL AND value IS NOT NULL")
     return rows.withColumns({"series_key": series_key(F.col("name"), F.col("labels")), "op": F.col("labels")["op"]})
 
 

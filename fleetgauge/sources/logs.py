@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import static_series_key
+from fleetgauge.functions.text import once, static_series_key
 
 # The fields taken from a log line; others are dropped.
 FIELDS = "time STRING, status INT, method STRING, uri STRING, request_time DECIMAL(12,3)"
@@ -17,7 +17,7 @@ def parse_access_log(lines: DataFrame, line: str = "line") -> DataFrame:
     parsed = F.from_json(
         line, FIELDS.replace(", ", ", ") + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    rows = lines.withColumn("_j", parsed)
+    rows = once(lines, {"_j": parsed})
     bad = F.col("_j").isNull() | F.col("_j._corrupt").isNotNull()
     return rows.withColumns({
         **{n: F.when(~bad, F.col(f"_j.{n}")) for n in names}, "corrupt": bad,

@@ -76,7 +76,7 @@ def read_episodes(spark: SparkSession, out: str, keys=("instance",)) -> DataFram
 
 
 def sample_thinning(stream: DataFrame, out: str, checkpoint: str, interval_us: int, keys=("instance", "op"),
-                    ts="ts_us", tie="event_id", chunk_intervals: int = 256) -> None:
+                    ts="ts_us", tie="event_id", chunk_intervals: int = 8) -> None:
     """Append the kept samples to ``out`` (samples in time order from batch to batch)."""
     spark, keys = stream.sparkSession, list(keys)
 
