@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import GROUP_INTERVAL_US, GROUP_WAIT_US, REPEAT_INTERVAL_US
-from fleetgauge.functions.text import ceil_to
+from fleetgauge.functions.runs import runs
 from fleetgauge.functions.scan import lag, last_seen, max_before, ordered_scan, running_max, running_sum
+from fleetgauge.functions.text import ceil_to
 
 FOREVER = 9_000_000_000_000_000_000
 
@@ -155,20 +158,13 @@ def place_alerts(rows: DataFrame, until_us: int, by: list[str], waits, state: Da
     )
     stretches = rows.groupBy(*by, "stretch").agg(F.max("e").alias("over"))
 
-    # Stretches further apart than a look are independent; nearer ones may share one group.
-    gap = max(wait, interval)
-    series = Window.partitionBy(*by).orderBy("stretch")
-    apart = F.coalesce(F.col("stretch") - F.lag("over").over(series) > gap, F.lit(True))
-    blocks = stretches.withColumn("_apart", apart).withColumn(
-        "block", F.max(F.when(F.col("_apart"), F.col("stretch"))).over(series)
-    ).drop("_apart")
     if state is None:
-        blocks = blocks.withColumn("opened", F.lit(None).cast("bigint"))
+        stretches = stretches.withColumn("opened", F.lit(-1).cast("bigint"))
     else:
-        first = F.col("block") == F.min("block").over(Window.partitionBy(*by))
-        blocks = blocks.join(state.select(*by, "opened"), by, "left").withColumn("opened", F.when(first, F.col("opened")))
-    opened = blocks.groupBy(*by, "block").applyInPandas(
-        _opened(wait, interval), ", ".join(f"{c} string" for c in by) + ", stretch long, opened long"
+        stretches = stretches.join(state.select(*by, "opened"), by, "left").fillna({"opened": -1})
+    opened = (
+        stretches.repartition(*by).sortWithinPartitions(*by, "stretch")
+        .mapInPandas(_opened(by, wait, interval), ", ".join(f"{c} string" for c in by) + ", stretch long, opened long")
     )
     rows = rows.join(opened, [*by, "stretch"])
 
@@ -221,23 +217,27 @@ def notices(placed: DataFrame, until_us: int, by: list[str], waits, after_us: in
     return out.select(*by, F.col("x.at").alias("notify_us"), F.col("x.kind").alias("kind"), "n_active")
 
 
-def _opened(wait_us: int, interval_us: int):
-    """Which group opening each stretch of activity belongs to.
+def _opened(by: list[str], wait_us: int, interval_us: int):
+    """When the group opened that each stretch of activity belongs to; reads the stretches in time order.
 
     Stretches are disjoint in time, so their number is bounded by the time span, not by the alerts.
     """
-    import pandas as pd
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("stretch")
-        known = rows["opened"].iloc[0]
-        opened, closes, out = (None, -1, []) if pd.isna(known) else (int(known), FOREVER, [])
-        for start, over in zip(rows["stretch"].tolist(), rows["over"].tolist()):
-            if opened is None or start > closes:
-                opened = start
-            looks = max(0, -(-(over - opened - wait_us) // interval_us))
-            closes = opened + wait_us + looks * interval_us
-            out.append(opened)
-        return rows.drop(columns=["over", "block"]).assign(opened=out)
-
-    return assign
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, opened, closes = None, -1, -1
+        for part in parts:
+            starts, overs, known = (part[c].tolist() for c in ("stretch", "over", "opened"))
+            out = []
+            for key, lo, hi in runs(part, by):
+                if key != held:
+                    held, opened = key, known[lo]
+                    closes = FOREVER if opened >= 0 else -1
+                for start, over in zip(starts[lo:hi], overs[lo:hi]):
+                    if start > closes:
+                        opened = start
+                    looks = max(0, -(-(over - opened - wait_us) // interval_us))
+                    closes = opened + wait_us + looks * interval_us
+                    out.append(opened)
+            yield part[[*by, "stretch"]].assign(opened=out)
+
+    return run

@@ -18,23 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.runs import runs
 from fleetgauge.functions.text import whole_div
 
 FIRST = -(2**63)  # due before every sample
 
 
-def _runs(part: pd.DataFrame, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
-    """Stretches of rows with equal ``columns``: (values, from, to)."""
-    arrays = [part[c].to_numpy() for c in columns]
-    change = np.zeros(len(part), dtype=bool)
-    for a in arrays:
-        change[1:] |= a[1:] != a[:-1]
-    edges = [0, *np.flatnonzero(change).tolist(), len(part)]
-    for lo, hi in zip(edges, edges[1:]):
-        if hi > lo:
-            yield tuple(a[lo] for a in arrays), lo, hi
-
-
 def _answers(keys: list[str], interval: int, width: int):
     """Per chunk: the due time after it, for each range of due times before it."""
 
@@ -66,7 +55,7 @@ def _answers(keys: list[str], interval: int, width: int):
         held, times, done = None, [], []
         for part in parts:
             ts = part["ts"].to_numpy()
-            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+            for key, lo, hi in runs(part, [*keys, "chunk"]):
                 if key != held:
                     if held is not None:
                         done.append((held, *answer(np.concatenate(times), int(held[-1]))))
@@ -88,7 +77,7 @@ def _dues(keys: list[str]):
         series, chunk, due, after, open_ = None, None, FIRST, FIRST, False
         for part in parts:
             upto, then, out = part["upto"].tolist(), part["after"].tolist(), []
-            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+            for key, lo, hi in runs(part, [*keys, "chunk"]):
                 if key[:-1] != series:
                     series, chunk, after = key[:-1], None, FIRST
                 if key[-1] != chunk:
@@ -110,7 +99,7 @@ def _kept(keys: list[str], interval: int):
         held, due = None, FIRST
         for part in parts:
             ts, keep = part["ts"].tolist(), []
-            for key, lo, hi in _runs(part, [*keys, "chunk"]):
+            for key, lo, hi in runs(part, [*keys, "chunk"]):
                 if key != held:
                     held, due, lo = key, int(part["due"].iloc[lo]), lo + 1
                 at = bisect_left(ts, due, lo, hi)

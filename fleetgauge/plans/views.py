@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fleetgauge.constants import DAY, DISK_COMPONENTS, HOUR, MINUTE
 from fleetgauge.functions.local import local_table
 from fleetgauge.functions.scan import ordered_scan, running_sum
-from fleetgauge.functions.text import EPOCH, epoch_us
+from fleetgauge.functions.text import epoch_us
+from fleetgauge.workdir import fresh_dir
 
 JOB = "fleet"
 FROM_US = 1_704_067_200_000_000  # 2024-01-01, start of the data range
@@ -264,7 +265,10 @@ def as_evals(rows: DataFrame) -> DataFrame:
 
 
 def alerts(spark, sf) -> DataFrame:
-    """Alert intervals: down episodes are critical, slow episodes are warnings of the same name."""
+    """Alert intervals: down episodes are critical, slow episodes are warnings of the same name.
+
+    Alerts are a table of their own: the rule evaluation writes it once, its readers start from there.
+    """
     from fleetgauge.operators.alerts import alert_episodes
 
     e = events(spark, sf).select("event_id", "instance", "ts_us", "event_type", milli().alias("m"))
@@ -276,13 +280,15 @@ def alerts(spark, sf) -> DataFrame:
         )).alias("r"),
     ).select("event_id", "instance", "ts_us", "r.severity", "r.active")
     ep = alert_episodes(both, for_us=0, keys=["instance", "severity"])
-    return ep.select(
+    path = fresh_dir(spark, "alerts")
+    ep.select(
         F.concat_ws(":", "severity", "instance", "active_at").alias("alert_id"),
         F.lit("ServerSlowOrDown").alias("alertname"), "severity", "instance",
         F.expr("CASE WHEN instance IN ('srv0', 'srv1') THEN 'c1' WHEN instance = 'srv2' THEN 'c2' END").alias("cluster"),
         F.expr("CASE WHEN severity = 'critical' THEN 'mail' END").alias("service"),
         F.col("active_at").alias("starts_us"), F.col("resolved_at").alias("ends_us"),
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _cyc(by: str, values: list) -> str:
