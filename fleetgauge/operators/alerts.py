@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import GROUP_INTERVAL_US, GROUP_WAIT_US, REPEAT_INTERVAL_US
+from fleetgauge.constants import GROUP_INTERVAL_US, GROUP_WAIT_US, REPEAT_INTERVAL_US, RESOLVE_TIMEOUT_US
 from fleetgauge.functions.runs import runs
 from fleetgauge.functions.scan import lag, last_seen, max_before, ordered_scan, running_max, running_sum
 from fleetgauge.functions.text import ceil_to
@@ -116,6 +116,11 @@ def alert_text(alerts: DataFrame, templates: dict[str, str]) -> DataFrame:
     return alerts.withColumns({name: filled(t) for name, t in templates.items()})
 
 
+def with_resolve_timeout(alerts: DataFrame, timeout_us: int = RESOLVE_TIMEOUT_US, updated: str = "updated_us") -> DataFrame:
+    """Alerts without an end are over ``timeout_us`` after they were last reported."""
+    return alerts.withColumn("ends_us", F.coalesce("ends_us", F.col(updated) + F.lit(int(timeout_us))))
+
+
 def alert_notices(
     alerts: DataFrame,
     until_us: int,
@@ -132,11 +137,11 @@ def alert_notices(
     ``repeat`` when the last notice is ``repeat_us`` old.
     """
     waits = (int(wait_us), int(interval_us), int(repeat_us))
-    placed = place_alerts(_intervals(alerts, by), until_us, list(by), waits)
+    placed = place_alerts(intervals(alerts, by), until_us, list(by), waits)
     return notices(placed, until_us, list(by), waits)
 
 
-def _intervals(alerts: DataFrame, by) -> DataFrame:
+def intervals(alerts: DataFrame, by) -> DataFrame:
     """Equal intervals of a group act alike: one row with their number."""
     end = F.coalesce("ends_us", F.lit(FOREVER))
     rows = alerts.where(end > F.col("starts_us")).select(

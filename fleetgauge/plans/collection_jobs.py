@@ -13,7 +13,7 @@ from fleetgauge.operators import mailbox as mb
 from fleetgauge.operators import schedule as sc
 from fleetgauge.plans import views as v
 from fleetgauge.plans.registry import job
-from fleetgauge.plans.schedule_jobs import BUSINESS, MANUAL, STATUS_SQL, manual
+from fleetgauge.plans.schedule_jobs import BUSINESS, STATUS_SQL, manual
 from fleetgauge.plans.stat_jobs import EXCLUDE, EXTENTS, INCLUDE, KEY, PING, STATE, kept_sql, milli_text_sql, sanitize_sql
 
 AT, BUILD = v.AT_US, 10000

@@ -116,7 +116,7 @@ def alert_notify(stream: DataFrame, out: str, checkpoint: str, by=("alertname",
         write_batch(known, f"{out}/known", batch_id)
         known = spark.read.parquet(f"{out}/known/batch={batch_id}")
 
-        placed = al.place_alerts(al._intervals(known, by), until, by, waits, state)
+        placed = al.place_alerts(al.intervals(known, by), until, by, waits, state)
         write_batch(placed, f"{out}/placed", batch_id)
         placed = spark.read.parquet(f"{out}/placed/batch={batch_id}")
         said = al.notices(placed, until, by, waits, after, state)

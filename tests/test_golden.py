@@ -318,3 +318,36 @@ def test_staleness(spark):
     rows = spark.createDataFrame([("a", 5 * SECOND, False), ("a", 9 * SECOND, True), ("b", 9 * SECOND, False), ("b", 1, True)], "instance string, ts_us bigint, shutdown boolean")
     out = {r["instance"]: (r["age_s"], r["ended"]) for r in labels.staleness(rows, 10 * SECOND).collect()}
     assert out == {"a": (1, True), "b": (1, False)}
+
+
+def test_resolve_timeout(spark):
+    rows = spark.createDataFrame([("a", None, 10), ("b", 7, 10), ("c", None, None)], "alert_id string, ends_us bigint, updated_us bigint")
+    out = {r["alert_id"]: r["ends_us"] for r in alerts.with_resolve_timeout(rows).collect()}
+    assert out == {"a": 10 + 5 * MINUTE, "b": 7, "c": None}
+
+
+def test_retention(spark):
+    from fleetgauge.operators import store
+    rows = spark.createDataFrame([(d, 40) for d in range(10) for _ in range(2)], "day bigint, bytes bigint")
+    out = {r["day"]: r["keep"] for r in store.retention(rows, 9, 5, 330).collect()}
+    assert sorted(d for d, keep in out.items() if keep) == [6, 7, 8, 9] and len(out) == 10
+    out = {r["day"]: r["keep"] for r in store.retention(rows, 9, 2, 10_000).collect()}
+    assert sorted(d for d, keep in out.items() if keep) == [7, 8, 9]
+
+
+def test_latest_state(spark):
+    from fleetgauge.operators import store
+    cols = "package string, name string, value bigint, ts_us bigint, event_id bigint"
+    rows = spark.createDataFrame([("p", "a", 1, 1, 1), ("p", "a", 2, 2, 2), ("p", "b", 3, 1, 3), ("p", "b", None, 2, 4), ("q", "a", 5, 1, 5), ("q", "a", 6, 9, 6), ("q", "b", 7, 1, 7)], cols)
+    wipe = spark.createDataFrame([("q", 5, 9)], "package string, ts_us bigint, event_id bigint")
+    assert sorted(map(tuple, store.latest_state(rows, wipe).collect())) == [("p", "a", 2), ("q", "a", 6)]
+
+
+def test_publish_shows_only_complete_versions(spark, tmp_path):
+    from fleetgauge.operators import store
+    path = str(tmp_path / "snap")
+    assert store.publish(spark.range(3), path) == 1
+    assert store.publish(spark.range(5), path) == 2
+    (tmp_path / "snap" / "v=3").mkdir()  # a write that never finished
+    assert store.read_published(spark, path).count() == 5
+    assert store.publish(spark.range(7), path) == 3 and store.read_published(spark, path).count() == 7
