@@ -172,3 +172,18 @@ def test_notices_in_batches_equal_one_run(spark, tmp_path):
     got = spark.read.parquet(f"{out}/notices").select("alertname", "cluster", "service", "notify_us", "kind", "n_active").collect()
     key = lambda r: (r["alertname"], r["cluster"], r["service"], r["notify_us"], r["kind"], r["n_active"])
     assert sorted(map(key, got)) == sorted(map(key, whole)) and len(whole) > 50
+
+
+def test_task_functions_travel_without_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    made = [thinning._answers(["k0"], 5, 50), thinning._dues(["k0"]), thinning._kept(["k0"], 5), alerts._opened(["g"], 1, 2)]
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(made))
+    load = "import pickle, sys; pickle.load(open('f', 'rb')); assert 'fleetgauge' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
