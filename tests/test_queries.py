@@ -6,9 +6,10 @@ import pytest
 from check import compare, duck
 
 import __spark_entry__ as entry
+from fleetgauge.plans.jobs import CHECKS, JOBS
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = dict(JOBS), dict(CHECKS)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -26,6 +27,7 @@ def test_same_as_sql(spark, con, key):
 
 def test_every_job_has_a_twin():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
