@@ -71,8 +71,5 @@ LOG_RETENTION_HOURS = 672
 ALERT_RETENTION_HOURS = 120
 MAX_POINTS = 43200
 
-# Alert routing waits.
-GROUP_WAIT_US = 30 * SECOND
-GROUP_INTERVAL_US = 5 * MINUTE
-REPEAT_INTERVAL_US = 4 * HOUR
+# Fixed value: an alert nobody reports any more is over after this long.
 RESOLVE_TIMEOUT_US = 5 * MINUTE

@@ -51,16 +51,34 @@ def max_before(value, alias):
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], *phases: list[Scan], chunk_us: int = CHUNK_US) -> DataFrame:
     """Add one column per scan; a later phase may use the columns of an earlier one.
 
-    ``order[0]`` is an integer that is also cut into chunks; keys are not NULL. Both sides of the
-    carry join start from the same window, so Spark reuses its shuffle instead of reading the
-    source again, most of all when ``df`` holds only keys, order and scanned columns.
+    ``order[0]`` is an integer that is also cut into chunks. A NULL text key is the empty label (both
+    are one series), other NULL keys are a series of their own; a NULL time comes before all others.
+    Keys come out as they went in. Both sides of the carry join start from the same window, so Spark
+    reuses its shuffle instead of reading the source again, most of all when ``df`` holds only keys,
+    order and scanned columns.
     """
-    rows = df.withColumn("_chunk", F.expr(f"`{order[0]}` div {int(chunk_us)}"))
-    for c in [*keys, "_chunk"]:
-        rows = rows.where(F.col(c).isNotNull())  # stated here so that both sides of the join read alike
+    group, named, away = [], {}, {}
+    for i, k in enumerate(keys):
+        field = df.schema[k]
+        if not field.nullable:
+            group.append(k)
+            continue
+        g = f"_g{i}"
+        group.append(g)
+        if field.dataType.typeName() == "string":
+            named[g], away[k] = F.coalesce(F.col(k), F.lit("")), F.when(~F.col(f"_n{i}"), F.col(g))
+            named[f"_n{i}"] = F.col(k).isNull()
+        else:
+            named[g], away[k] = F.coalesce(F.col(k).cast("string"), F.lit("")), F.col(k)
+    rows = df.withColumns(named) if named else df
+    rows = rows.drop(*[k for i, k in enumerate(keys) if f"_n{i}" in named])
+    rows = rows.withColumn("_chunk", F.coalesce(F.expr(f"`{order[0]}` div {int(chunk_us)}"), F.lit(-(2**62))))
+    added = []
     for scans in phases:
-        rows = _phase(rows, [*keys, "_chunk"], list(keys), order, scans)
-    return rows.drop("_chunk")
+        rows = _phase(rows, [*group, "_chunk"], group, order, scans)
+        added += [s.alias for s in scans]
+    columns = {c: away.get(c, F.col(c)) for c in dict.fromkeys([*df.columns, *added])}
+    return rows.select(*[e.alias(c) for c, e in columns.items()])
 
 
 def _phase(df: DataFrame, group: list[str], keys: list[str], order: list[str], scans: list[Scan]) -> DataFrame:

@@ -68,19 +68,19 @@ def first_token(text: Column) -> Column:
 
 
 def to_milli(number: Column) -> Column:
-    """Double to integer thousandths, half away from zero."""
+    """Double to whole thousandths, half away from zero, as DECIMAL(38,0): no finite size that metrics take is lost."""
     scaled = number * F.lit(1000.0) + F.when(number >= 0, F.lit(0.5)).otherwise(F.lit(-0.5))
-    return scaled.try_cast("bigint")
+    small = F.abs(scaled) < F.lit(2.0**53)  # larger doubles are whole
+    return F.when(small, scaled.try_cast("bigint").cast("decimal(38,0)")).otherwise(scaled.try_cast("decimal(38,0)"))
 
 
 def milli_text(milli: Column) -> Column:
-    """Integer thousandths as fixed three-decimal text, sign kept."""
-    size = F.abs(milli)
+    """Whole thousandths (integer or decimal) as fixed three-decimal text, sign kept."""
+    digits = F.abs(milli).cast("string")
+    digits = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
     return F.concat(
         F.when(milli < 0, F.lit("-")).otherwise(F.lit("")),
-        whole_div(size, 1000).cast("string"),
-        F.lit("."),
-        F.lpad((size % 1000).cast("string"), 3, "0"),
+        F.substring(digits, F.lit(1), F.length(digits) - 3), F.lit("."), F.right(digits, F.lit(3)),
     )
 
 

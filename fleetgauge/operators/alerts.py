@@ -1,20 +1,15 @@
-"""Alert rules over time: hold times, inhibition, suppression, grouping, notices."""
+"""Alert rules over time: hold times, inhibition, suppression, grouping."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import GROUP_INTERVAL_US, GROUP_WAIT_US, REPEAT_INTERVAL_US, RESOLVE_TIMEOUT_US
-from fleetgauge.functions.runs import runs
-from fleetgauge.functions.scan import lag, last_seen, max_before, ordered_scan, running_max, running_sum
-from fleetgauge.functions.text import ceil_to
-
-FOREVER = 9_000_000_000_000_000_000
+from fleetgauge.constants import RESOLVE_TIMEOUT_US
+from fleetgauge.functions.scan import lag, last_seen, ordered_scan, running_max, running_sum
+from fleetgauge.operators.intervals import FOREVER, minus
 
 
 def alert_episodes(evals: DataFrame, for_us: int, keep_us: int = 0, keys=("instance",), ts="ts_us", tie="event_id") -> DataFrame:
@@ -63,41 +58,58 @@ def _continued(episodes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _spans(alerts: DataFrame, until_us: int | None = None) -> DataFrame:
+    """Alerts with their time as [s, e); an open one reaches ``until_us``, or has no end."""
+    open_end = F.lit(FOREVER if until_us is None else int(until_us))
+    return alerts.withColumns({"s": F.col("starts_us"), "e": F.coalesce("ends_us", open_end)})
+
+
+def _parts(spans: DataFrame, columns: list[str]) -> DataFrame:
+    """Back to alerts: an open alert's last part stays open."""
+    last = F.col("ends_us").isNull() & (F.col("e") == F.col("_open"))
+    return spans.withColumns({"starts_us": F.col("s"), "ends_us": F.when(~last, F.col("e"))}).select(*columns)
+
+
 def alert_inhibit(alerts: DataFrame, source="critical", target="warning", equal=("alertname", "instance")) -> DataFrame:
-    """Drop ``target`` alerts that overlap an active ``source`` alert with equal labels.
+    """Mute ``target`` alerts while a ``source`` alert with equal labels is active; other alerts stay as they are.
 
-    An overlap exists when, among the source alerts that start before the target ends, the latest
-    end lies after the target's start: one running maximum, no pairs.
+    A target comes out as the parts of its time that no source covers: none, one or several rows.
     """
     equal = list(equal)
-    end = F.coalesce("ends_us", F.lit(FOREVER))
-    is_source = F.col("severity") == source
-    is_target = F.col("severity") == target
-    rows = alerts.where(is_source | is_target).select(
-        "*",
-        F.when(is_source, F.col("starts_us")).otherwise(end).alias("_at"),
-        F.when(is_source, 1).otherwise(0).alias("_rank"),  # a target ending at t sees sources that start before t
-        F.when(is_source, end).alias("_end"),
-    )
-    keyed = rows.withColumns({f"_k{i}": F.coalesce(F.col(k), F.lit("")) for i, k in enumerate(equal)})
-    keys = [f"_k{i}" for i in range(len(equal))]
-    seen = ordered_scan(keyed, keys, ["_at", "_rank"], [running_max("_end", "_until")])
-    kept = seen.where(is_source | F.col("_until").isNull() | (F.col("_until") <= F.col("starts_us")))
-    others = alerts.where(~(is_source | is_target) | F.col("severity").isNull())
-    return kept.select(*alerts.columns).unionByName(others)
+    spans = _spans(alerts).withColumn("_open", F.lit(FOREVER))
+    targets, sources = spans.where(F.col("severity") == target), spans.where(F.col("severity") == source)
+    left = minus(targets, sources.select(*equal, "s", "e"), equal)
+    others = alerts.where((F.col("severity") != target) | F.col("severity").isNull())
+    return _parts(left, alerts.columns).unionByName(others)
+
 
+def alert_suppress(alerts: DataFrame, calendar: DataFrame, maint: DataFrame, until_us: int, manual: DataFrame | None = None) -> DataFrame:
+    """Mute alerts outside business time and inside maintenance: the parts of each alert that are left.
 
-def alert_suppress(alerts: DataFrame, calendar: DataFrame, maint: DataFrame, manual: DataFrame | None = None) -> DataFrame:
-    """Drop alerts that start outside business time or inside maintenance."""
-    from fleetgauge.operators.schedule import business_time, maintenance_status
+    Open alerts are followed up to ``until_us``; parts are cut at the calendar's midnights. Servers
+    switched to maintenance by hand have no alerts.
+    """
+    from fleetgauge.operators.schedule import business_parts
 
-    timed = business_time(alerts, calendar, ts="starts_us").where("business_hours = 1")
-    return maintenance_status(timed, maint, manual, ts="starts_us").where("maintenance_status = 0").select(*alerts.columns)
+    spans = _spans(alerts, until_us).withColumn("_open", F.lit(int(until_us)))
+    if manual is not None:
+        spans = spans.join(manual.select("instance").distinct(), "instance", "left_anti")
+    inside = business_parts(spans.where("e > s"), calendar)
+    windows = maint.where("start_us IS NOT NULL").select(
+        "instance", F.col("start_us").alias("s"), F.coalesce(F.col("end_us") + 1, F.lit(FOREVER)).alias("e"))
+    return _parts(minus(inside, windows, ["instance"]), alerts.columns)
 
 
-def alert_groups(alerts: DataFrame, by=("alertname", "cluster", "service")) -> DataFrame:
-    """Active alerts per group; a missing label counts as empty."""
-    return alerts.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by]).agg(
+def alert_groups(alerts: DataFrame, at_us: int, by=("alertname", "cluster", "service"), updated: str | None = None) -> DataFrame:
+    """Alerts active at an instant per group; a missing label counts as empty.
+
+    With ``updated``, the column of an alert's last report, one without an end is over once the
+    resolve timeout has passed since then.
+    """
+    known = with_resolve_timeout(alerts, updated=updated) if updated else alerts
+    at = F.lit(int(at_us))
+    active = known.where((F.col("starts_us") <= at) & (F.col("ends_us").isNull() | (F.col("ends_us") > at)))
+    return active.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by]).agg(
         F.count(F.lit(1)).alias("n"), F.min("starts_us").alias("starts_us")
     )
 
@@ -119,130 +131,3 @@ def alert_text(alerts: DataFrame, templates: dict[str, str]) -> DataFrame:
 def with_resolve_timeout(alerts: DataFrame, timeout_us: int = RESOLVE_TIMEOUT_US, updated: str = "updated_us") -> DataFrame:
     """Alerts without an end are over ``timeout_us`` after they were last reported."""
     return alerts.withColumn("ends_us", F.coalesce("ends_us", F.col(updated) + F.lit(int(timeout_us))))
-
-
-def alert_notices(
-    alerts: DataFrame,
-    until_us: int,
-    by=("alertname", "cluster", "service"),
-    wait_us: int = GROUP_WAIT_US,
-    interval_us: int = GROUP_INTERVAL_US,
-    repeat_us: int = REPEAT_INTERVAL_US,
-) -> DataFrame:
-    """Notices per alert group up to ``until_us``.
-
-    A group opens with its first alert, is looked at ``wait_us`` later and then every
-    ``interval_us``, and closes at a look that finds nothing active. A look gives a ``firing``
-    notice when an alert is new, else a ``resolved`` one when an alert has gone, else a
-    ``repeat`` when the last notice is ``repeat_us`` old.
-    """
-    waits = (int(wait_us), int(interval_us), int(repeat_us))
-    placed = place_alerts(intervals(alerts, by), until_us, list(by), waits)
-    return notices(placed, until_us, list(by), waits)
-
-
-def intervals(alerts: DataFrame, by) -> DataFrame:
-    """Equal intervals of a group act alike: one row with their number."""
-    end = F.coalesce("ends_us", F.lit(FOREVER))
-    rows = alerts.where(end > F.col("starts_us")).select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], F.col("starts_us").alias("s"), end.alias("e")
-    )
-    return rows.groupBy(*by, "s", "e").agg(F.count(F.lit(1)).alias("n"))
-
-
-def place_alerts(rows: DataFrame, until_us: int, by: list[str], waits, state: DataFrame | None = None) -> DataFrame:
-    """Add to each interval when its group opened, and the looks that first see it and find it gone.
-
-    ``state`` (by, opened) holds the groups that were open before these rows.
-    """
-    wait, interval, _ = waits
-    # Stretches: intervals that follow each other without a gap.
-    fresh = F.col("_before").isNull() | (F.col("s") > F.col("_before"))
-    rows = ordered_scan(
-        rows, by, ["s", "e"], [max_before("e", "_before")], [last_seen(F.when(fresh, F.col("s")), "stretch")]
-    )
-    stretches = rows.groupBy(*by, "stretch").agg(F.max("e").alias("over"))
-
-    if state is None:
-        stretches = stretches.withColumn("opened", F.lit(-1).cast("bigint"))
-    else:
-        stretches = stretches.join(state.select(*by, "opened"), by, "left").fillna({"opened": -1})
-    opened = (
-        stretches.repartition(*by).sortWithinPartitions(*by, "stretch")
-        .mapInPandas(_opened(by, wait, interval), ", ".join(f"{c} string" for c in by) + ", stretch long, opened long")
-    )
-    rows = rows.join(opened, [*by, "stretch"])
-
-    def look(at):
-        return F.col("opened") + F.lit(wait) + F.greatest(ceil_to(at - F.col("opened") - F.lit(wait), interval), F.lit(0))
-
-    return rows.select(
-        *by, "s", "e", "n", "opened", look(F.col("s")).alias("seen"),
-        F.when(F.col("e") <= until_us, look(F.col("e"))).alias("gone"),
-    )
-
-
-def changes(placed: DataFrame, until_us: int, by: list[str]) -> DataFrame:
-    """Per look at which something changed: alerts newly seen, alerts gone, alerts active."""
-    none = F.lit(0).cast("bigint")
-    marks = placed.where("seen < e").select(*by, "opened", F.explode(F.array(
-        F.struct(F.col("seen").alias("at"), F.col("n").alias("new"), none.alias("old")),
-        F.struct(F.col("gone").alias("at"), none.alias("new"), F.col("n").alias("old")),
-    )).alias("m"))
-    return (
-        marks.where(F.col("m.at") <= until_us)
-        .groupBy(*by, "opened", F.col("m.at").alias("at"))
-        .agg(F.sum("m.new").alias("new"), F.sum("m.old").alias("old"))
-    )
-
-
-def notices(placed: DataFrame, until_us: int, by: list[str], waits, after_us: int = -1, state: DataFrame | None = None) -> DataFrame:
-    """Notices in ``(after, until]``. ``state`` also tells each open group's last change (``changed``)."""
-    _, interval, repeat = waits
-    looks = changes(placed, until_us, by)
-    if state is not None:
-        zero = F.lit(0).cast("bigint")
-        known = state.select(*by, "opened", F.col("changed").alias("at"), zero.alias("new"), zero.alias("old"))
-        looks = looks.unionByName(known).groupBy(*by, "opened", "at").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
-    order = Window.partitionBy(*by, "opened").orderBy("at")
-    looks = looks.withColumns({
-        "n_active": F.sum(F.col("new") - F.col("old")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "next": F.lead("at").over(order),
-    })
-    every = -(-repeat // interval) * interval
-    stop = F.coalesce(F.col("next") - 1, F.lit(int(until_us)))
-    first = F.col("at") + F.lit(every)
-    again = F.when((F.col("n_active") > 0) & (first <= stop), F.sequence(first, stop, F.lit(every)))
-    kind = F.when(F.col("new") > 0, "firing").otherwise("resolved")
-    said = F.concat(
-        F.array(F.struct(F.col("at"), kind.alias("kind"))),
-        F.transform(F.coalesce(again, F.array().cast("array<bigint>")), lambda t: F.named_struct(F.lit("at"), t, F.lit("kind"), F.lit("repeat"))),
-    )
-    out = looks.select(*by, F.explode(said).alias("x"), "n_active").where(F.col("x.at") > F.lit(int(after_us)))
-    return out.select(*by, F.col("x.at").alias("notify_us"), F.col("x.kind").alias("kind"), "n_active")
-
-
-def _opened(by: list[str], wait_us: int, interval_us: int):
-    """When the group opened that each stretch of activity belongs to; reads the stretches in time order.
-
-    Stretches are disjoint in time, so their number is bounded by the time span, not by the alerts.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, opened, closes = None, -1, -1
-        for part in parts:
-            starts, overs, known = (part[c].tolist() for c in ("stretch", "over", "opened"))
-            out = []
-            for key, lo, hi in runs(part, by):
-                if key != held:
-                    held, opened = key, known[lo]
-                    closes = FOREVER if opened >= 0 else -1
-                for start, over in zip(starts[lo:hi], overs[lo:hi]):
-                    if start > closes:
-                        opened = start
-                    looks = max(0, -(-(over - opened - wait_us) // interval_us))
-                    closes = opened + wait_us + looks * interval_us
-                    out.append(opened)
-            yield part[[*by, "stretch"]].assign(opened=out)
-
-    return run

@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import DEFAULT_EXCLUDES, DEFAULT_INCLUDES
-from fleetgauge.functions.local import local_table
 from fleetgauge.functions.text import stat_key
 
-FOLDED_RULES = 200
-
-
 def starts_with_any(name: Column, prefixes) -> Column:
     return reduce(lambda a, b: a | b, [name.startswith(p) for p in prefixes], F.lit(False))
 
@@ -21,26 +17,10 @@ def starts_with_any(name: Column, prefixes) -> Column:
 def prefix_rules(stats: DataFrame, include=DEFAULT_INCLUDES, exclude=DEFAULT_EXCLUDES) -> DataFrame:
     """Drop names under an exclude prefix, unless an include prefix matches too. Default: keep.
 
-    A short rule list folds into one codegen'd condition; a long one becomes a rule table matched
-    by equality on the leading part of each distinct name, one look-up per distinct prefix length.
+    The rules fold into one condition inside the scan's own stage, whatever their number.
     """
-    include, exclude = list(include), list(exclude)
-    if len(include) + len(exclude) <= FOLDED_RULES:
-        key = stat_key()
-        return stats.where(starts_with_any(key, include) | ~starts_with_any(key, exclude))
-    spark = stats.sparkSession
-    rules = local_table(
-        spark, [(p, True) for p in include] + [(p, False) for p in exclude], {"head": "string", "keeps": "boolean"}
-    ).distinct()
-    lengths = sorted({len(p) for p in include + exclude})
-    rows = stats.withColumn("_key", stat_key())
-    names = rows.select("_key").distinct()
-    heads = names.select("_key", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_n"))
-    heads = heads.where(F.length("_key") >= F.col("_n")).select("_key", F.expr("left(_key, _n)").alias("head"))
-    dropped = (
-        heads.join(rules, "head").groupBy("_key").agg(F.bool_or("keeps").alias("kept")).where("NOT kept").select("_key")
-    )
-    return rows.join(dropped, "_key", "left_anti").select(*stats.columns)
+    key = stat_key()
+    return stats.where(starts_with_any(key, include) | ~starts_with_any(key, exclude))
 
 
 def drop_facility(stats: DataFrame, own: str) -> DataFrame:

@@ -16,26 +16,21 @@ def deliverable(mail: DataFrame) -> DataFrame:
     return mail.where("delivery_priority <> 'L' AND NOT has_send_at")
 
 
-def pending(mail: DataFrame, from_us: int, to_us: int, every_us: int) -> DataFrame:
-    """Pending documents at each scan (every ``every_us``): waited 5 minutes to 72 hours.
+def pending(mail: DataFrame, at_us: int) -> DataFrame:
+    """Documents pending at one scan: waited 5 minutes to 72 hours. ``age_buckets`` follows a series of scans."""
+    wait = F.lit(int(at_us)) - F.col("added_us")
+    rows = deliverable(mail).where(wait.between(MAIL_MIN_WAIT_US, MAIL_LOOKBACK_US))
+    return rows.select("instance", "mailbox", "note_id", whole_div(wait, SECOND).alias("wait_s"))
 
-    Each document is copied to the scans that see it; there is no join over time.
-    """
-    first = F.greatest(F.col("added_us") + F.lit(MAIL_MIN_WAIT_US), F.lit(int(from_us)))
-    last = F.least(F.col("added_us") + F.lit(MAIL_LOOKBACK_US), F.lit(int(to_us)))
-    first = F.lit(int(from_us)) + ceil_to(first - F.lit(int(from_us)), every_us)
-    scans = F.when(first <= last, F.sequence(first, last, F.lit(int(every_us))))
-    rows = deliverable(mail).where("added_us IS NOT NULL").withColumn("scan_us", F.explode(scans))
-    return rows.select(
-        "scan_us", "mailbox", "note_id", whole_div(F.col("scan_us") - F.col("added_us"), SECOND).alias("wait_s")
-    )
 
+def age_buckets(
+    mail: DataFrame, from_us: int, to_us: int, every_us: int, min_wait_us: int = MAIL_MIN_WAIT_US, servers: DataFrame | None = None
+) -> DataFrame:
+    """Per server and scan: pending documents by age, their number, mean wait and unreadable documents.
 
-def age_buckets(mail: DataFrame, from_us: int, to_us: int, every_us: int, min_wait_us: int = MAIL_MIN_WAIT_US) -> DataFrame:
-    """Per scan: pending documents by age, their number, mean wait and unreadable documents.
-
-    Documents are first counted per pane (panes divide the scan distance and every age limit), so
-    only panes are copied to the scans, however many documents there are. The longest wait is
+    Every server (of ``servers``, else of ``mail``) has a row for every scan, zeros when its queue is
+    empty. Documents are first counted per pane (panes divide the scan distance and every age limit),
+    so only panes are copied to the scans, however many documents there are. The longest wait is
     inclusive, so documents exactly on a pane's right edge are counted apart.
     """
     pane = gcd(int(every_us), 5 * MINUTE, MAIL_LOOKBACK_US, int(min_wait_us) or 5 * MINUTE)
@@ -46,20 +41,21 @@ def age_buckets(mail: DataFrame, from_us: int, to_us: int, every_us: int, min_wa
         "pane": ceil_to(F.col("added_us") - F.lit(offset), pane) + F.lit(offset),
         "sec": whole_div(F.col("added_us") + F.lit(SECOND - 1), SECOND) - F.lit(base),
     })
-    panes = rows.groupBy("pane", (F.col("added_us") == F.col("pane")).alias("edge")).agg(
+    panes = rows.groupBy("instance", "pane", (F.col("added_us") == F.col("pane")).alias("edge")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("sec").alias("sec")
     )
     start, every = F.lit(int(from_us)), int(every_us)
+    every_scan = F.sequence(start, F.lit(int(to_us)), F.lit(every))
     # A pane (p - pane, p] waits [scan - p, scan - p + pane); only its edge reaches the full look-back.
     first = F.greatest(F.col("pane") + F.lit(int(min_wait_us)), start)
     reach = F.when(F.col("edge"), F.lit(MAIL_LOOKBACK_US)).otherwise(F.lit(MAIL_LOOKBACK_US - pane))
     last = F.least(F.col("pane") + reach, F.lit(int(to_us)))
     first = start + ceil_to(first - start, every)
     unreadable = F.col("pane").isNull()
-    seen = F.when(unreadable, F.sequence(start, F.lit(int(to_us)), F.lit(every))).when(
-        first <= last, F.sequence(first, last, F.lit(every))
-    )
+    seen = F.when(unreadable, every_scan).when(first <= last, F.sequence(first, last, F.lit(every)))
     placed = panes.withColumn("scan_us", F.explode(seen))
+    checked = (mail if servers is None else servers).select("instance").distinct().withColumn("scan_us", F.explode(every_scan))
+    placed = placed.unionByName(checked, allowMissingColumns=True)
     age = F.col("scan_us") - F.col("pane")
     n, known = F.col("n"), ~unreadable
 
@@ -70,11 +66,11 @@ def age_buckets(mail: DataFrame, from_us: int, to_us: int, every_us: int, min_wa
     total = F.sum(F.when(known, n).otherwise(0))
     wait = F.sum(F.when(known, n * (whole_div(F.col("scan_us"), SECOND) - F.lit(base)) - F.col("sec")).otherwise(0))
     return (
-        placed.groupBy("scan_us")
+        placed.groupBy("instance", "scan_us")
         .agg(
             between(0, 5).alias("lt_5m"), between(5, 15).alias("m5_15"), between(15, 60).alias("m15_60"),
             between(60).alias("ge_60m"), total.alias("n"), wait.alias("_wait"),
-            F.sum(F.when(unreadable, n).otherwise(0)).alias("errors"),
+            F.sum(F.when(unreadable, F.coalesce(n, F.lit(0))).otherwise(0)).alias("errors"),
         )
         .withColumn("avg_s", F.coalesce(F.expr("_wait div nullif(n, 0)"), F.lit(0).cast("bigint")))
         .drop("_wait")

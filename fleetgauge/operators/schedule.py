@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import (
-    DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, HOUR, MAINT_MANUAL, MAINT_NONE, MAINT_WINDOW, SECOND,
+    DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, MAINT_MANUAL, MAINT_NONE, MAINT_WINDOW, SECOND,
 )
 from fleetgauge.functions.scan import last_seen, ordered_scan, running_max
+from fleetgauge.operators.intervals import FOREVER
 from fleetgauge.functions.text import duration_text, epoch_us, matched_number, once, whole_div
 
 # --- business calendar -------------------------------------------------------------------
@@ -83,16 +84,10 @@ def _hours(spec: Column) -> Column:
 def business_time(samples: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFrame:
     """Add ``business_day`` and ``business_hours`` (0/1); servers without a calendar are always in.
 
-    The calendar is folded to one row per server (seven days at most), so this is a single
-    equi-join on the server; Spark broadcasts it when it is small enough and splits hot servers
+    The calendar is folded to one row per server (seven days), so this is a single equi-join on the server; Spark broadcasts it when it is small enough and splits hot servers
     of a sort-merge join otherwise.
     """
-    day = F.struct("is_business_day", "start_s", "end_s")
-    per_server = calendar.groupBy("instance").agg(
-        F.map_from_entries(F.collect_set(F.struct(F.col("weekday").cast("bigint").alias("k"), day.alias("v")))).alias("_days"),
-        F.max("zone").alias("_zone"), F.max("dst").alias("_dst"),
-    )
-    rows = samples.join(per_server, "instance", "left")
+    rows = samples.join(_per_server(calendar), "instance", "left")
     local = whole_div(F.col(ts), SECOND) + (F.col("_dst") - F.col("_zone")) * 3600
     rows = once(rows, {"_local": local})
     # 1970-01-01 was a Thursday; weekday 0 is Sunday.
@@ -108,6 +103,43 @@ def business_time(samples: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFr
     }).drop("_days", "_zone", "_dst", "_local", "_day", "_s")
 
 
+def _per_server(calendar: DataFrame) -> DataFrame:
+    """One row per server with its week. Of two rows for one weekday the greater in (business day, start, end) counts."""
+    day = F.struct("is_business_day", "start_s", "end_s")
+    days = calendar.groupBy("instance", F.col("weekday").cast("bigint").alias("k")).agg(
+        F.max(day).alias("v"), F.max("zone").alias("zone"), F.max("dst").alias("dst"))
+    return days.groupBy("instance").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_days"),  # seven at most
+        F.max("zone").alias("_zone"), F.max("dst").alias("_dst"))
+
+
+def business_parts(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """What lies in business time of each interval (instance, s, e and more), cut at the calendar's midnights.
+
+    The hours' last second counts whole. Servers without a calendar are always in."""
+    rows = intervals.join(_per_server(calendar), "instance", "left")
+    shift = (F.col("_dst") - F.col("_zone")) * 3600
+
+    def day_of(us):
+        return whole_div(whole_div(us, SECOND) + shift, 86400)
+
+    days = F.when(F.col("_days").isNotNull(), F.sequence(day_of(F.col("s")), day_of(F.col("e") - 1)))
+    rows = rows.withColumn("_d", F.explode_outer(days))
+    rows = once(rows, {"_day": F.col("_days")[F.pmod(F.col("_d") + 4, F.lit(7))]})
+    a, b = F.col("_day.start_s"), F.col("_day.end_s")
+
+    def span(low, high):
+        at = lambda second: (F.col("_d") * 86400 + second - shift) * SECOND
+        return F.struct(F.greatest(F.col("s"), at(low)).alias("a"), F.least(F.col("e"), at(high)).alias("b"))
+
+    whole = F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b")))
+    zero, end = F.lit(0), F.lit(86400)
+    inside = F.when(a <= b, F.array(span(a, b + 1))).otherwise(F.array(span(zero, b + 1), span(a, end)))
+    parts = F.when(F.col("_days").isNull(), whole).when(F.col("_day.is_business_day"), inside)
+    rows = rows.withColumn("_p", F.explode(parts)).where("_p.b > _p.a")
+    return rows.withColumns({"s": F.col("_p.a"), "e": F.col("_p.b")}).select(*intervals.columns)
+
+
 def business_uptime(up: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFrame:
     """Share of answered probes inside business time per server and UTC day."""
     inside = business_time(up, calendar, ts).where("business_hours = 1")
@@ -121,40 +153,18 @@ def business_uptime(up: DataFrame, calendar: DataFrame, ts="ts_us") -> DataFrame
 # --- maintenance -------------------------------------------------------------------------
 
 
-def disjoint_windows(maint: DataFrame, bucket_us: int = HOUR, keys=("instance",)) -> DataFrame:
-    """Closed windows cut at bucket edges and merged inside each bucket, so that no two overlap."""
-    keys = list(keys)
-    b = int(bucket_us)
-    bucket = F.explode(F.sequence(whole_div(F.col("start_us"), b), whole_div(F.col("end_us"), b)))
-    cut = maint.where("end_us >= start_us").select(*keys, "start_us", "end_us", bucket.alias("bucket")).select(
-        *keys, "bucket",
-        F.greatest("start_us", F.col("bucket") * b).alias("a"),
-        F.least("end_us", (F.col("bucket") + 1) * b - 1).alias("b"),
-    )
-    cut = cut.groupBy(*keys, "bucket", "a").agg(F.max("b").alias("b"))
-    order = Window.partitionBy(*keys, "bucket").orderBy("a")
-    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("_new", F.when(F.coalesce(before, F.lit(-1)) + 1 < F.col("a"), 1).otherwise(0))
-    cut = cut.withColumn("_island", F.sum("_new").over(order))
-    return cut.groupBy(*keys, "bucket", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
-
-
-def maintenance_status(
-    samples: DataFrame, maint: DataFrame, manual: DataFrame | None = None, ts="ts_us", bucket_us: int = HOUR
-) -> DataFrame:
+def maintenance_status(samples: DataFrame, maint: DataFrame, manual: DataFrame | None = None, ts="ts_us") -> DataFrame:
     """Add ``maintenance_status``: 1 switched on by hand, 3 inside a window (ends inclusive), else 0.
 
-    Windows become disjoint pieces per (server, bucket), so a sample meets at most one of them in
-    an equi-join; open-ended windows reduce to their earliest start per server.
+    A sample is inside a window if the latest end among the windows that start no later is not before
+    it: one running maximum over windows and samples, whatever the length of a window.
     """
-    pieces = disjoint_windows(maint, bucket_us).withColumnsRenamed({"instance": "_i", "bucket": "_hour", "a": "_a", "b": "_b"})
-    open_from = maint.where("end_us IS NULL AND start_us IS NOT NULL").groupBy("instance").agg(F.min("start_us").alias("_open"))
-    rows = samples.withColumn("_bucket", whole_div(F.col(ts), int(bucket_us)))
-    rows = rows.join(open_from, "instance", "left")
-    hit = (F.col("instance") == F.col("_i")) & (F.col("_bucket") == F.col("_hour")) & F.col(ts).between(F.col("_a"), F.col("_b"))
-    rows = rows.join(pieces, hit, "left")
-    inside = F.col("_a").isNotNull() | (F.col(ts) >= F.col("_open"))
-    status = F.when(inside, MAINT_WINDOW).otherwise(MAINT_NONE)
+    windows = maint.where("start_us IS NOT NULL AND (end_us IS NULL OR end_us >= start_us)").groupBy(
+        "instance", F.col("start_us").alias("_at")).agg(F.max(F.coalesce("end_us", F.lit(FOREVER))).alias("_end"))
+    rows = samples.withColumns({"_at": F.col(ts), "_rank": F.lit(1), "_end": F.lit(None).cast("bigint")})
+    both = rows.unionByName(windows.withColumn("_rank", F.lit(0)), allowMissingColumns=True)
+    rows = ordered_scan(both, ["instance"], ["_at", "_rank"], [running_max("_end", "_until")]).where("_rank = 1")
+    status = F.when(F.col("_until") >= F.col(ts), MAINT_WINDOW).otherwise(MAINT_NONE)
     if manual is not None:
         flags = manual.select("instance").distinct().withColumn("_manual", F.lit(True))
         rows = rows.join(flags, "instance", "left")
@@ -172,11 +182,11 @@ def maintenance_commands(commands: DataFrame) -> DataFrame:
     stamp = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?$"
 
     def minutes(prefix):
-        rest = F.substring(cmd, len(prefix) + 1, 1_000_000)
+        rest = F.expr(f"substring(cmd, {len(prefix) + 1})")
         return F.coalesce(matched_number(rest, r"^\s*([+-]?\d+)", 1), F.lit(0))
 
     def moment(prefix):
-        text = F.substring(cmd, len(prefix) + 1, 1_000_000)
+        text = F.expr(f"substring(cmd, {len(prefix) + 1})")
         return F.when(text.rlike(stamp), text.try_cast("timestamp_ntz"))
 
     after = lambda prefix: now + minutes(prefix) * F.lit(60 * SECOND)

@@ -17,7 +17,6 @@ from fleetgauge.plans.schedule_jobs import BUSINESS, STATUS_SQL, manual
 from fleetgauge.plans.stat_jobs import EXCLUDE, EXTENTS, INCLUDE, KEY, PING, STATE, kept_sql, milli_text_sql, sanitize_sql
 
 AT, BUILD = v.AT_US, 10000
-MAIL_SERVER = "srv0"
 
 
 def families(spark, sf) -> list:
@@ -37,8 +36,8 @@ def families(spark, sf) -> list:
         F.max(F.struct("ts_us", "event_id", "ping_err", "ping_ms", "open_err", "open_ms")).alias("p")
     ).select("instance", "p.*")
     known = config.join(up.select("instance"), "instance", "left_semi")
-    buckets = mb.age_buckets(v.mail(spark, sf), AT, AT, DAY).withColumn("instance", F.lit(MAIL_SERVER))
-    today = v.stats(spark, sf).where((F.col("snapshot") == AT // DAY))
+    buckets = mb.age_buckets(v.mail(spark, sf), AT, AT, DAY, servers=up)
+    today = v.stats(spark, sf).where((F.col("snapshot") == AT // DAY) & (F.col("ts_us") <= AT))
     return [
         co.common(servers, AT, BUILD),
         co.state(he.server_state(probe)),
@@ -49,7 +48,7 @@ def families(spark, sf) -> list:
         co.business(sc.business_time(up, v.calendar(spark))),
         co.statistics(today, "Brand#3", INCLUDE, EXCLUDE),
         co.plain(he.backup_status(
-            v.backup_stats(spark, sf).where(whole_div(F.col("value_us"), DAY) == AT // DAY), v.BACKUP_FACILITY)),
+            v.backup_stats(spark, sf).where((whole_div(F.col("value_us"), DAY) == AT // DAY) & (F.col("value_us") <= AT)), v.BACKUP_FACILITY)),
     ]
 
 
@@ -72,13 +71,13 @@ COLLECTION = {
     "conf": "SELECT * FROM server_config SEMI JOIN srv USING (instance)",
     "logs0": "SELECT c.instance, c.log_style, coalesce(n_files, 0) AS n_files, min_no, max_no FROM conf c LEFT JOIN extents USING (instance)",
     "dsk": """SELECT *, concat('{component="', component, '", path="', path, '"}') AS lab FROM disks WHERE path <> ''""",
-    "waits": f"""SELECT ({AT} - added_us) // 1000000 AS w FROM mail WHERE delivery_priority <> 'L' AND NOT has_send_at
+    "waits": f"""SELECT instance, ({AT} - added_us) // 1000000 AS w FROM mail WHERE delivery_priority <> 'L' AND NOT has_send_at
         AND added_us <= {AT - MAIL_MIN_WAIT_US} AND added_us >= {AT - MAIL_LOOKBACK_US}""",
-    "box": f"""SELECT '{MAIL_SERVER}' AS instance, count(*) AS n, sum(w) // count(*) AS avg_s, count(*) FILTER (w < 900) AS a,
-        count(*) FILTER (w >= 900 AND w < 3600) AS b, count(*) FILTER (w >= 3600) AS c FROM waits HAVING count(*) > 0""",
-    "firsts": f"""SELECT * FROM stats WHERE snapshot = {AT // DAY} AND facility IS NOT NULL AND lower(facility) <> 'brand#3'
+    "box": """SELECT instance, coalesce(CAST(sum(w) // nullif(count(w), 0) AS BIGINT), 0) AS avg_s, count(*) FILTER (w < 900) AS a,
+        count(*) FILTER (w >= 900 AND w < 3600) AS b, count(*) FILTER (w >= 3600) AS c FROM srv LEFT JOIN waits USING (instance) GROUP BY ALL""",
+    "firsts": f"""SELECT * FROM stats WHERE snapshot = {AT // DAY} AND ts_us <= {AT} AND facility IS NOT NULL AND lower(facility) <> 'brand#3'
         AND ({kept_sql(INCLUDE, EXCLUDE)}) QUALIFY row_number() OVER (PARTITION BY instance, {KEY} ORDER BY event_id) = 1""",
-    "bk": f"""SELECT *, lower(stat) AS s FROM backup_stats WHERE value_us // {DAY} = {AT // DAY}
+    "bk": f"""SELECT *, lower(stat) AS s FROM backup_stats WHERE value_us // {DAY} = {AT // DAY} AND value_us <= {AT}
         AND (facility = '{v.BACKUP_FACILITY}' OR s = 'time.start')""",
 }
 NUMBER_MILLI = "CAST(trunc(value_number * 1000.0::DOUBLE + CASE WHEN value_number >= 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS BIGINT)"

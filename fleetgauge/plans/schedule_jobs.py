@@ -191,28 +191,106 @@ def wn_alert_for(spark, sf):
     return al.alert_episodes(v.evals(spark, sf), FOR_US)
 
 
-@job("jn_alert_inhibit", """
-    SELECT alert_id, severity, instance, starts_us FROM alerts a WHERE severity <> 'warning' OR NOT EXISTS (
-      SELECT 1 FROM alerts c WHERE c.severity = 'critical' AND c.alertname = a.alertname AND c.instance = a.instance
-        AND c.starts_us < coalesce(a.ends_us, 9000000000000000000) AND coalesce(c.ends_us, 9000000000000000000) > a.starts_us)""", "alerts")
+KEEP_US = 2 * HOUR
+# Walks the evaluations of a server one by one: what is active, since when, fired when, false since when.
+KEPT = {
+    "steps": "SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ts_us, event_id) AS k FROM evals",
+    "walk": f"""
+        SELECT instance, k, ts_us, CASE WHEN active THEN ts_us END AS act, CAST(NULL AS BIGINT) AS fired, CAST(NULL AS BIGINT) AS fell,
+          CAST(NULL AS BIGINT) AS ended_act, CAST(NULL AS BIGINT) AS ended_fired FROM steps WHERE k = 1
+        UNION ALL
+        SELECT n.instance, n.k, n.ts_us,
+          CASE WHEN n.active THEN coalesce(w.act, n.ts_us)
+               WHEN w.fired IS NULL OR n.ts_us >= coalesce(w.fell, n.ts_us) + {KEEP_US} THEN NULL ELSE w.act END,
+          CASE WHEN n.active THEN CASE WHEN w.fired IS NOT NULL THEN w.fired WHEN n.ts_us >= coalesce(w.act, n.ts_us) + {FOR_US} THEN n.ts_us END
+               WHEN n.ts_us >= coalesce(w.fell, n.ts_us) + {KEEP_US} THEN NULL ELSE w.fired END,
+          CASE WHEN n.active THEN NULL WHEN w.fired IS NULL OR n.ts_us >= coalesce(w.fell, n.ts_us) + {KEEP_US} THEN NULL ELSE coalesce(w.fell, n.ts_us) END,
+          CASE WHEN NOT n.active AND w.act IS NOT NULL AND (w.fired IS NULL OR n.ts_us >= coalesce(w.fell, n.ts_us) + {KEEP_US}) THEN w.act END,
+          CASE WHEN NOT n.active AND w.fired IS NOT NULL AND n.ts_us >= coalesce(w.fell, n.ts_us) + {KEEP_US} THEN w.fired END
+        FROM walk w JOIN steps n ON n.instance = w.instance AND n.k = w.k + 1""",
+    "last": "SELECT instance, act, fired FROM walk QUALIFY row_number() OVER (PARTITION BY instance ORDER BY k DESC) = 1",
+}
+
+
+@job("wn_alert_keep", """
+    SELECT instance, ended_act AS active_at, ended_fired AS fires_at, ts_us AS resolved_at FROM walk WHERE ended_act IS NOT NULL
+    UNION ALL SELECT instance, act, fired, NULL FROM last WHERE act IS NOT NULL""", "evals", KEPT)
+def wn_alert_keep(spark, sf):
+    return al.alert_episodes(v.evals(spark, sf), FOR_US, keep_us=KEEP_US)
+
+
+NO_END = 9_000_000_000_000_000_000
+# The twins cut an alert at every boundary inside it and keep the pieces that nothing covers.
+INHIBIT = {
+    "spans": f"SELECT *, starts_us AS s, coalesce(ends_us, {NO_END}) AS e FROM alerts",
+    "src": "SELECT alertname, instance, s, e FROM spans WHERE severity = 'critical' AND e > s",
+    "tgt": "SELECT * FROM spans WHERE severity = 'warning' AND e > s",
+    "pts": """
+        SELECT alert_id, s AS p FROM tgt UNION SELECT alert_id, e FROM tgt
+        UNION SELECT t.alert_id, c.s FROM tgt t JOIN src c USING (alertname, instance) WHERE c.s > t.s AND c.s < t.e
+        UNION SELECT t.alert_id, c.e FROM tgt t JOIN src c USING (alertname, instance) WHERE c.e > t.s AND c.e < t.e""",
+    "segs": "SELECT alert_id, p AS ps, lead(p) OVER (PARTITION BY alert_id ORDER BY p) AS pe FROM pts",
+    "free": """
+        SELECT t.alert_id, t.severity, t.instance, g.ps, g.pe FROM segs g JOIN tgt t USING (alert_id)
+        WHERE g.pe IS NOT NULL AND NOT EXISTS (SELECT 1 FROM src c WHERE c.alertname = t.alertname AND c.instance = t.instance AND c.s <= g.ps AND c.e > g.ps)""",
+}
+
+
+@job("jn_alert_inhibit", f"""
+    SELECT alert_id, severity, instance, ps AS starts_us, nullif(pe, {NO_END}) AS ends_us FROM free
+    UNION ALL SELECT alert_id, severity, instance, starts_us, ends_us FROM alerts WHERE severity <> 'warning'""", "alerts", INHIBIT)
 def jn_alert_inhibit(spark, sf):
-    return al.alert_inhibit(v.alerts(spark, sf)).select("alert_id", "severity", "instance", "starts_us")
+    return al.alert_inhibit(v.alerts(spark, sf)).select("alert_id", "severity", "instance", "starts_us", "ends_us")
+
+
+SUPPRESS = {
+    "spans": f"""
+        SELECT a.*, starts_us AS s, coalesce(ends_us, {v.TO_US}) AS e, c.shift
+        FROM alerts a LEFT JOIN (SELECT DISTINCT instance, (dst - zone) * 3600 AS shift FROM calendar) c USING (instance)
+        WHERE instance NOT IN ('{"', '".join(MANUAL)}') AND coalesce(ends_us, {v.TO_US}) > starts_us""",
+    "days": """
+        SELECT *, unnest(range((s // 1000000 + shift) // 86400, ((e - 1) // 1000000 + shift) // 86400 + 1)) AS d
+        FROM spans WHERE shift IS NOT NULL""",
+    "hours": """
+        SELECT d.*, c.start_s AS a, c.end_s AS b FROM days d JOIN calendar c
+          ON c.instance = d.instance AND c.weekday = (d.d + 4) % 7 AND c.is_business_day""",
+    "cuts": """
+        SELECT alert_id, severity, instance, ends_us, s, e, s AS a, e AS b FROM spans WHERE shift IS NULL
+        UNION ALL SELECT alert_id, severity, instance, ends_us, s, e, (d * 86400 + a - shift) * 1000000, (d * 86400 + b + 1 - shift) * 1000000 FROM hours WHERE a <= b
+        UNION ALL SELECT alert_id, severity, instance, ends_us, s, e, (d * 86400 - shift) * 1000000, (d * 86400 + b + 1 - shift) * 1000000 FROM hours WHERE a > b
+        UNION ALL SELECT alert_id, severity, instance, ends_us, s, e, (d * 86400 + a - shift) * 1000000, (d * 86400 + 86400 - shift) * 1000000 FROM hours WHERE a > b""",
+    "parts": """
+        SELECT row_number() OVER () AS k, * FROM (SELECT alert_id, severity, instance, ends_us, greatest(s, a) AS ps, least(e, b) AS pe FROM cuts) WHERE pe > ps""",
+    "win": f"SELECT instance, start_us AS s, coalesce(end_us + 1, {NO_END}) AS e FROM maint",
+    "pts": """
+        SELECT k, ps AS p FROM parts UNION SELECT k, pe FROM parts
+        UNION SELECT k, w.s FROM parts t JOIN win w USING (instance) WHERE w.s > t.ps AND w.s < t.pe
+        UNION SELECT k, w.e FROM parts t JOIN win w USING (instance) WHERE w.e > t.ps AND w.e < t.pe""",
+    "segs": "SELECT k, p AS gs, lead(p) OVER (PARTITION BY k ORDER BY p) AS ge FROM pts",
+}
 
 
 @job("jn_alert_suppress", f"""
-    SELECT alert_id, severity, instance, starts_us FROM timed s WHERE business_hours = 1 AND {STATUS_SQL.format(ts='starts_us')} = 0""",
-     "alerts calendar maint", {"marks": "SELECT *, starts_us AS ts_us FROM alerts", **BUSINESS})
+    SELECT alert_id, severity, t.instance, gs AS starts_us, CASE WHEN ends_us IS NULL AND ge = {v.TO_US} THEN NULL ELSE ge END AS ends_us
+    FROM segs g JOIN parts t USING (k) WHERE ge IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM win w WHERE w.instance = t.instance AND w.s <= g.gs AND w.e > g.gs)""", "alerts calendar maint", SUPPRESS)
 def jn_alert_suppress(spark, sf):
-    out = al.alert_suppress(v.alerts(spark, sf), v.calendar(spark), v.maint(spark, sf), manual(spark))
-    return out.select("alert_id", "severity", "instance", "starts_us")
+    out = al.alert_suppress(v.alerts(spark, sf), v.calendar(spark), v.maint(spark, sf), v.TO_US, manual(spark))
+    return out.select("alert_id", "severity", "instance", "starts_us", "ends_us")
+
+
+# An alert was last reported when its condition last held before the instant.
+REPORTED = {"reported": f"""
+    SELECT a.*, coalesce(ends_us, u + 300000000) AS over_us FROM alerts a LEFT JOIN (
+      SELECT instance, severity, max(ts_us) AS u FROM alert_evals WHERE ts_us <= {v.AT_US} GROUP BY ALL) USING (instance, severity)"""}
 
 
 @job("ag_alert_groups", f"""
     SELECT alertname, coalesce(cluster, '') AS cluster, coalesce(service, '') AS service, count(*) AS n, min(starts_us) AS starts_us
-    FROM alerts WHERE starts_us <= {v.AT_US} AND (ends_us IS NULL OR ends_us > {v.AT_US}) GROUP BY ALL""", "alerts")
+    FROM reported WHERE starts_us <= {v.AT_US} AND over_us > {v.AT_US} GROUP BY ALL""", "alert_evals alerts", REPORTED)
 def ag_alert_groups(spark, sf):
-    active = v.alerts(spark, sf).where((F.col("starts_us") <= v.AT_US) & (F.col("ends_us").isNull() | (F.col("ends_us") > v.AT_US)))
-    return al.alert_groups(active)
+    heard = v.alert_evals(spark, sf).where(F.col("ts_us") <= v.AT_US).groupBy("instance", "severity").agg(F.max("ts_us").alias("updated_us"))
+    return al.alert_groups(v.alerts(spark, sf).join(heard, ["instance", "severity"], "left"), v.AT_US, updated="updated_us")
 
 
 # Annotation texts of the down rule.
@@ -222,30 +300,3 @@ TEMPLATES = {"summary": "Instance down", "description": "{{ $labels.instance }}
 @job("prj_alert_text", "SELECT alert_id, 'Instance down' AS summary, concat(instance, ' is unreachable') AS description FROM alerts", "alerts")
 def prj_alert_text(spark, sf):
     return al.alert_text(v.alerts(spark, sf), TEMPLATES).select("alert_id", "summary", "description")
-
-
-# Long waits, so that the twin can look at every tick.
-WAITS = {"wait_us": 30 * MINUTE, "interval_us": 2 * HOUR, "repeat_us": 7 * HOUR}
-NOTICES = {
-    "g": """SELECT concat(alertname, '|', coalesce(cluster, ''), '|', coalesce(service, '')) AS k, starts_us AS s,
-              coalesce(ends_us, 9000000000000000000) AS e FROM alerts""",
-    "looks": f"""
-        SELECT k, min(s) + {WAITS['wait_us']} AS t, CAST(-1 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS said, '' AS kind, 0 AS step FROM g GROUP BY k
-        UNION ALL
-        SELECT k, CASE WHEN live = 0 THEN nxt + {WAITS['wait_us']} ELSE t + {WAITS['interval_us']} END,
-          CASE WHEN live = 0 THEN -1 ELSE t END, CASE WHEN kind <> '' THEN t ELSE said END, kind, step + 1
-        FROM (SELECT l.k, l.t, l.said, l.step, (count(*) FILTER (g.s <= l.t AND g.e > l.t)) AS live, min(g.s) FILTER (g.s > l.t) AS nxt,
-                CASE WHEN (count(*) FILTER (g.s > l.p AND g.s <= l.t AND g.e > l.t)) > 0 THEN 'firing'
-                     WHEN l.p >= 0 AND (count(*) FILTER (g.s <= l.p AND g.e > l.p AND g.e <= l.t)) > 0 THEN 'resolved'
-                     WHEN (count(*) FILTER (g.s <= l.t AND g.e > l.t)) > 0 AND l.t - l.said >= {WAITS['repeat_us']} THEN 'repeat' ELSE '' END AS kind
-              FROM looks l JOIN g USING (k) WHERE l.t <= {v.TO_US} GROUP BY l.k, l.t, l.p, l.said, l.step)
-        WHERE live > 0 OR nxt IS NOT NULL OR kind <> ''""",
-}
-NOTICES_SQL = """
-    SELECT split_part(k, '|', 1) AS alertname, split_part(k, '|', 2) AS cluster, split_part(k, '|', 3) AS service,
-      said AS notify_us, kind FROM looks WHERE kind <> ''"""
-
-
-@job("ag_alert_notices", NOTICES_SQL, "alerts", NOTICES)
-def ag_alert_notices(spark, sf):
-    return al.alert_notices(v.alerts(spark, sf), v.TO_US, **WAITS).drop("n_active")

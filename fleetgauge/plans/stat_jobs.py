@@ -52,26 +52,29 @@ def src_stat_catalog(spark, sf):
 
 EVERY = 6 * HOUR
 SCANS = {"scans": f"SELECT unnest(range({v.FROM_US}, {v.TO_US} + 1, {EVERY})) AS scan_us"}
-PENDING = f"""FROM scans JOIN mail ON delivery_priority <> 'L' AND NOT has_send_at
+PENDING = f"""FROM scans CROSS JOIN (SELECT DISTINCT instance FROM mail) i LEFT JOIN mail ON mail.instance = i.instance AND delivery_priority <> 'L' AND NOT has_send_at
     AND added_us <= scan_us - {MAIL_MIN_WAIT_US} AND added_us >= scan_us - {MAIL_LOOKBACK_US}"""
 
 
-@job("src_mailbox_pending", f"SELECT scan_us, mailbox, note_id, (scan_us - added_us) // 1000000 AS wait_s {PENDING}", "mail", SCANS)
+WAITING = f"""FROM mail WHERE delivery_priority <> 'L' AND NOT has_send_at
+    AND added_us <= {v.AT_US - MAIL_MIN_WAIT_US} AND added_us >= {v.AT_US - MAIL_LOOKBACK_US}"""
+
+
+@job("src_mailbox_pending", f"SELECT instance, mailbox, note_id, ({v.AT_US} - added_us) // 1000000 AS wait_s {WAITING}", "mail")
 def src_mailbox_pending(spark, sf):
-    return mb.pending(v.mail(spark, sf), v.FROM_US, v.TO_US, EVERY)
+    return mb.pending(v.mail(spark, sf), v.AT_US)
 
 
-@job("flt_mail_pending", f"SELECT scan_us, note_id {PENDING}", "mail",
-     {"scans": f"SELECT unnest(range({v.FROM_US}, {v.TO_US} + 1, {DAY})) AS scan_us"})
+@job("flt_mail_pending", f"SELECT note_id {WAITING}", "mail")
 def flt_mail_pending(spark, sf):
-    return mb.pending(v.mail(spark, sf), v.FROM_US, v.TO_US, DAY).select("scan_us", "note_id")
+    return mb.pending(v.mail(spark, sf), v.AT_US).select("note_id")
 
 
 @job("ag_mail_age_buckets", f"""
-    SELECT scan_us, count(*) FILTER (wait_s < 300) AS lt_5m, count(*) FILTER (wait_s >= 300 AND wait_s < 900) AS m5_15,
-      count(*) FILTER (wait_s >= 900 AND wait_s < 3600) AS m15_60, count(*) FILTER (wait_s >= 3600) AS ge_60m, count(*) AS n,
-      CAST(sum(wait_s) // count(*) AS BIGINT) AS avg_s, CAST(0 AS BIGINT) AS errors
-    FROM (SELECT scan_us, (scan_us - added_us) // 1000000 AS wait_s {PENDING}) GROUP BY ALL""", "mail", SCANS)
+    SELECT instance, scan_us, count(*) FILTER (wait_s < 300) AS lt_5m, count(*) FILTER (wait_s >= 300 AND wait_s < 900) AS m5_15,
+      count(*) FILTER (wait_s >= 900 AND wait_s < 3600) AS m15_60, count(*) FILTER (wait_s >= 3600) AS ge_60m, count(wait_s) AS n,
+      CAST(coalesce(sum(wait_s) // nullif(count(wait_s), 0), 0) AS BIGINT) AS avg_s, CAST(0 AS BIGINT) AS errors
+    FROM (SELECT i.instance, scan_us, (scan_us - added_us) // 1000000 AS wait_s {PENDING}) GROUP BY ALL""", "mail", SCANS)
 def ag_mail_age_buckets(spark, sf):
     return mb.age_buckets(v.mail(spark, sf), v.FROM_US, v.TO_US, EVERY)
 

@@ -95,16 +95,3 @@ def st_sample_thinning(spark, sf):
     arriving(rows, "ts_us", src,
              lambda s: stateful.sample_thinning(s, out, f"{out}/checkpoint", tj.THIN))
     return spark.read.parquet(f"{out}/kept").drop("batch")
-
-
-@job("st_alert_notify", sj.NOTICES_SQL + """ AND said <= (SELECT max(greatest(starts_us, coalesce(ends_us, starts_us))) FROM alerts)""",
-     "alerts", sj.NOTICES)
-def st_alert_notify(spark, sf):
-    src, out = fresh_dir(spark, "alerts"), fresh_dir(spark, "notices")
-    labels = ["alert_id", "alertname", "cluster", "service", "starts_us"]
-    moves = v.alerts(spark, sf).select(*labels, F.explode(F.array(
-        F.struct(F.col("starts_us").alias("at_us"), F.lit(None).cast("bigint").alias("ends_us")),
-        F.struct(F.col("ends_us").alias("at_us"), F.col("ends_us")),
-    )).alias("m")).select(*labels, "m.at_us", "m.ends_us").where("at_us IS NOT NULL")
-    arriving(moves, "at_us", src, lambda s: stateful.alert_notify(s, out, f"{out}/checkpoint", **sj.WAITS))
-    return spark.read.parquet(f"{out}/notices").drop("batch", "n_active")

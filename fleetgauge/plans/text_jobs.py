@@ -136,10 +136,11 @@ def prj_json_fields(spark, sf):
 
 
 @job("prj_promote_labels", f"""
-    SELECT event_id, concat('{{job="{v.JOB}", method="', method, '", namespace="web", pod="proxy-1", status="', status, '"}}') AS series_key, line
-    FROM logs WHERE NOT corrupt""", "logs")
+    SELECT event_id, CASE WHEN corrupt THEN '{{job="{v.JOB}", namespace="web", pod="proxy-1"}}'
+      ELSE concat('{{job="{v.JOB}", method="', method, '", namespace="web", pod="proxy-1", status="', status, '"}}') END AS series_key, line
+    FROM logs""", "logs")
 def prj_promote_labels(spark, sf):
-    rows = lg.parse_access_log(v.loglines(spark, sf)).where("NOT corrupt")
+    rows = lg.parse_access_log(v.loglines(spark, sf))
     return lg.promote_labels(rows, v.JOB, "web", "proxy-1").select("event_id", "series_key", "line")
 
 
@@ -149,8 +150,8 @@ def prj_promote_labels(spark, sf):
     FROM loglines JOIN events USING (event_id)""", "loglines")
 def src_log_tail(spark, sf):
     path = fresh_dir(spark, "log")
-    day = v.events(spark, sf).select("event_id", F.to_date("ts").alias("d"))
-    lines = v.loglines(spark, sf).join(day, "event_id").repartition("d").sortWithinPartitions("d", "event_id")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), whole_div(F.col("ts_us"), DAY).cast("int"))
+    lines = v.loglines(spark, sf).withColumn("d", day).repartition("d").sortWithinPartitions("d", "event_id")
     lines.select("d", F.col("line").alias("value")).write.partitionBy("d").text(path)
     return lg.read_log(spark, path, v.JOB, "(d=[^/]+)/")
 
@@ -175,8 +176,7 @@ KEEP_DAYS, KEEP_BYTES = 20, 600_000
     FROM (SELECT epoch_us(ts) // {DAY} AS day, CAST(sum(strlen(line)) AS BIGINT) AS bytes
           FROM loglines JOIN events USING (event_id) GROUP BY ALL)""", "loglines")
 def snk_retention(spark, sf):
-    lines = v.loglines(spark, sf).select("event_id", F.octet_length("line").cast("bigint").alias("bytes"))
-    sizes = lines.join(v.events(spark, sf).select("event_id", whole_div(F.col("ts_us"), DAY).alias("day")), "event_id")
+    sizes = v.loglines(spark, sf).select(F.octet_length("line").cast("bigint").alias("bytes"), whole_div(F.col("ts_us"), DAY).alias("day"))
     return st.retention(sizes, v.TO_US // DAY, KEEP_DAYS, KEEP_BYTES)
 
 

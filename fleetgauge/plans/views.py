@@ -13,7 +13,6 @@ from fleetgauge.constants import DAY, DISK_COMPONENTS, HOUR, MINUTE
 from fleetgauge.functions.local import local_table
 from fleetgauge.functions.scan import ordered_scan, running_sum
 from fleetgauge.functions.text import epoch_us
-from fleetgauge.workdir import fresh_dir
 
 JOB = "fleet"
 FROM_US = 1_704_067_200_000_000  # 2024-01-01, start of the data range
@@ -117,7 +116,7 @@ def as_stats(rows: DataFrame) -> DataFrame:
 
 def mail(spark, sf) -> DataFrame:
     return events(spark, sf).select(
-        F.col("event_id").alias("note_id"),
+        F.col("event_id").alias("note_id"), "instance",
         cycle("user_id", ["mail1.box", "mail2.box", "mail3.box"]).alias("mailbox"),
         F.col("ts_us").alias("added_us"),
         F.expr("CASE event_type WHEN 'view' THEN 'L' WHEN 'click' THEN 'H' ELSE 'N' END").alias("delivery_priority"),
@@ -135,7 +134,7 @@ def trans_report(spark, sf) -> DataFrame:
 
 
 def maint(spark, sf) -> DataFrame:
-    rows = events(spark, sf).where("event_type = 'error' AND event_id % 10 = 0")
+    rows = events(spark, sf).where("event_type = 'error'")
     return rows.select(
         F.col("event_id").alias("window_id"), "instance", F.col("ts_us").alias("start_us"),
         F.expr(f"CASE WHEN user_id % 5 = 4 AND event_id % 7 = 0 THEN NULL ELSE ts_us + {30 * MINUTE} END").alias("end_us"),
@@ -199,7 +198,7 @@ def loglines(spark, sf) -> DataFrame:
            '","request_time":', CAST(CAST(value AS DECIMAL(12,3)) AS STRING), '}')"""
     )
     return events(spark, sf).select(
-        "event_id", F.when(F.col("event_id") % 53 == 0, F.substring(line, 1, 40)).otherwise(line).alias("line")
+        "event_id", "ts_us", F.when(F.col("event_id") % 53 == 0, F.substring(line, 1, 40)).otherwise(line).alias("line")
     )
 
 
@@ -247,7 +246,7 @@ def calendar(spark) -> DataFrame:
 
 
 def targets(spark, sf) -> DataFrame:
-    n = table(spark, sf, "nation").where("n_nationkey < 5")
+    n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.lit(JOB).alias("job"), F.concat(F.lit("srv"), "n_nationkey").alias("instance"),
@@ -264,31 +263,31 @@ def as_evals(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", "instance", "ts_us", (F.col("event_type") == "error").alias("active"))
 
 
-def alerts(spark, sf) -> DataFrame:
-    """Alert intervals: down episodes are critical, slow episodes are warnings of the same name.
-
-    Alerts are a table of their own: the rule evaluation writes it once, its readers start from there.
-    """
-    from fleetgauge.operators.alerts import alert_episodes
-
+def alert_evals(spark, sf) -> DataFrame:
+    """Evaluations of both rules of one alert: critical while down, warning while slow."""
     e = events(spark, sf).select("event_id", "instance", "ts_us", "event_type", milli().alias("m"))
-    both = e.select(
+    return e.select(
         "event_id", "instance", "ts_us",
         F.explode(F.array(
             F.struct(F.lit("critical").alias("severity"), (F.col("event_type") == "error").alias("active")),
             F.struct(F.lit("warning").alias("severity"), (F.col("m") > 60000).alias("active")),
         )).alias("r"),
     ).select("event_id", "instance", "ts_us", "r.severity", "r.active")
+
+
+def alerts(spark, sf) -> DataFrame:
+    """Alert intervals: down episodes are critical, slow episodes are warnings of the same name."""
+    from fleetgauge.operators.alerts import alert_episodes
+
+    both = alert_evals(spark, sf)
     ep = alert_episodes(both, for_us=0, keys=["instance", "severity"])
-    path = fresh_dir(spark, "alerts")
-    ep.select(
+    return ep.select(
         F.concat_ws(":", "severity", "instance", "active_at").alias("alert_id"),
         F.lit("ServerSlowOrDown").alias("alertname"), "severity", "instance",
         F.expr("CASE WHEN instance IN ('srv0', 'srv1') THEN 'c1' WHEN instance = 'srv2' THEN 'c2' END").alias("cluster"),
         F.expr("CASE WHEN severity = 'critical' THEN 'mail' END").alias("service"),
         F.col("active_at").alias("starts_us"), F.col("resolved_at").alias("ends_us"),
-    ).write.parquet(path)
-    return spark.read.parquet(path)
+    )
 
 
 def _cyc(by: str, values: list) -> str:
@@ -328,7 +327,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
           {_MILLI} - 50000 AS value_milli, value - 50.0::DOUBLE AS value_number,
           {_cyc('event_id', STAT_TEXTS)} AS value_text FROM events"""),
     "mail": ([], """
-        SELECT event_id AS note_id, concat('mail', user_id % 3 + 1, '.box') AS mailbox, epoch_us(ts) AS added_us,
+        SELECT event_id AS note_id, concat('srv', user_id % 5) AS instance, concat('mail', user_id % 3 + 1, '.box') AS mailbox, epoch_us(ts) AS added_us,
           CASE event_type WHEN 'view' THEN 'L' WHEN 'click' THEN 'H' ELSE 'N' END AS delivery_priority,
           event_type = 'signup' AS has_send_at FROM events"""),
     "trans_report": ([], f"""
@@ -338,7 +337,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "maint": ([], f"""
         SELECT event_id AS window_id, {_SRV} AS instance, epoch_us(ts) AS start_us,
           CASE WHEN user_id % 5 = 4 AND event_id % 7 = 0 THEN NULL ELSE epoch_us(ts) + {30 * MINUTE} END AS end_us
-        FROM events WHERE event_type='error' AND event_id % 10 = 0"""),
+        FROM events WHERE event_type='error'"""),
     "maint_commands": ([], f"""
         SELECT {_SRV} AS instance, event_id AS seq, epoch_us(ts) AS ts_us,
           CASE WHEN event_id % 31 = 0 THEN concat('start ', strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S'))
@@ -391,7 +390,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
         + ") t(instance, weekday, is_business_day, start_s, end_s, zone, dst)"),
     "targets": ([], f"""
         SELECT '{JOB}' AS job, concat('srv', n_nationkey) AS instance, n_name AS pod, r_name AS namespace
-        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 5"""),
+        FROM nation JOIN region ON n_regionkey = r_regionkey"""),
     "evals": (["up"], "SELECT event_id, instance, ts_us, value = 0 AS active FROM up"),
     "alert_evals": ([], f"""
         SELECT event_id, {_SRV} AS instance, epoch_us(ts) AS ts_us, 'critical' AS severity, event_type = 'error' AS active FROM events

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import matched_number, sanitized
+from fleetgauge.functions.text import once, sanitized
 
 HEADER = "Function"  # fixed value: first word of the table header
-NAME_CHARS = 63
-_NUMBER = r" *(-?\d+)"
-_ROW = r"(?s)^(.*?)  " + _NUMBER + " " + " ".join([_NUMBER] * 4)
+# A name without two blanks in a row, two blanks, five numbers.
+_ROW = r"(?s)^(?:[^ ]| (?! ))*  " + " ".join([r" *-?\d+"] * 5)
 
 
 def read_captures(spark: SparkSession, path: str, instance_part: str, day_part: str) -> DataFrame:
@@ -25,8 +24,8 @@ def read_captures(spark: SparkSession, path: str, instance_part: str, day_part:
 def parse_captures(captures: DataFrame, ids=("instance", "d")) -> DataFrame:
     """Rows of the report table: from two lines below the header to the first line that is no row.
 
-    A row is a name ended by two blanks and five whole numbers. All of it happens inside the
-    capture's own row, so nothing is shuffled.
+    A row is a name that ends at the first two blanks, and five whole numbers. All of it happens
+    inside the capture's own row, so nothing is shuffled.
     """
     tail = F.expr(f"substring(text, instr(text, '{HEADER}'))")
     lines = F.split(tail, "[\\x01-\\x1f]+")
@@ -38,10 +37,11 @@ def parse_captures(captures: DataFrame, ids=("instance", "d")) -> DataFrame:
         .select(*ids, F.explode(good).alias("line"))
     )
     numbers = ["count", "min_ms", "max_ms", "total_ms", "avg_ms"]
-    name = sanitized(F.substring(F.regexp_extract("line", _ROW, 1), 1, NAME_CHARS))
+    # The row has passed the pattern: its parts are found by blanks; what follows the last digit is no number.
+    name = F.substring_index("line", "  ", 1)
+    rows = once(rows, {"_name": name, "_n": F.regexp_extract_all(F.expr("substring(line, length(substring_index(line, '  ', 1)) + 1)"), F.lit(r"(-?\d+)"), F.lit(1))})
     return rows.select(
-        *ids, name.alias("op"),
-        *[matched_number(F.col("line"), _ROW, i + 2).alias(n) for i, n in enumerate(numbers)],
+        *ids, sanitized(F.col("_name")).alias("op"), *[F.col("_n")[i].try_cast("bigint").alias(n) for i, n in enumerate(numbers)],
     ).where("op <> ''")
 
 

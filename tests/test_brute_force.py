@@ -152,26 +152,29 @@ def test_positions(spark):
     assert sorted(got) == [(v[0], i + 1) for i, v in enumerate(sorted(rows))]
 
 
-def test_notices_in_batches_equal_one_run(spark, tmp_path):
+def test_intervals_minus(spark):
+    from fleetgauge.operators.intervals import minus
+
     rng = random.Random(8)
-    rows = []
-    for i in range(120):
-        s = rng.randrange(0, 60 * HOUR, MINUTE)
-        rows.append((f"a{i}", "n", rng.choice(["c1", None]), None, s, s + rng.choice([5, 20, 200]) * MINUTE))
-    df = spark.createDataFrame(rows, "alert_id string, alertname string, cluster string, service string, starts_us bigint, ends_us bigint")
-    until = max(r[5] for r in rows)
-    whole = alerts.alert_notices(df, until).collect()
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    moves = [(*r[:5], r[4], None) for r in rows] + [(*r[:5], r[5], r[5]) for r in rows]
-    for lo in range(0, 80, 20):
-        part = [m for m in moves if lo * HOUR <= m[5] < (lo + 20) * HOUR]
-        if part:
-            spark.createDataFrame(part, "alert_id string, alertname string, cluster string, service string, starts_us bigint, at_us bigint, ends_us bigint").coalesce(1).write.mode("append").parquet(src)
-            stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-            stateful.alert_notify(stream, out, f"{out}/checkpoint")
-    got = spark.read.parquet(f"{out}/notices").select("alertname", "cluster", "service", "notify_us", "kind", "n_active").collect()
-    key = lambda r: (r["alertname"], r["cluster"], r["service"], r["notify_us"], r["kind"], r["n_active"])
-    assert sorted(map(key, got)) == sorted(map(key, whole)) and len(whole) > 50
+
+    def some(n, longest):
+        return [(i, rng.choice(["hot", "hot", "b"]), s, s + rng.randrange(0, longest)) for i, s in ((i, rng.randrange(0, 2000)) for i in range(n))]
+
+    rows, taken = some(80, 300), some(60, 40)
+    left = minus(spark.createDataFrame(rows, "i int, k string, s bigint, e bigint"), spark.createDataFrame(taken, "i int, k string, s bigint, e bigint"), ["k"])
+    got = {}
+    for r in left.collect():
+        got.setdefault(r["i"], []).append((r["s"], r["e"]))
+    for i, k, s, e in rows:
+        free = [t for t in range(s, e) if not any(x == k and a <= t < b for _, x, a, b in taken)]
+        parts = [(t, t + 1) for t in free]
+        joined = []
+        for a, b in parts:
+            if joined and joined[-1][1] == a:
+                joined[-1] = (joined[-1][0], b)
+            else:
+                joined.append((a, b))
+        assert sorted(got.get(i, [])) == joined
 
 
 def test_task_functions_travel_without_the_package(tmp_path):
@@ -181,7 +184,7 @@ def test_task_functions_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    made = [thinning._answers(["k0"], 5, 50), thinning._dues(["k0"]), thinning._kept(["k0"], 5), alerts._opened(["g"], 1, 2)]
+    made = [thinning._answers(["k0"], 5, 50), thinning._dues(["k0"]), thinning._kept(["k0"], 5)]
     (tmp_path / "f").write_bytes(cloudpickle.dumps(made))
     load = "import pickle, sys; pickle.load(open('f', 'rb')); assert 'fleetgauge' not in sys.modules"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}

@@ -148,8 +148,8 @@ def test_maintenance_commands(spark):
 
 
 def mail_at(spark, waits, scan):
-    rows = [(i, "mail.box", scan - w * SECOND, "N", False) for i, w in enumerate(waits)]
-    return spark.createDataFrame(rows, "note_id bigint, mailbox string, added_us bigint, delivery_priority string, has_send_at boolean")
+    rows = [("a", i, "mail.box", scan - w * SECOND, "N", False) for i, w in enumerate(waits)]
+    return spark.createDataFrame(rows, "instance string, note_id bigint, mailbox string, added_us bigint, delivery_priority string, has_send_at boolean")
 
 
 def test_mail_age_buckets(spark):
@@ -164,10 +164,18 @@ def test_mail_age_buckets(spark):
 def test_mail_edges_and_errors(spark):
     scan, full = at("2024-01-05T00:00:00"), 72 * 3600
     mail = mail_at(spark, [full, full + 1, full - 1, 300, 299, -5], scan).unionByName(
-        spark.createDataFrame([(9, "mail.box", None, "N", False)], "note_id bigint, mailbox string, added_us bigint, delivery_priority string, has_send_at boolean"))
+        spark.createDataFrame([("a", 9, "mail.box", None, "N", False)], "instance string, note_id bigint, mailbox string, added_us bigint, delivery_priority string, has_send_at boolean"))
     row = mailbox.age_buckets(mail, scan, scan, 300 * SECOND).first()
     assert (row["n"], row["errors"], row["m5_15"], row["ge_60m"]) == (3, 1, 1, 2)
-    assert sorted(r["wait_s"] for r in mailbox.pending(mail, scan, scan, 300 * SECOND).collect()) == [300, full - 1, full]
+    assert sorted(r["wait_s"] for r in mailbox.pending(mail, scan).collect()) == [300, full - 1, full]
+
+
+def test_empty_mail_queue_counts_zero(spark):
+    scan = at("2024-01-05T00:00:00")
+    servers = spark.createDataFrame([("a",), ("b",)], "instance string")
+    out = mailbox.age_buckets(mail_at(spark, [400, 10], scan), scan, scan + 600 * SECOND, 300 * SECOND, servers=servers).collect()
+    got = {(r["instance"], (r["scan_us"] - scan) // SECOND): (r["n"], r["avg_s"], r["errors"]) for r in out}
+    assert got == {("a", 0): (1, 400, 0), ("a", 300): (2, 505, 0), ("a", 600): (2, 805, 0), ("b", 0): (0, 0, 0), ("b", 300): (0, 0, 0), ("b", 600): (0, 0, 0)}
 
 
 def test_prefix_rules(spark):
@@ -218,6 +226,14 @@ def test_trans_report(spark):
     assert out == [("OPEN_DB", 10, 1, 9, 50, 5), ("CLOSECX", 1, 2, 3, 4, 5)]
 
 
+def test_trans_report_names(spark):
+    long = "N" * 70
+    text = f"Function\n\n--\n{long}a  1 1 1 1 1\n{long}b  1 1 1 1 1\nA  B  1 2 3 4 5\n"
+    rows = reports.parse_captures(spark.createDataFrame([("a", "d", text)], "instance string, d string, text string"))
+    assert [r["op"] for r in rows.collect()] == [f"{long}a", f"{long}b"]  # a name ends at the first two blanks
+    assert {r["op"]: r["n"] for r in reports.totals_by_op(rows).collect()} == {f"{long}a": 1, f"{long}b": 1}
+
+
 def test_totals_drop_equal_rows(spark):
     rows = spark.createDataFrame([("a", "d", "X", 1, 5), ("a", "d", "X", 1, 5), ("a", "d", "X", 2, 5)], "instance string, d string, op string, count bigint, total_ms bigint")
     assert tuple(reports.totals_by_op(rows).first()) == ("a", "d", "X", 3, 10)
@@ -311,7 +327,51 @@ def test_inhibit(spark):
          ("w3", "m", "warning", "a", 10, 20), ("w4", "n", "warning", "a", 25, None), ("i1", "n", "info", "a", 20, 25),
          ("w5", "n", "warning", "a", 5, 19)],
         "alert_id string, alertname string, severity string, instance string, starts_us bigint, ends_us bigint")
-    assert sorted(r["alert_id"] for r in alerts.alert_inhibit(rows).collect()) == ["c1", "i1", "w2", "w3", "w5"]
+    got = sorted((r["alert_id"], r["starts_us"], r["ends_us"]) for r in alerts.alert_inhibit(rows).collect())
+    assert got == [("c1", 19, 30), ("i1", 20, 25), ("w1", 10, 19), ("w2", 30, 40), ("w3", 10, 20), ("w4", 30, None), ("w5", 5, 19)]
+
+
+def test_inhibit_cuts_out_the_covered_time(spark):
+    rows = spark.createDataFrame(
+        [("w", "n", "warning", None, 0, 100), ("c1", "n", "critical", None, 10, 30), ("c2", "n", "critical", "", 20, 40), ("c3", "n", "critical", None, 60, 60),
+         ("c4", "n", "critical", None, 70, 120)], "alert_id string, alertname string, severity string, instance string, starts_us bigint, ends_us bigint")
+    got = sorted((r["starts_us"], r["ends_us"]) for r in alerts.alert_inhibit(rows).where("alert_id = 'w'").collect())
+    assert got == [(0, 10), (40, 70)]
+
+
+def test_suppress_keeps_the_rest(spark):
+    day = at("2024-01-01T00:00:00")
+    rows = spark.createDataFrame([("x", "a", day + 5 * HOUR, day + 15 * HOUR), ("y", "free", day, None), ("z", "off", day, day + HOUR)],
+                                 "alert_id string, instance string, starts_us bigint, ends_us bigint")
+    maint = spark.createDataFrame([("a", day + 8 * HOUR, day + 9 * HOUR - 1)], "instance string, start_us bigint, end_us bigint")
+    manual = spark.createDataFrame([("off",)], "instance string")
+    out = alerts.alert_suppress(rows, week(spark, {1, 2, 3, 4, 5}, 6 * 3600, 18 * 3600 - 1), maint, day + 24 * HOUR, manual)
+    got = sorted((r["alert_id"], (r["starts_us"] - day) // HOUR, r["ends_us"] and (r["ends_us"] - day) // HOUR) for r in out.collect())
+    assert got == [("x", 6, 8), ("x", 9, 15), ("y", 0, None)]
+
+
+def test_window_without_end_in_sight(spark):
+    rows = spark.createDataFrame([("a", 5 * HOUR)], "instance string, ts_us bigint")
+    maint = spark.createDataFrame([("a", 0, 250_000_000_000_000_000)], "instance string, start_us bigint, end_us bigint")
+    assert schedule.maintenance_status(rows, maint).first()["maintenance_status"] == 3
+
+
+def test_two_calendar_rows_for_a_weekday(spark):
+    cal = week(spark, {1, 2, 3, 4, 5}, 6 * 3600, 18 * 3600)
+    assert hours_at(spark, cal.unionByName(cal.withColumn("is_business_day", F.lit(False))), ["2024-01-01T12:00:00"]) == [(1, 1)]
+
+
+def test_missing_label_is_a_series(spark):
+    rows = spark.createDataFrame([(None, 1, 0, 5), (None, 2, MINUTE, 3), ("a", 3, 0, 1)], "instance string, event_id bigint, ts_us bigint, count_total bigint")
+    out = rangevec.counter_resets(rows, keys=["instance"]).collect()
+    assert [(r["instance"], r["before"], r["after"]) for r in out] == [(None, 5, 3)]
+
+
+def test_large_and_quoted_numbers(spark):
+    assert values(spark, [1e16, -2e16], "double", lambda c: tx.milli_text(tx.to_milli(c))) == ["10000000000000000.000", "-20000000000000000.000"]
+    rows = spark.createDataFrame([('{"status":"200","uri":"/a","request_time":"x"}',), ("no json",)], "line string")
+    got = [(r["status"], r["uri"], r["request_time"], r["corrupt"]) for r in logs.parse_access_log(rows).collect()]
+    assert got == [(200, "/a", None, False), (None, None, None, True)]
 
 
 def test_staleness(spark):
