@@ -12,32 +12,39 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontaminate, packing, quality_rules, simhash, substrings
 from fleetgauge.llm.common import table
 from fleetgauge.llm.components import stored
 
-ROW = "_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer if documents have such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """A key per row from its contents; equal rows share it, and what is decided holds for all of them."""
-    names = sorted(docs.columns)
-    return docs.withColumn(ROW, F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a key per row from its contents, and the key's name. Equal rows share their key, and
+    what is decided holds for all of them."""
+    row = _free(docs, "_row")
+    names = [F.col(f"`{c}`") for c in sorted(docs.columns)]
+    return docs.withColumn(row, F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))), row
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, row: str) -> DataFrame:
     """What operators take: the row key in the place of the id, and the text."""
-    return docs.select(F.col(ROW).alias("doc_id"), "text")
+    return docs.select(F.col(row).alias("doc_id"), "text")
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars of the new text."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,30 +66,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest row key."""
-    rows = _numbered(docs)
-    groups = simhash.near_groups(_keyed(rows))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(ROW)).distinct()
-    kept = rows.join(first, ROW, "left_semi")
+    rows, row = _numbered(docs)
+    groups = simhash.near_groups(_keyed(rows, row))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct()
+    kept = rows.join(first, row, "left_semi")
     # rows that are equal in every column share their key: one of them stays
-    own = Window.partitionBy(ROW).orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").select(*docs.columns)
+    return kept.groupBy(row).agg(*[F.first(f"`{c}`").alias(c) for c in docs.columns]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur elsewhere; documents of which nothing is left are gone."""
-    rows = _numbered(docs)
-    left = substrings.remove_repeats(_keyed(rows), as_text=True).where("n_removed > 0")
-    left = left.groupBy(F.col("doc_id").alias(ROW)).agg(F.min("kept").alias("_left"))
-    out = rows.join(left, ROW, "left").withColumn("text", F.coalesce("_left", "text"))
-    return _with_text(out.where("text IS NULL OR _left IS NULL OR trim(_left) <> ''"), docs.columns)
+    rows, row = _numbered(docs)
+    rest = _free(docs, "_left")
+    left = substrings.remove_repeats(_keyed(rows, row), as_text=True).where("n_removed > 0")
+    left = left.groupBy(F.col("doc_id").alias(row)).agg(F.min("kept").alias(rest))
+    out = rows.join(left, row, "left")
+    out = out.where(F.col(rest).isNull() | (F.trim(rest) != "")).withColumn("text", F.coalesce(rest, "text"))
+    return _with_text(out, docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold benchmark passages in one word of twenty or more."""
-    rows = _numbered(docs)
-    hits = decontaminate.find_items(_keyed(rows), table(spark, sf_dir, "benchmark"))
-    bad = hits.where("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs)
+    hits = decontaminate.find_items(_keyed(rows, row), table(spark, sf_dir, "benchmark"))
+    bad = hits.where("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Events of a conversation come in order of ``seq``. Kinds: ``message`` (a whole text) and ``edit`` replace the text
 of their turn, ``delta`` appends to it, ``regenerate`` drops the turn and all later turns logged before it, and
-what follows is streamed anew. A NULL kind counts as message, a NULL seq comes first, a NULL text or role is
-empty; events of equal seq are folded in the order of turn, kind, role and text. Turns without any text event
+what follows is streamed anew. A NULL kind counts as message, a NULL seq comes first, as does a NULL turn, a NULL text or
+role is empty; events of equal seq are folded in the order of turn, kind, role and text. Turns without any text event
 are gone. The role of a turn is that of its last event. Conversations come out one row each, in order of turn.
 
 Folding works on windows over the events (sorted and spilled by Spark), rendering on each message; only the
@@ -56,7 +56,7 @@ def fold(events: DataFrame) -> DataFrame:
     later = Window.partitionBy("conv_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
     # the lowest turn that a later event throws away
     e = e.withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later))
-    alive = e.where("(cut IS NULL OR turn < cut) AND kind <> 'regenerate'")
+    alive = e.where("(cut IS NULL OR turn IS NULL OR turn < cut) AND kind <> 'regenerate'")
     sofar = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     alive = alive.withColumn("part", F.sum((F.col("kind") == "message").cast("int")).over(sofar))
     # of one message, what counts starts at its last whole text

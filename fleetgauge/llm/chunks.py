@@ -7,6 +7,8 @@ next slices of the task.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,19 +34,19 @@ def _is(values) -> np.ndarray:
 SOLID = _is([*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)])
 GRAPH = _is(range(0x21, 0x7F))
 LETTER = _is([*range(0x41, 0x5B), *range(0x61, 0x7B)])
-STOP = _is(b".,;:!?|$%&*#")
+STOPS = b".,;:!?|$%&*#"
 
 
-def byte_level_cuts(data: np.ndarray) -> np.ndarray:
+def byte_level_cuts(data: np.ndarray, stops: bytes = STOPS) -> np.ndarray:
     """Cuts for byte-level BPE with the usual word pattern: before a blank that a solid character follows
     (a pattern match never runs on into it), on both sides of a single line end between solid characters, and
-    between a letter and a stop."""
+    between a letter and one of ``stops``."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     solid, graph = SOLID[data], GRAPH[data]
     blank = np.flatnonzero((data[:-1] == 0x20) & solid[1:])
     line = 1 + np.flatnonzero((data[1:-1] == 0x0A) & graph[:-2] & solid[2:])
-    stop = 1 + np.flatnonzero(LETTER[data[:-1]] & STOP[data[1:]])
+    stop = 1 + np.flatnonzero(LETTER[data[:-1]] & _is(stops)[data[1:]])
     return np.concatenate([blank, line, line + 1, stop])
 
 
@@ -113,7 +115,14 @@ def byte_encoder(json_path: str, ranks_path: str | None = None) -> Encoder:
     import tokenizers
 
     model = tokenizers.Tokenizer.from_file(json_path)
-    added = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
+    tokens = model.get_added_tokens_decoder().values()
+    added = [t.content.encode() for t in tokens]
+    inside = set(b"".join(added))
+    # an added token is found before any pattern: no cut may fall into one, nor take its surroundings away
+    if inside & set(b" \n") or any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens):
+        cuts = lambda data: np.zeros(0, np.int64)
+    else:
+        cuts = functools.partial(byte_level_cuts, stops=bytes(b for b in STOPS if b not in inside))
 
     def slowly(chunks: list[bytes]) -> list[list[int]]:
         found = model.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks], add_special_tokens=False)
@@ -121,7 +130,7 @@ def byte_encoder(json_path: str, ranks_path: str | None = None) -> Encoder:
 
     fast = _rank_encoder(model, ranks_path) if ranks_path else None
     if fast is None:
-        return Encoder(slowly, byte_level_cuts)
+        return Encoder(slowly, cuts)
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
         out = [fast(x.decode("utf-8", "replace")) for x in chunks]
@@ -130,7 +139,7 @@ def byte_encoder(json_path: str, ranks_path: str | None = None) -> Encoder:
             out[i] = ids
         return out
 
-    return Encoder(encode, byte_level_cuts)
+    return Encoder(encode, cuts)
 
 
 def _rank_encoder(model, ranks_path: str):

@@ -102,7 +102,7 @@ def scan(text: bytes, templates: list[Template], plain: zstandard.ZstdCompressor
         ranked = []
         parts = block.split()
         for t in templates:
-            own = b" ".join(parts[:len(t.text.split()) + 8])
+            own = b" ".join(parts[:2 + 11 * len(t.text.split()) // 10])
             alone, told = len(plain.compress(own)), len(t.press.compress(own))
             ranked.append((told / alone, t.name, t, own))
         ranked.sort(key=lambda x: x[:2])

@@ -88,4 +88,64 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS = {f.__name__: f for f in (
     op1_simhash, op2_quality_net, op3_token_counts, op4_substrings, op5_packing, op6_lm_scoring, op7_chat,
     op8_quality_rules, op9_licenses, op10_decontaminate, pipeline)}
-CHECKS: dict[str, str] = {}
+# --- SQL twins ---------------------------------------------------------------------------
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = r"[^\x20\x09-\x0D]+"
+_ESCAPED = "replace(replace({}, '%', '%25'), '<|', '%3C|')"
+
+CHAT_SQL = f"""
+    WITH logged AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'),
+    whole AS (
+      SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learned,
+        CAST(sum(length(replace({_ESCAPED.format('role')}, chr(10), '%0A')) + length({_ESCAPED.format('text')}) + {len(chat.START) + len(chat.END) + 2}) AS BIGINT) AS formatted_chars
+      FROM logged GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM whole"""
+
+_RULES = quality_rules.Rules()
+_ENDS = " OR ".join("ends_with(line, '{}')".format(x.decode().replace("'", "''")) for x in quality_rules.ENDINGS)
+_PHRASES = " OR ".join(f"contains(lower(line), '{x.decode()}')" for x in quality_rules.BOILERPLATE)
+QUALITY_SQL = rf"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, r, text, regexp_extract_all(text, '{_BLANK}') AS ws FROM d),
+    win AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+    tri AS (SELECT r, i, array_to_string(ws[i:i + 2], ' ') AS t FROM win),
+    rep AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, t) > 1),
+    cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+    ln AS (SELECT r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+    own AS (SELECT r, k, raw, regexp_extract_all(raw, '{_BLANK}') AS ws FROM ln),
+    lines AS (
+      SELECT r, row_number() OVER (PARTITION BY r, raw ORDER BY k) > 1 AS again, len(ws) AS n, array_to_string(ws, ' ') AS line,
+        strlen(array_to_string(ws, '')) AS size FROM own WHERE len(ws) > 0),
+    judged AS (
+      SELECT r, again, n, len(regexp_extract_all(line, '[#*$%&|<>]')) * 100 > {_RULES.max_symbol_pct} * size
+        OR len(regexp_extract_all(line, '[|]')) > {_RULES.max_bars} OR (n < {_RULES.loose_words} AND NOT ({_ENDS})) OR {_PHRASES} AS bad FROM lines),
+    sums AS (SELECT r, count(*) FILTER (again) AS dup, coalesce(sum(n) FILTER (NOT again AND NOT bad), 0) AS n_left FROM judged GROUP BY r),
+    flat AS (
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_left, 0) AS BIGINT) AS n_words_left
+      FROM w LEFT JOIN sums USING (r) LEFT JOIN cov USING (r))
+    SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_pct} * n_words AS base_failed,
+      NOT (n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_pct} * n_words)
+        AND 100 * n_words_left >= {_RULES.min_kept_pct} * n_words AS kept FROM flat"""
+
+_BENCH = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BENCHMARK_SQL = rf"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '{_BENCH}') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOW}, '{_BENCH}') AS ws FROM benchmark),
+    sized AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0),
+    pat AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(ws[i:i + n - 1], ' ') AS t
+      FROM (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+    win AS (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM pat) WHERE len(ws) >= n),
+    hits AS (SELECT r, i, w.n, item FROM (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS t FROM win) w JOIN pat USING (n, t)),
+    found AS (SELECT r, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+    words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN found USING (r) LEFT JOIN words USING (r)"""
+
+CHECKS: dict[str, str] = {"op7_chat": CHAT_SQL, "op8_quality_rules": QUALITY_SQL, "op10_decontaminate": BENCHMARK_SQL}

@@ -47,26 +47,31 @@ def piece_encoder(model, fit: bool) -> Encoder:
     return Encoder(encode, piece_cuts if fit else lambda data: np.zeros(0, np.int64))
 
 
+def counts(encoder: Encoder, model, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Tokens of each text of a slice."""
+    codes, firsts, starts = encoder.chunks(data, rows)
+    n = row_sums(encoder.sizes[codes], firsts)
+    # a text that itself begins with a blank or a line end keeps the blank that the model puts before it
+    for i in np.flatnonzero(np.diff(rows) > 0):
+        if data[rows[i]] in (0x20, 0x0A):
+            k = firsts[i]
+            end = min(rows[i + 1], starts[k + 1] if k + 1 < len(starts) else rows[i + 1])
+            first = bytes(data[rows[i]:end]).decode("utf-8", "replace")
+            n[i] += len(model.encode(first, num_threads=1)) - encoder.sizes[codes[k]]
+    return n
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, fit = piece_model(model_path)
-        encoder = piece_encoder(whole, fit)
+        model, fit = piece_model(model_path)
+        encoder = piece_encoder(model, fit)
         for batch in slices(batches):
             data, rows = flat_bytes(batch.column("text"))
-            codes, firsts, starts = encoder.chunks(data, rows)
-            n = row_sums(encoder.sizes[codes], firsts)
-            size = np.diff(rows)
-            # a text that itself begins with a blank or a line end keeps the blank that the model puts before it
-            for i in np.flatnonzero(size > 0):
-                if data[rows[i]] in (0x20, 0x0A):
-                    k = firsts[i]
-                    end = min(rows[i + 1], starts[k + 1] if k + 1 < len(starts) else rows[i + 1])
-                    first = bytes(data[rows[i]:end]).decode("utf-8", "replace")
-                    n[i] += len(whole.encode(first, num_threads=1)) - encoder.sizes[codes[k]]
+            n = counts(encoder, model, data, rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())],
+                [batch.column("doc_id"), pa.array(np.diff(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
