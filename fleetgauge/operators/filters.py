@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import DEFAULT_EXCLUDES, DEFAULT_INCLUDES
-from fleetgauge.functions.text import stat_key
+from fleetgauge.functions.text import from_epoch_us, stat_key
 
 def starts_with_any(name: Column, prefixes) -> Column:
     return reduce(lambda a, b: a | b, [name.startswith(p) for p in prefixes], F.lit(False))
@@ -49,13 +49,17 @@ def conditional_emit(rows: DataFrame, rules: dict[str, tuple[Column, Column]], i
 
 
 def label_match(samples: DataFrame, equal: dict[str, str]) -> DataFrame:
-    """Equality matchers on the label map."""
-    return reduce(lambda df, kv: df.where(F.col("labels")[kv[0]] == kv[1]), equal.items(), samples)
+    """Equality matchers on labels; one that is also stored as a column is compared there, which reaches the scan."""
+    return reduce(lambda df, kv: df.where(_label(df, kv[0]) == kv[1]), equal.items(), samples)
+
+
+def _label(samples: DataFrame, label: str) -> Column:
+    return F.col(label) if label in samples.columns else F.col("labels")[label]
 
 
 def label_regex(samples: DataFrame, label: str, pattern: str) -> DataFrame:
     """Regular expression over the whole label value."""
-    return samples.where(F.col("labels")[label].rlike(f"^(?:{pattern})$"))
+    return samples.where(_label(samples, label).rlike(f"^(?:{pattern})$"))
 
 
 _COMPARE = {
@@ -69,5 +73,8 @@ def value_threshold(samples: DataFrame, op: str, limit, value="value") -> DataFr
 
 
 def time_range(samples: DataFrame, from_us: int, to_us: int, ts="ts_us") -> DataFrame:
-    """Samples in ``[from, to]``; a plain comparison on the stored column, so it reaches the scan."""
-    return samples.where(F.col(ts).between(F.lit(int(from_us)), F.lit(int(to_us))))
+    """Samples in ``[from, to]``. ``ts`` is in microseconds or a stored zone-less timestamp; the latter is
+    compared with literals, so the bounds reach the scan."""
+    stored = samples.schema[ts].dataType.typeName() == "timestamp_ntz"
+    low, high = (from_epoch_us(f"{int(us)}L") if stored else F.lit(int(us)) for us in (from_us, to_us))
+    return samples.where(F.col(ts).between(low, high))

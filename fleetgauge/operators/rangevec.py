@@ -1,15 +1,13 @@
 """Range-vector functions over counters and gauges.
 
 The window of step ``t`` is ``(t - range, t]``. Samples are first reduced to panes (one row per
-series and pane, panes divide both range and step), so only panes are copied to the steps they
+series and pane, cut where windows begin and end), so only panes are copied to the steps they
 belong to. A reset is a value below its predecessor; its delta is the value itself. Windows with
 fewer than two samples give no row.
 """
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +23,32 @@ def reset_aware(previous: Column, value: Column) -> Column:
     return F.when(value < previous, value).otherwise(value - previous)
 
 
-def steps_of(pane_end: str, pane_us: int, range_us: int, step_us: int) -> Column:
-    """The evaluation steps whose window holds the pane that ends at ``pane_end``."""
-    first = ceil_to(F.col(pane_end), step_us)
-    latest = F.col(pane_end) + F.lit(range_us - pane_us)
-    return F.when(first <= latest, F.sequence(first, latest, F.lit(step_us)))
+def pane_end(ts: Column, range_us: int, step_us: int, chunk_us: int | None = None) -> Column:
+    """End of the pane of an instant. Panes are cut where windows begin and end, two cuts a step whatever
+    the range, and at chunk edges if asked for; so a window holds a pane as a whole or not at all."""
+    ends = [ceil_to(ts, step_us)]
+    if range_us % step_us:
+        ends.append(ceil_to(ts + F.lit(int(range_us)), step_us) - F.lit(int(range_us)))
+    if chunk_us and step_us % chunk_us == 0 and range_us % chunk_us == 0:
+        return ceil_to(ts, chunk_us)
+    if chunk_us and step_us > chunk_us:
+        ends.append(ceil_to(ts, chunk_us))
+    return F.least(*ends) if len(ends) > 1 else ends[0]
+
+
+def steps_of(end: str, range_us: int, step_us: int) -> Column:
+    """The evaluation steps whose window holds the pane that ends at ``end``."""
+    first = ceil_to(F.col(end), step_us)
+    latest = F.col(end) + F.lit(int(range_us) - 1)
+    return F.when(first <= latest, F.sequence(first, latest, F.lit(int(step_us))))
 
 
-def counter_panes(samples: DataFrame, keys, values, pane_us, ts="ts_us", tie="event_id") -> DataFrame:
+def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us", tie="event_id") -> DataFrame:
     """Per series and pane: observed delta of every value, sample count, first and last sample."""
     n = range(len(values))
     rows = samples.select(
         *keys, F.col(ts).alias("ts"), F.col(tie).alias("tie"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]
-    ).withColumn("pane_us", ceil_to(F.col("ts"), pane_us))
+    ).withColumn("pane_us", pane_end(F.col("ts"), range_us, step_us, CHUNK_US))
     order = Window.partitionBy(*keys, "pane_us").orderBy("ts", "tie")
     rows = rows.withColumns({
         **{f"d{i}": reset_aware(F.lag(f"v{i}").over(order), F.col(f"v{i}")) for i in n},
@@ -72,9 +83,8 @@ def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS,
     ``value`` may be a list; then ``inc0``, ``inc1``, ... hold the increases.
     """
     values = [value] if isinstance(value, str) else list(value)
-    pane_us = gcd(int(range_us), int(step_us), CHUNK_US)
-    panes = counter_panes(samples, keys, values, pane_us, ts, tie)
-    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", pane_us, int(range_us), int(step_us))))
+    panes = counter_panes(samples, keys, values, int(range_us), int(step_us), ts, tie)
+    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", range_us, step_us)))
     incs = [
         (F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")) - F.min_by(f"edge{i}", "pane_us")).alias(f"inc{i}")
         for i in range(len(values))
@@ -158,10 +168,10 @@ def average_ratio(samples, range_us, step_us, total="ms_total", count="count_tot
     return both.select(*keys, "step_us", mean.alias("avg_ms"))
 
 
-def instant_panes(samples, keys, value, pane_us, ts="ts_us", tie="event_id") -> DataFrame:
+def instant_panes(samples, keys, value, range_us, step_us, ts="ts_us", tie="event_id") -> DataFrame:
     """Latest sample per series and pane."""
     return (
-        samples.withColumn("pane_us", ceil_to(F.col(ts), pane_us))
+        samples.withColumn("pane_us", pane_end(F.col(ts), range_us, step_us))
         .groupBy(*keys, "pane_us")
         .agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("v"))).alias("s"))
     )
@@ -169,9 +179,8 @@ def instant_panes(samples, keys, value, pane_us, ts="ts_us", tie="event_id") ->
 
 def instant(samples, step_us, lookback_us, value="value", keys=KEYS, ts="ts_us", tie="event_id") -> DataFrame:
     """Value of each series at each step: latest sample in ``(t - lookback, t]``."""
-    pane_us = gcd(int(step_us), int(lookback_us))
-    panes = instant_panes(samples, keys, value, pane_us, ts, tie)
-    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", pane_us, int(lookback_us), int(step_us))))
+    panes = instant_panes(samples, keys, value, int(lookback_us), int(step_us), ts, tie)
+    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", lookback_us, step_us)))
     return placed.groupBy(*keys, "step_us").agg(F.max_by("s.v", "pane_us").alias("value"))
 
 
@@ -180,10 +189,9 @@ def no_data(samples, from_us, to_us, step_us, lookback_us, keys=KEYS, ts="ts_us"
 
     Only the holes between consecutive covered panes are generated, not the whole grid.
     """
-    pane_us = gcd(int(step_us), int(lookback_us))
-    reach = int(lookback_us) - pane_us
+    reach = int(lookback_us) - 1
     first_step = from_us + (-from_us) % step_us
-    panes = samples.select(*keys, ceil_to(F.col(ts), pane_us).alias("pane_us")).distinct()
+    panes = samples.select(*keys, pane_end(F.col(ts), int(lookback_us), int(step_us)).alias("pane_us")).distinct()
     series = Window.partitionBy(*keys).orderBy("pane_us")
     before = F.lag("pane_us").over(series)
     after = F.lead("pane_us").over(series)

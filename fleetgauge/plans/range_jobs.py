@@ -123,4 +123,5 @@ def wn_alert_nodata(spark, sf):
 @job("ag_last_reducer", f"""SELECT instance, op, max_by(value, ts_us) AS value FROM gauges
     WHERE ts_us BETWEEN {v.AT_US - 10 * DAY} AND {v.AT_US} GROUP BY ALL""", "gauges")
 def ag_last_reducer(spark, sf):
-    return rv.last_value(v.gauges(spark, sf), v.AT_US - 10 * DAY, v.AT_US)
+    low, high = v.AT_US - 10 * DAY, v.AT_US
+    return rv.last_value(v.gauges(spark, sf, low, high), low, high)

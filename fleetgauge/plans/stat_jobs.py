@@ -261,7 +261,7 @@ def flt_value_threshold(spark, sf):
 
 @job("flt_time_range", f"SELECT event_id, ts_us, value FROM gauges WHERE ts_us BETWEEN {v.AT_US - 24 * HOUR} AND {v.AT_US}", "gauges")
 def flt_time_range(spark, sf):
-    return fl.time_range(v.gauges(spark, sf), v.AT_US - 24 * HOUR, v.AT_US).select("event_id", "ts_us", "value")
+    return v.gauges(spark, sf, v.AT_US - 24 * HOUR, v.AT_US).select("event_id", "ts_us", "value")
 
 
 # --- joins and aggregates ----------------------------------------------------------------

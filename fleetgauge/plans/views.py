@@ -13,6 +13,7 @@ from fleetgauge.constants import DAY, DISK_COMPONENTS, HOUR, MINUTE
 from fleetgauge.functions.local import local_table
 from fleetgauge.functions.scan import ordered_scan, running_sum
 from fleetgauge.functions.text import epoch_us
+from fleetgauge.operators.filters import time_range
 
 JOB = "fleet"
 FROM_US = 1_704_067_200_000_000  # 2024-01-01, start of the data range
@@ -71,9 +72,12 @@ def up(spark, sf) -> DataFrame:
     )
 
 
-def gauges(spark, sf) -> DataFrame:
-    """Response time samples in thousandths, one series per server and op."""
-    return events(spark, sf).select(
+def gauges(spark, sf, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
+    """Response time samples in thousandths, one series per server and op; of a stretch of time, if given."""
+    rows = table(spark, sf, "events")
+    if from_us is not None:
+        rows = time_range(rows, from_us, to_us, "ts")
+    return timed(rows).select(
         "event_id", F.lit(JOB).alias("job"), "instance", F.col("event_type").alias("op"), "ts_us", milli().alias("value")
     )
 

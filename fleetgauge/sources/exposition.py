@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.text import label_text, once, series_key
 
-_NAME = "[a-zA-Z_:][a-zA-Z0-9_:]*"
-_SAMPLE = rf"^({_NAME})(?:\{{(.*)\}})?[ \t]+(\S+)(?:[ \t]+-?[0-9]+)?\s*$"
-_META = rf"^# (HELP|TYPE) ({_NAME})(?: (.*))?$"
+_NAME = "^[a-zA-Z_:][a-zA-Z0-9_:]*"
+_TAIL = r"^[ \t]+\S+(?:[ \t]+-?[0-9]+)?\s*$"  # value, and a time that is not kept
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
@@ -26,28 +25,41 @@ def label_map(body: Column) -> Column:
     return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values))
 
 
-def parse_samples(lines: DataFrame) -> DataFrame:
-    """Sample lines (column ``value``) as name, labels, series_key, op, value; other columns stay."""
-    keep = [c for c in lines.columns if c != "value"]
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Each line (column ``value``) taken apart once: kind (sample, HELP, TYPE or NULL), name, labels, number, text."""
     line = F.col("value")
-    rows = once(lines.where(~line.startswith("#") & line.rlike(_SAMPLE)), {
-        "name": F.regexp_extract(line, _SAMPLE, 1),
-        "labels": label_map(F.regexp_extract(line, _SAMPLE, 2)),
-        "_number": F.regexp_extract(line, _SAMPLE, 3).try_cast("double"),
+    words = F.split(line, " ", 4)
+    meta = line.startswith("# HELP ") | line.startswith("# TYPE ")
+    name = F.regexp_extract(F.when(meta, words[2]).otherwise(line), _NAME, 0)
+    rest = F.expr("substring(value, length(_name) + 1)")
+    rows = once(lines, {"_meta": meta, "_name": name, "_words": F.when(meta, words)})
+    braced = rest.startswith("{")
+    rows = once(rows, {"_tail": F.when(braced, F.substring_index(rest, "}", -1)).otherwise(rest), "_braced": braced})
+    body = F.expr("substring(value, length(_name) + 2, length(value) - length(_name) - length(_tail) - 2)")
+    sample = ~F.col("_meta") & (F.col("_name") != "") & F.col("_tail").rlike(_TAIL)
+    number = F.split(F.ltrim(F.regexp_replace("_tail", "\t", " ")), r"\s+")[0]
+    rows = once(rows, {
+        "labels": F.when(sample, label_map(F.when(F.col("_braced"), body).otherwise(""))),
+        "_number": F.when(sample, number.try_cast("double")),
     })
-    rows = rows.select(*keep, "name", "labels", F.col("_number").alias("value")).where("labels IS NOT NULL AND value IS NOT NULL")
+    kind = F.when(F.col("_meta") & (F.col("_words")[2] == F.col("_name")) & (F.col("_name") != ""), F.col("_words")[1]).when(
+        F.col("labels").isNotNull() & F.col("_number").isNotNull(), "sample")
+    return rows.withColumns({"_kind": kind, "_text": F.get("_words", F.lit(3))}).withColumnRenamed("_name", "name")
+
+
+def _samples(rows: DataFrame, keep: list[str]) -> DataFrame:
+    rows = rows.select(*keep, "name", "labels", F.col("_number").alias("value"))
     return rows.withColumns({"series_key": series_key(F.col("name"), F.col("labels")), "op": F.col("labels")["op"]})
 
 
-def parse_families(lines: DataFrame, scope: list[str]) -> DataFrame:
-    """HELP and TYPE lines as one row per file and family."""
-    line = F.col("value")
-    kind, text = F.regexp_extract(line, _META, 1), F.regexp_extract(line, _META, 3)
-    return (
-        lines.where(line.rlike(_META))
-        .groupBy(*scope, F.regexp_extract(line, _META, 2).alias("name"))
-        .agg(F.max(F.when(kind == "TYPE", text)).alias("type"), F.max(F.when(kind == "HELP", text)).alias("help"))
-    )
+def parse_samples(lines: DataFrame) -> DataFrame:
+    """Sample lines (column ``value``) as name, labels, series_key, op, value; other columns stay."""
+    return _samples(_parsed(lines).where("_kind = 'sample'"), [c for c in lines.columns if c != "value"])
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither sample nor comment nor blank, as they came."""
+    return _parsed(lines).where("_kind IS NULL AND trim(value) <> '' AND NOT startswith(value, '#')").select(*lines.columns)
 
 
 def read_lines(spark: SparkSession, path: str, file_part: str = "(.*)") -> DataFrame:
@@ -58,9 +70,14 @@ def read_lines(spark: SparkSession, path: str, file_part: str = "(.*)") -> DataF
 
 
 def read_exposition(spark: SparkSession, path: str, file_part: str = "(.*)") -> DataFrame:
-    """A directory of metric files as samples with the type and help of their family."""
-    lines = read_lines(spark, path, file_part)
-    out = parse_samples(lines).join(parse_families(lines, ["file"]), ["file", "name"], "left")
+    """A directory of metric files as samples with the type and help of their family.
+
+    The text is read once; a family of a file brings its own HELP and TYPE lines along."""
+    rows = _parsed(read_lines(spark, path, file_part)).where("_kind IS NOT NULL")
+    family = Window.partitionBy("file", "name")
+    for kind in ("TYPE", "HELP"):
+        rows = rows.withColumn(kind.lower(), F.max(F.when(F.col("_kind") == kind, F.col("_text"))).over(family))
+    out = _samples(rows.where("_kind = 'sample'"), ["file", "type", "help"])
     return out.select(
         "file", "name", F.coalesce("type", F.lit("untyped")).alias("type"), F.coalesce("help", F.lit("")).alias("help"),
         "series_key", "op", "value",

@@ -411,3 +411,17 @@ def test_publish_shows_only_complete_versions(spark, tmp_path):
     (tmp_path / "snap" / "v=3").mkdir()  # a write that never finished
     assert store.read_published(spark, path).count() == 5
     assert store.publish(spark.range(7), path) == 3 and store.read_published(spark, path).count() == 7
+
+
+def test_panes_of_an_odd_range(spark):
+    rng, step = 9 * HOUR, 60_000_163
+    rows = spark.range(2000).select(F.lit("a").alias("instance"), F.lit("o").alias("op"), (F.col("id") * 7 * SECOND + 3).alias("ts_us"))
+    panes = rows.select(rangevec.pane_end(F.col("ts_us"), rng, step).alias("p")).distinct().count()
+    assert panes <= 2 * (2000 * 7 * SECOND // step + 2)
+
+
+def test_rejected_lines_are_told(spark):
+    text = ["# HELP a b", "# TYPE a gauge", 'a{x="1}"} 5', "a 7 1700000000", "a{", "", "9a 1", "a x", 'a{y="1",y="2"} 3', "b\t2"]
+    lines = spark.createDataFrame([(t,) for t in text], "value string")
+    assert sorted(r["value"] for r in exposition.rejected_lines(lines).collect()) == sorted(["a{", "9a 1", "a x", 'a{y="1",y="2"} 3'])
+    assert sorted((r["series_key"], r["value"]) for r in exposition.parse_samples(lines).collect()) == [("a", 7.0), ('a{x="1}"}', 5.0), ("b", 2.0)]

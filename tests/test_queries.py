@@ -49,3 +49,13 @@ def test_scan_reads_only_what_it_needs(spark, key, columns):
     plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     read = {c.split(":")[0] for part in plan.split("ReadSchema: struct<")[1:] for c in part.split(">")[0].split(",")}
     assert read == columns
+
+
+@pytest.mark.parametrize("key, pushed", [
+    ("flt_time_range", ["GreaterThanOrEqual(ts,", "LessThanOrEqual(ts,"]), ("ag_last_reducer", ["GreaterThanOrEqual(ts,", "LessThanOrEqual(ts,"]),
+    ("flt_label_match", ["EqualTo(event_type,click)"]),
+])
+def test_filters_reach_the_scan(spark, key, pushed):
+    plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PushedFilters: ")[1].split("ReadSchema")[0]
+    assert all(p in filters for p in pushed), filters
