@@ -15,17 +15,10 @@ from fleetgauge.streaming import ingest, stateful, tables
 from fleetgauge.workdir import fresh_dir
 
 
-def arriving(df, ts: str, path: str, run, parts: int = 2) -> None:
-    """Write the rows in ``parts`` stretches of time and call ``run`` after each."""
-    width = -(-(v.TO_US - v.FROM_US) // parts)
-    part = F.least(F.greatest(F.expr(f"({ts} - {v.FROM_US}) div {width}"), F.lit(0)), F.lit(parts - 1))
-    staged = f"{path}-staged"
-    df.withColumn("part", part).write.partitionBy("part").parquet(staged)
-    spark = df.sparkSession
-    for i in range(parts):
-        rows = spark.read.parquet(staged).where(F.col("part") == i).select(*df.columns)
-        rows.write.mode("append").parquet(path)
-        run(spark.readStream.schema(rows.schema).parquet(path))
+def shuffled(rows, path: str):
+    """The rows as a stream of files in no time order, so that every batch brings late ones."""
+    rows.repartition(4).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @job("st_prom_files", """
@@ -40,13 +33,14 @@ def st_prom_files(spark, sf):
 
 
 @job("st_log_json", """
-    SELECT time_us // 60000000 * 60000000 AS minute_us, method, status, count(*) AS n FROM logs WHERE NOT corrupt GROUP BY ALL""", "logs")
+    SELECT CASE WHEN NOT corrupt THEN time_us // 60000000 * 60000000 END AS minute_us, CASE WHEN NOT corrupt THEN method END AS method,
+      CASE WHEN NOT corrupt THEN status END AS status, count(*) AS n FROM logs GROUP BY ALL""", "logs")
 def st_log_json(spark, sf):
     src, out = fresh_dir(spark, "log"), fresh_dir(spark, "minutes")
-    v.loglines(spark, sf).select(F.col("line").alias("value")).write.text(src)
-    counts = ingest.requests_per_minute(spark.readStream.text(src).withColumnRenamed("value", "line"))
-    tables.run_available(counts, lambda df, i: tables.write_batch(df, f"{out}/table", i), f"{out}/checkpoint", "update")
-    return tables.latest(spark, f"{out}/table", ["minute_us", "method", "status"])
+    v.loglines(spark, sf).select(F.col("line").alias("value")).repartition(4).write.text(src)  # in no time order
+    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(src).withColumnRenamed("value", "line")
+    tables.run_available(lines, lambda df, i: tables.write_batch(ingest.requests_per_minute(df), f"{out}/table", i), f"{out}/checkpoint")
+    return tables.added_up(spark, f"{out}/table", ["minute_us", "method", "status"], {"n": F.sum("n")})
 
 
 @job("st_log_positions", f"SELECT '{v.JOB}' AS job, line FROM loglines", "loglines")
@@ -64,27 +58,25 @@ def st_log_positions(spark, sf):
     SELECT instance, snapshot, key, min_by(value_milli, event_id) AS value, count(*) - 1 AS n_dup
     FROM (SELECT *, lower(concat_ws('.', facility, stat)) AS key FROM stats WHERE facility IS NOT NULL) GROUP BY ALL""", "stats")
 def st_snapshot_dedup(spark, sf):
-    out = fresh_dir(spark, "firsts")
-    firsts = ingest.first_of_snapshot(v.as_stats(v.event_stream(spark, sf)))
-    tables.run_available(firsts, lambda df, i: tables.write_batch(df, f"{out}/table", i), f"{out}/checkpoint", "update")
-    return tables.latest(spark, f"{out}/table", ["instance", "snapshot", "key"])
+    src, out = fresh_dir(spark, "stats"), fresh_dir(spark, "firsts")
+    v.stats(spark, sf).repartition(4).write.parquet(src)
+    rows = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    tables.run_available(rows, lambda df, i: tables.write_batch(ingest.first_of_snapshot(df), f"{out}/table", i), f"{out}/checkpoint")
+    return ingest.firsts(spark, f"{out}/table")
 
 
 @job("st_range_increase", "SELECT instance, op, step_us, inc, n FROM w", "counters", rj.WINDOWS)
 def st_range_increase(spark, sf):
     src, out = fresh_dir(spark, "counters"), fresh_dir(spark, "increase")
     rows = v.counters(spark, sf).select("event_id", "instance", "op", "ts_us", "count_total")
-    rows.repartition(4).write.parquet(src)  # files in no time order: late samples in every batch
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
-    stateful.range_increase(stream, out, f"{out}/checkpoint", rj.RANGE, rj.STEP)
+    stateful.range_increase(shuffled(rows, src), out, f"{out}/checkpoint", rj.RANGE, rj.STEP)
     return stateful.read_increase(spark, out)
 
 
 @job("st_alert_state", sj.EPISODES_SQL, "evals", sj.EPISODES)
 def st_alert_state(spark, sf):
     src, out = fresh_dir(spark, "evals"), fresh_dir(spark, "episodes")
-    arriving(v.evals(spark, sf), "ts_us", src,
-             lambda s: stateful.alert_states(s, out, f"{out}/checkpoint", sj.FOR_US))
+    stateful.alert_states(shuffled(v.evals(spark, sf), src), out, f"{out}/checkpoint", sj.FOR_US)
     return stateful.read_episodes(spark, out)
 
 
@@ -92,6 +84,5 @@ def st_alert_state(spark, sf):
 def st_sample_thinning(spark, sf):
     src, out = fresh_dir(spark, "gauges"), fresh_dir(spark, "thinned")
     rows = v.gauges(spark, sf).select("event_id", "instance", "op", "ts_us")
-    arriving(rows, "ts_us", src,
-             lambda s: stateful.sample_thinning(s, out, f"{out}/checkpoint", tj.THIN))
-    return spark.read.parquet(f"{out}/kept").drop("batch")
+    stateful.sample_thinning(shuffled(rows, src), out, f"{out}/checkpoint", tj.THIN)
+    return stateful.read_kept(spark, out)

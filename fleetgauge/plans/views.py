@@ -51,12 +51,6 @@ def timed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ts_us": epoch_us("ts"), "instance": server()})
 
 
-def event_stream(spark, sf) -> DataFrame:
-    """The events table as a file stream."""
-    schema = table(spark, sf, "events").schema
-    return timed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
-
-
 def counters(spark, sf) -> DataFrame:
     rows = events(spark, sf).select(
         "event_id", F.lit(JOB).alias("job"), "instance", F.col("event_type").alias("op"), "ts_us",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import DAY, LOG_RETENTION_HOURS, METRIC_RETENTION_DAYS
+from fleetgauge.constants import DAY, MINUTE
 from fleetgauge.functions.text import stat_key, whole_div
 from fleetgauge.sources.exposition import parse_samples
 from fleetgauge.sources.logs import log_times, parse_access_log
+from fleetgauge.streaming.tables import added_up
 
 
 def metric_stream(spark: SparkSession, path: str, file_part: str = "(.*)", files_per_batch: int = 10_000) -> DataFrame:
@@ -26,30 +27,29 @@ def line_stream(spark: SparkSession, path: str, job: str) -> DataFrame:
     return lines.select(F.lit(job).alias("job"), F.col("value").alias("line"))
 
 
-def requests_per_minute(lines: DataFrame, late_hours: int = LOG_RETENTION_HOURS) -> DataFrame:
-    """Requests per minute, method and status.
+def requests_per_minute(lines: DataFrame) -> DataFrame:
+    """Requests per minute, method and status of one batch of lines; parts of several batches add up.
 
-    Lines may arrive as late as logs are kept at all, so no line that is still kept is lost.
+    Lines without a usable time count under a NULL minute, so no line is lost, however late it comes.
     """
-    logs = log_times(parse_access_log(lines)).where("NOT corrupt").withColumn("at", F.timestamp_micros("ts_us"))
-    counts = logs.withWatermark("at", f"{late_hours} hours").groupBy(F.window("at", "1 minute"), "method", "status").count()
-    return counts.select(
-        F.unix_micros("window.start").alias("minute_us"), "method", "status", F.col("count").alias("n")
-    )
+    logs = log_times(parse_access_log(lines))
+    minute = F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(MINUTE))
+    return logs.groupBy(minute.alias("minute_us"), "method", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_of_snapshot(stats: DataFrame, snapshot_us: int = DAY, late_hours: int = METRIC_RETENTION_DAYS * 24) -> DataFrame:
-    """The first row per name and snapshot, and how many came after it.
+def first_of_snapshot(stats: DataFrame, snapshot_us: int = DAY) -> DataFrame:
+    """Per name and snapshot of one batch: the first row's number and value, and how many rows there are.
 
-    An aggregate, so repeated names are reduced before the shuffle. Run it in update mode: a row
-    that comes late but is earlier takes over. State of a snapshot goes when its data is deleted.
+    Parts of several batches are aggregated again by ``firsts``: a row that comes late but is earlier takes over.
     """
     rows = stats.where("facility IS NOT NULL AND stat IS NOT NULL").withColumns({
-        "key": stat_key(), "at": F.timestamp_micros("ts_us"),
+        "key": stat_key(), "snapshot": whole_div(F.col("ts_us"), snapshot_us),
     })
-    window = F.window("at", f"{snapshot_us // 1_000_000} seconds")
-    firsts = rows.withWatermark("at", f"{late_hours} hours").groupBy(window, "instance", "key").agg(
-        F.min_by("value_milli", "event_id").alias("value"), (F.count(F.lit(1)) - 1).alias("n_dup")
-    )
-    snapshot = whole_div(F.unix_micros("window.start"), snapshot_us)
-    return firsts.select("instance", snapshot.alias("snapshot"), "key", "value", "n_dup")
+    return rows.groupBy("instance", "snapshot", "key").agg(
+        F.min(F.struct("event_id", "value_milli")).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def firsts(spark: SparkSession, path: str) -> DataFrame:
+    """instance, snapshot, key, value of the first row and the number of rows after it."""
+    rows = added_up(spark, path, ["instance", "snapshot", "key"], {"first": F.min("first"), "n": F.sum("n")})
+    return rows.select("instance", "snapshot", "key", F.col("first.value_milli").alias("value"), (F.col("n") - 1).alias("n_dup"))

@@ -1,8 +1,8 @@
 """Streaming forms of the ordered operators.
 
-Each micro-batch runs the batch operator over its own rows and a small carried table (open
-episodes, due times, open groups), which it writes again for the next batch. So a hot series is
-spread over tasks just as in batch, and a repeated batch gives the same result.
+Input may come late and in any order: each micro-batch stores its rows by day, finds what they touch and
+runs the batch operator over that stretch again. So a hot series is spread over tasks just as in batch, a
+batch without rows changes nothing, and a batch that is run again gives the same result.
 """
 
 from __future__ import annotations
@@ -15,78 +15,118 @@ from fleetgauge.functions.text import whole_div
 from fleetgauge.operators import alerts as al
 from fleetgauge.operators import rangevec as rv
 from fleetgauge.operators import thinning as th
-from fleetgauge.streaming.tables import drop_batch, latest, previous_batch, run_available, write_batch
+from fleetgauge.streaming.tables import drop_batch, latest, newest_version, previous_batch, read_days, run_available, trim_days, write_batch, write_days
 
 
 def range_increase(stream: DataFrame, out: str, checkpoint: str, range_us: int, step_us: int, value="count_total",
-                   keys=("instance", "op"), ts="ts_us", tie="event_id") -> None:
+                   keys=("instance", "op"), ts="ts_us", tie="event_id", keep_days: int | None = None) -> None:
     """Keep the windows of ``wn_increase`` up to date under ``out``, late samples included.
 
-    A batch stores its samples by day and recomputes only the steps whose window holds one of them,
-    from the days those windows touch.
+    A batch recomputes only the (series, step) pairs whose window holds one of its samples, from the days of
+    the series that those windows touch. ``keep_days`` drops stored samples that many days older than the newest.
     """
     spark, keys = stream.sparkSession, list(keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*keys, ts, tie, value, whole_div(F.col(ts), DAY).alias("day"))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{out}/samples/batch={batch_id}")
-        stored = spark.read.option("basePath", f"{out}/samples").parquet(f"{out}/samples/batch=*")
-        low, high = stored.where(F.col("batch") == batch_id).agg(F.min(ts), F.max(ts)).first()
-        first = low + (-low) % step_us
-        last = high + range_us - 1
-        near = stored.where(
-            F.col("day").between((first - range_us) // DAY, last // DAY)
-            & (F.col(ts) > first - range_us) & (F.col(ts) <= last) & (F.col("batch") <= batch_id)
-        )
+        write_days(rows, f"{out}/samples", batch_id)
+        stored = read_days(spark, f"{out}/samples", rows.schema, batch_id)
+        panes = batch.select(*keys, rv.pane_end(F.col(ts), int(range_us), int(step_us)).alias("pane")).distinct()
+        touched = panes.select(*keys, F.explode(rv.steps_of("pane", range_us, step_us)).alias("step_us")).distinct()
+        days = touched.select(*keys, F.explode(F.sequence(
+            whole_div(F.col("step_us") - F.lit(int(range_us)), DAY), whole_div(F.col("step_us"), DAY))).alias("day")).distinct()
+        near = _same(stored, days, [*keys, "day"])
         windows = rv.increase(near, range_us, step_us, value, keys, ts=ts, tie=tie)
-        write_batch(windows.where(F.col("step_us").between(first, last)), f"{out}/windows", batch_id)
+        write_batch(_same(windows, touched, [*keys, "step_us"]), f"{out}/windows", batch_id)
+        if keep_days is not None:
+            trim_days(spark, f"{out}/samples", keep_days)
 
     run_available(stream, handle, checkpoint)
 
 
+def _same(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are wanted; a NULL key is a key."""
+    a, b = rows.alias("a"), wanted.alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, on, "left_semi")
+
+
 def read_increase(spark: SparkSession, out: str, keys=("instance", "op")) -> DataFrame:
     return latest(spark, f"{out}/windows", [*keys, "step_us"])
 
 
+def _from_start(stored: DataFrame, batch: DataFrame, before: DataFrame | None, known: str, keys: list[str], ts: str):
+    """For each series of the batch where to begin again: its last settled point (column ``known`` of ``before``)
+    not after its first new row, else that row. Gives these starts, and the stored rows from there on."""
+    low = batch.groupBy(*keys).agg(F.min(ts).alias("_low"))
+    if before is not None:
+        a, b = low.alias("a"), before.alias("b")
+        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"b.{known}") <= F.col("a._low")]
+        low = a.join(b, on, "left").groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(
+            F.coalesce(F.max(f"b.{known}"), F.min("a._low")).alias("_low"))
+    a, b = stored.alias("a"), low.alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    first = low.agg(F.min("_low")).first()[0]  # days before it are not read
+    days = F.lit(True) if first is None else F.col("a.day") >= first // DAY
+    return low, a.join(b, on).where(days & (F.col(f"a.{ts}") >= F.col("b._low"))).select("a.*")
+
+
+def _untouched(before: DataFrame, low: DataFrame, known: str, keys: list[str]) -> DataFrame:
+    a, b = before.alias("a"), low.alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{known}") >= F.col("b._low")]
+    return a.join(b, on, "left_anti")
+
+
 def alert_states(stream: DataFrame, out: str, checkpoint: str, for_us: int, keys=("instance",), ts="ts_us", tie="event_id") -> None:
-    """Alert episodes under ``out`` as evaluations come in (in time order from batch to batch).
+    """Alert episodes under ``out`` as evaluations come in, in any order.
 
-    An open episode goes into the next batch as one true evaluation at its start.
+    An episode begins with a true evaluation, so a series is followed again from the last episode that begins
+    no later than the batch's first evaluation of it.
     """
     spark, keys = stream.sparkSession, list(keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*keys, ts, tie, "active")
+        rows = batch.select(*keys, ts, tie, "active", whole_div(F.col(ts), DAY).alias("day"))
+        write_days(rows, f"{out}/evals", batch_id)
+        stored = read_days(spark, f"{out}/evals", rows.schema, batch_id)
         before = previous_batch(spark, f"{out}/episodes", batch_id)
-        if before is None:
-            found = al.alert_episodes(rows, for_us, keys=keys, ts=ts, tie=tie)
-        else:
-            still = before.where("resolved_at IS NULL")
-            seed = still.select(*keys, F.col("active_at").alias(ts), F.lit(-1).cast("bigint").alias(tie), F.lit(True).alias("active"))
-            found = al.alert_episodes(seed.unionByName(rows), for_us, keys=keys, ts=ts, tie=tie)
-            fired = still.select(*keys, "active_at", F.col("fires_at").alias("_fired"))
-            found = found.join(fired, [*keys, "active_at"], "left").withColumn("fires_at", F.coalesce("_fired", "fires_at")).drop("_fired")
+        low, again = _from_start(stored, rows, before, "active_at", keys, ts)
+        found = al.alert_episodes(again.select(*keys, ts, tie, "active"), for_us, keys=keys, ts=ts, tie=tie)
+        if before is not None:
+            found = found.unionByName(_untouched(before, low, "active_at", keys))
         write_batch(found, f"{out}/episodes", batch_id)
+        drop_batch(spark, f"{out}/episodes", batch_id - 2)
 
     run_available(stream, handle, checkpoint)
 
 
-def read_episodes(spark: SparkSession, out: str, keys=("instance",)) -> DataFrame:
-    return latest(spark, f"{out}/episodes", [*keys, "active_at"])
+def read_episodes(spark: SparkSession, out: str) -> DataFrame:
+    return newest_version(spark, f"{out}/episodes")
 
 
 def sample_thinning(stream: DataFrame, out: str, checkpoint: str, interval_us: int, keys=("instance", "op"),
                     ts="ts_us", tie="event_id", chunk_intervals: int = 8) -> None:
-    """Append the kept samples to ``out`` (samples in time order from batch to batch)."""
+    """The kept samples under ``out`` as samples come in, in any order.
+
+    A kept sample stays kept as long as nothing older comes in, so a series is thinned again from the last
+    one that is no later than the batch's first sample of it.
+    """
     spark, keys = stream.sparkSession, list(keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = previous_batch(spark, f"{out}/due", batch_id)
-        kept, due = th.thin(batch, interval_us, keys, ts, tie, chunk_intervals, before)
-        write_batch(kept, f"{out}/kept", batch_id)
+        rows = batch.select(*keys, ts, tie, whole_div(F.col(ts), DAY).alias("day"))
+        write_days(rows, f"{out}/samples", batch_id)
+        stored = read_days(spark, f"{out}/samples", rows.schema, batch_id)
+        before = previous_batch(spark, f"{out}/kept", batch_id)
+        low, again = _from_start(stored, rows, before, ts, keys, ts)
+        kept = th.due_thinning(again, interval_us, keys, ts, tie, chunk_intervals)
         if before is not None:
-            due = due.unionByName(before).groupBy(*keys).agg(F.max("due").alias("due"))
-        write_batch(due, f"{out}/due", batch_id)
-        drop_batch(spark, f"{out}/due", batch_id - 2)
+            kept = kept.unionByName(_untouched(before, low, ts, keys).select(*kept.columns))
+        write_batch(kept, f"{out}/kept", batch_id)
+        drop_batch(spark, f"{out}/kept", batch_id - 2)
 
     run_available(stream, handle, checkpoint)
+
+
+def read_kept(spark: SparkSession, out: str) -> DataFrame:
+    return newest_version(spark, f"{out}/kept")

@@ -177,6 +177,40 @@ def test_intervals_minus(spark):
         assert sorted(got.get(i, [])) == joined
 
 
+def in_files(spark, rows, schema, path, parts):
+    """The rows in files that a stream takes one by one, the second of them empty."""
+    for i in range(parts):
+        mine = [] if i == 1 else rows[i::parts] if i else rows[0::parts] + rows[1::parts]
+        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_streams_take_late_and_empty_input(spark, tmp_path):
+    rng = random.Random(11)
+    state, evals = False, []
+    for i in range(120):
+        state = state if rng.random() < 0.6 else not state
+        evals.append((rng.choice(["hot", "b", None]), i, i * 4 * MINUTE, state, i))
+    rng.shuffle(evals)
+    kind = "instance string, event_id bigint, ts_us bigint, active boolean, count_total bigint"
+    whole = spark.createDataFrame(evals, kind)
+    names = {"keys": ["instance"]}
+
+    def same(got, want):
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect()))
+
+    out = str(tmp_path / "alerts")
+    stateful.alert_states(in_files(spark, evals, kind, f"{out}-in", 4), out, f"{out}/checkpoint", 8 * MINUTE)
+    same(stateful.read_episodes(spark, out), alerts.alert_episodes(whole, 8 * MINUTE))
+    out = str(tmp_path / "thin")
+    stateful.sample_thinning(in_files(spark, evals, kind, f"{out}-in", 4), out, f"{out}/checkpoint", 30 * MINUTE, **names)
+    same(stateful.read_kept(spark, out), thinning.due_thinning(whole, 30 * MINUTE, ["instance"]))
+    out = str(tmp_path / "inc")
+    stateful.range_increase(in_files(spark, evals, kind, f"{out}-in", 4), out, f"{out}/checkpoint", HOUR, 20 * MINUTE, **names)
+    same(stateful.read_increase(spark, out, ["instance"]), rangevec.increase(whole, HOUR, 20 * MINUTE, keys=["instance"]))
+
+
 def test_task_functions_travel_without_the_package(tmp_path):
     import os
     import subprocess
