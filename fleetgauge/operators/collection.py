@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import HEALTH_PREFIX, SECOND, STAT_PREFIX
+from fleetgauge.constants import HEALTH_PREFIX, SECOND, STAT_PREFIX, TRANS_PREFIX
 from fleetgauge.functions.text import milli_text, prefixed, whole_div
 from fleetgauge.operators import filters, normalize
 
@@ -93,18 +93,28 @@ def disks(sizes: DataFrame, prefix=HEALTH_PREFIX) -> DataFrame:
 
 
 def mail(buckets: DataFrame, prefix=HEALTH_PREFIX) -> DataFrame:
-    """Pending mail by age; documents under five minutes are counted but not written."""
+    """Pending mail by age; documents under five minutes are counted but not written. ``scan_ms``, if there, is the
+    time the check took."""
     always = F.lit(True)
     return emit(buckets, prefix, {
         "mail_pending_avg_age_seconds": (always, F.col("avg_s")),
         "mailbox_check_errors": (always, F.col("errors")),
         "mailbox_check_timestamp": (always, _seconds("scan_us")),
+        **({"mailbox_check_time": (F.col("scan_ms").isNotNull(), milli_text(F.col("scan_ms")))} if "scan_ms" in buckets.columns else {}),
         "mail_pending_age_5m_15m": (always, F.col("m5_15")),
         "mail_pending_age_15m_60m": (always, F.col("m15_60")),
         "mail_pending_age_ge_60m": (always, F.col("ge_60m")),
     })
 
 
+def transactions(report: DataFrame, servers: DataFrame, at_us: int, prefix=TRANS_PREFIX) -> DataFrame:
+    """Count and seconds per operation (instance, op, n, total in ms), and when each server's were taken."""
+    labels = F.create_map(F.lit("op"), F.col("op"))
+    always = F.lit(True)
+    return emit(report, prefix, {"count": (always, F.col("n")), "total_seconds": (always, milli_text(F.col("total")))}, labels).unionByName(
+        emit(servers, prefix, {"stat_transactions_update_timestamp": (always, F.lit(int(at_us) // SECOND))}))
+
+
 def business(timed: DataFrame, prefix=HEALTH_PREFIX) -> DataFrame:
     return emit(timed, prefix, {
         "business_day": (F.lit(True), F.col("business_day")), "business_hours": (F.lit(True), F.col("business_hours")),

@@ -42,7 +42,7 @@ def storage_status(config: DataFrame) -> DataFrame:
 
 def mega(size: Column) -> Column:
     """Bytes as megabytes rounded to three decimals, through whole thousandths."""
-    milli = whole_div(size * 1000 * 2 + 1048576, 2 * 1048576)
+    milli = whole_div(size.cast("decimal(20,0)") * 2000 + 1048576, 2 * 1048576)  # no product of a real size overflows
     return milli.cast("double") / 1000.0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +20,39 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in done)
 
 
+def _claimed(spark: SparkSession, name: str) -> bool:
+    """Whether the file could be made: of several writers one succeeds."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(file):
+        return False
+    try:
+        fs.create(file, False).close()
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def publish(df: DataFrame, path: str) -> int:
     """Write a complete snapshot as the next version; readers never see half of one.
 
-    A version counts once its commit marker exists, which Spark writes last. A failed write
-    leaves an unmarked folder that the next attempt overwrites.
+    A version counts once its commit marker exists, which Spark writes last. A writer claims its number
+    first, so two of them never write to one folder; the number of a failed write is not used again.
     """
-    version = max(_versions(df.sparkSession, path), default=0) + 1
+    spark = df.sparkSession
+    version = max(_versions(spark, path), default=0) + 1
+    while not _claimed(spark, f"{path}/_claims/v={version}"):  # another writer took it
+        version += 1
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
     return version
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """The newest complete snapshot."""
-    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
+    done = _versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    return spark.read.parquet(f"{path}/v={done[-1]}")
 
 
 def retention(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import DAY, HEALTH_PREFIX, MAIL_LOOKBACK_US, MAIL_MIN_WAIT_US, SECOND, STAT_PREFIX
+from fleetgauge.constants import DAY, HEALTH_PREFIX, MAIL_LOOKBACK_US, MAIL_MIN_WAIT_US, SECOND, STAT_PREFIX, TRANS_PREFIX
 from fleetgauge.functions.text import series_key, whole_div
 from fleetgauge.operators import collection as co
 from fleetgauge.operators import health as he
@@ -13,7 +13,7 @@ from fleetgauge.operators import mailbox as mb
 from fleetgauge.operators import schedule as sc
 from fleetgauge.plans import views as v
 from fleetgauge.plans.registry import job
-from fleetgauge.plans.schedule_jobs import BUSINESS, STATUS_SQL, manual
+from fleetgauge.plans.schedule_jobs import BUSINESS, MANUAL, STATUS_SQL, manual
 from fleetgauge.plans.stat_jobs import EXCLUDE, EXTENTS, INCLUDE, KEY, PING, STATE, kept_sql, milli_text_sql, sanitize_sql
 
 AT, BUILD = v.AT_US, 10000
@@ -36,7 +36,7 @@ def families(spark, sf) -> list:
         F.max(F.struct("ts_us", "event_id", "ping_err", "ping_ms", "open_err", "open_ms")).alias("p")
     ).select("instance", "p.*")
     known = config.join(up.select("instance"), "instance", "left_semi")
-    buckets = mb.age_buckets(v.mail(spark, sf), AT, AT, DAY, servers=up)
+    buckets = mb.age_buckets(v.mail(spark, sf), AT, AT, DAY, servers=up).withColumn("scan_ms", F.col("n") * 3)
     today = v.stats(spark, sf).where((F.col("snapshot") == AT // DAY) & (F.col("ts_us") <= AT))
     return [
         co.common(servers, AT, BUILD),
@@ -45,6 +45,8 @@ def families(spark, sf) -> list:
         co.transaction_log(known.select("instance", "log_style"), he.extent_summary(v.txn(spark, sf))),
         co.disks(v.disks(spark, sf)),
         co.mail(buckets),
+        co.transactions(v.trans_report(spark, sf, AT // DAY * DAY, AT), up, AT),
+        co.shutdown(up.join(manual(spark), "instance", "left_semi"), AT),
         co.business(sc.business_time(up, v.calendar(spark))),
         co.statistics(today, "Brand#3", INCLUDE, EXCLUDE),
         co.plain(he.backup_status(
@@ -73,7 +75,9 @@ COLLECTION = {
     "dsk": """SELECT *, concat('{component="', component, '", path="', path, '"}') AS lab FROM disks WHERE path <> ''""",
     "waits": f"""SELECT instance, ({AT} - added_us) // 1000000 AS w FROM mail WHERE delivery_priority <> 'L' AND NOT has_send_at
         AND added_us <= {AT - MAIL_MIN_WAIT_US} AND added_us >= {AT - MAIL_LOOKBACK_US}""",
-    "box": """SELECT instance, coalesce(CAST(sum(w) // nullif(count(w), 0) AS BIGINT), 0) AS avg_s, count(*) FILTER (w < 900) AS a,
+    "trans": f"""SELECT concat('srv', user_id % 5) AS instance, upper(event_type) AS op, count(*) AS n, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total
+        FROM events WHERE epoch_us(ts) BETWEEN {AT // DAY * DAY} AND {AT} GROUP BY ALL""",
+    "box": """SELECT instance, count(w) * 3 AS scan_ms, coalesce(CAST(sum(w) // nullif(count(w), 0) AS BIGINT), 0) AS avg_s, count(*) FILTER (w < 900) AS a,
         count(*) FILTER (w >= 900 AND w < 3600) AS b, count(*) FILTER (w >= 3600) AS c FROM srv LEFT JOIN waits USING (instance) GROUP BY ALL""",
     "firsts": f"""SELECT * FROM stats WHERE snapshot = {AT // DAY} AND ts_us <= {AT} AND facility IS NOT NULL AND lower(facility) <> 'brand#3'
         AND ({kept_sql(INCLUDE, EXCLUDE)}) QUALIFY row_number() OVER (PARTITION BY instance, {KEY} ORDER BY event_id) = 1""",
@@ -97,6 +101,11 @@ COLLECTION_SQL = " UNION ALL ".join([
     f"SELECT instance, concat('{_H}disk_total_bytes', lab), CAST(total_bytes AS VARCHAR) FROM dsk",
     f"SELECT instance, concat('{_H}disk_free_bytes', lab), CAST(free_bytes AS VARCHAR) FROM dsk",
     _one("mail_pending_avg_age_seconds", "avg_s", "box"), _one("mailbox_check_errors", "0", "box"),
+    _one("mailbox_check_time", milli_text_sql("scan_ms"), "box"),
+    f"""SELECT instance, concat('{TRANS_PREFIX}_count{{op="', op, '"}}'), CAST(n AS VARCHAR) FROM trans""",
+    f"""SELECT instance, concat('{TRANS_PREFIX}_total_seconds{{op="', op, '"}}'), {milli_text_sql('total')} FROM trans""",
+    f"SELECT instance, '{TRANS_PREFIX}_stat_transactions_update_timestamp', '{AT // SECOND}' FROM srv",
+    _one("stat_shutdown_timestamp", str(AT // SECOND), f"srv WHERE instance IN ('{MANUAL[0]}')"),
     _one("mailbox_check_timestamp", str(AT // SECOND), "box"), _one("mail_pending_age_5m_15m", "a", "box"),
     _one("mail_pending_age_15m_60m", "b", "box"), _one("mail_pending_age_ge_60m", "c", "box"),
     _one("business_day", "business_day", "timed"), _one("business_hours", "business_hours", "timed"),

@@ -122,9 +122,12 @@ def mail(spark, sf) -> DataFrame:
     )
 
 
-def trans_report(spark, sf) -> DataFrame:
+def trans_report(spark, sf, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
+    rows = table(spark, sf, "events")
+    if from_us is not None:
+        rows = time_range(rows, from_us, to_us, "ts")
     return (
-        table(spark, sf, "events")
+        rows
         .groupBy(server().alias("instance"), F.upper("event_type").alias("op"), F.to_date("ts").cast("string").alias("d"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(milli()).alias("total"),
              F.min(milli()).alias("lo"), F.max(milli()).alias("hi"))
