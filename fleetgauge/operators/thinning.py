@@ -4,8 +4,8 @@ The rule is sequential, but a series need not sit in one task. Each series is cu
 longer than the interval. The only thing a chunk learns from its past is the time the next sample
 is due, which lies before the end of the chunk's first interval; so every chunk first tells, for
 each such due time, what the due time after it would be (runs with the same answer collapse to one
-row). A fold over these few rows gives each chunk its true due time, and the chunks are then
-thinned in parallel. All three steps read sorted partitions as a stream.
+row). A tree over these few rows gives each chunk its true due time, and the chunks are then
+thinned in parallel. All steps read sorted partitions as a stream.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from fleetgauge.functions.runs import runs
 from fleetgauge.functions.text import whole_div
 
 FIRST = -(2**63)  # due before every sample
+SEED = -(2**63)
+FAN, LEVELS = 256, 1
 
 
 def _answers(keys: list[str], interval: int, width: int):
@@ -70,8 +72,58 @@ def _answers(keys: list[str], interval: int, width: int):
     return run
 
 
-def _dues(keys: list[str]):
-    """Fold the answers of each series in time order: the due time before and after each chunk."""
+def _composed(keys: list[str], interval: int, width: int):
+    """The answers of consecutive chunks as those of one ``width`` wide: what is due after all of them, for
+    each due time before. Due times reach at most one interval into it, so only the answers up to there stay."""
+
+    def then(upto: np.ndarray, after: np.ndarray, due: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(upto, due)  # a due time past the last answer passes by
+        return np.where(at < len(upto), after[np.minimum(at, len(upto) - 1)], due)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, chunk, whole, own, out = None, None, None, [], []
+
+        def add(whole, own, up):
+            upto, after = (np.concatenate(x) for x in zip(*own))
+            heads = int(np.searchsorted(upto, up * width + interval)) + 1
+            if whole is None:
+                return upto[:heads], after[:heads]
+            more = (upto > whole[0][-1]) & (whole[0][-1] < up * width + interval)
+            more[heads:] = False
+            ends = np.concatenate([whole[0], upto[more]])
+            next_ = np.concatenate([then(upto, after, whole[1]), after[more]])
+            last = np.append(next_[1:] != next_[:-1], True)
+            return ends[last], next_[last]
+
+        def frame(done):
+            rows = [(*k, u, a) for k, (us, as_) in done for u, a in zip(us.tolist(), as_.tolist())]
+            return pd.DataFrame(rows, columns=[*keys, "chunk", "upto", "after"])
+
+        for part in parts:
+            upto, after = part["upto"].to_numpy(), part["after"].to_numpy()
+            for key, lo, hi in runs(part, [*keys, "up", "chunk"]):
+                if key != chunk:
+                    if own:
+                        whole = add(whole, own, int(chunk[-2]))
+                    if key[:-1] != held:
+                        if held is not None:
+                            out.append((held, whole))
+                        held, whole = key[:-1], None
+                    chunk, own = key, []
+                own.append((upto[lo:hi], after[lo:hi]))
+            if out:
+                yield frame(out)
+                out = []
+        if own:
+            yield frame([(held, add(whole, own, int(chunk[-2])))])
+
+    return run
+
+
+def _dues(keys: list[str], seeded: bool = False):
+    """Fold the answers of each series in time order: the due time before and after each chunk.
+
+    ``seeded``: a first row of each group (chunk SEED) brings the due time; a group without one keeps nothing."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, chunk, due, after, open_ = None, None, FIRST, FIRST, False
@@ -79,9 +131,12 @@ def _dues(keys: list[str]):
             upto, then, out = part["upto"].tolist(), part["after"].tolist(), []
             for key, lo, hi in runs(part, [*keys, "chunk"]):
                 if key[:-1] != series:
-                    series, chunk, after = key[:-1], None, FIRST
+                    series, chunk, after, open_ = key[:-1], None, None if seeded else FIRST, False
+                if seeded and key[-1] == SEED:
+                    after = then[lo]
+                    continue
                 if key[-1] != chunk:
-                    chunk, due, open_ = key[-1], after, True
+                    chunk, due, open_ = key[-1], after, after is not None
                 if open_:
                     at = bisect_left(upto, due, lo, hi)  # the first answer that covers the due time
                     if at < hi:
@@ -92,6 +147,28 @@ def _dues(keys: list[str]):
     return run
 
 
+def _settled(answers: DataFrame, k: list[str], kinds: str, interval: int, width: int) -> DataFrame:
+    """The due time before and after each chunk that keeps a sample (k, chunk, due, next_due).
+
+    A tree over the chunks of a series: answers of FAN chunks become those of one, LEVELS times, the few that
+    are left are folded in order, and the due times go down the same way. No task reads more than FAN chunks'
+    answers of a group, up to FAN ** (LEVELS + 1) chunks of a series.
+    """
+    up = whole_div(F.col("chunk"), FAN)
+    maps = [answers]
+    for level in range(1, LEVELS + 1):
+        grouped = maps[-1].withColumn("up", up).repartition(*k, "up").sortWithinPartitions(*k, "up", "chunk", "upto")
+        maps.append(grouped.mapInPandas(_composed(k, interval, width * FAN**level), f"{kinds}, chunk long, upto long, after long"))
+    told = f"{kinds}, chunk long, due long, next_due long"
+    dues = maps.pop().repartition(*k).sortWithinPartitions(*k, "chunk", "upto").mapInPandas(_dues(k), told)
+    while maps:
+        seeds = dues.select(*k, F.col("chunk").alias("up"), F.lit(SEED).alias("chunk"), F.lit(SEED).alias("upto"), F.col("due").alias("after"))
+        rows = maps.pop().withColumn("up", up).select(*k, "up", "chunk", "upto", "after").unionByName(seeds)
+        rows = rows.repartition(*k, "up").sortWithinPartitions(*k, "up", "chunk", "upto")
+        dues = rows.mapInPandas(_dues([*k, "up"], True), f"{kinds}, up long, chunk long, due long, next_due long").drop("up")
+    return dues
+
+
 def _kept(keys: list[str], interval: int):
     """Thin each chunk; its first row brings the due time."""
 
@@ -137,10 +214,7 @@ def thin(samples, interval_us, keys, ts="ts_us", tie="event_id", chunk_intervals
         rows.select(*k, "chunk", "ts").repartition(*k, "chunk").sortWithinPartitions(*k, "chunk", "ts")
         .mapInPandas(_answers(k, interval, width), f"{key_schema}, chunk long, upto long, after long")
     )
-    dues = (
-        answers.repartition(*k).sortWithinPartitions(*k, "chunk", "upto")
-        .mapInPandas(_dues(k), f"{key_schema}, chunk long, due long, next_due long")
-    )
+    dues = _settled(answers, k, key_schema, interval, width)
     # The due time travels as one more row at the head of its chunk: one shuffle, no join. Chunks
     # without such a row hold nothing that is kept.
     heads = dues.select(*k, "chunk", F.lit(FIRST).alias("ts"), F.lit(0).cast(kinds["tie"]).alias("tie"), "due")

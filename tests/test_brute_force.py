@@ -211,6 +211,32 @@ def test_streams_take_late_and_empty_input(spark, tmp_path):
     same(stateful.read_increase(spark, out, ["instance"]), rangevec.increase(whole, HOUR, 20 * MINUTE, keys=["instance"]))
 
 
+def test_thinning_folds_little_of_an_even_series(spark, monkeypatch):
+    """Samples one second apart: chains never merge, yet no fold reads a part of them that grows."""
+    monkeypatch.setattr(thinning, "FAN", 8)
+    monkeypatch.setattr(thinning, "LEVELS", 2)
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.range(19_200).select(F.lit("a").alias("k0"), (F.col("id") * SECOND).alias("ts"), F.col("id").alias("event_id"))
+    plain = thinning._dues
+
+    def counted(keys, seeded=False):
+        fold = plain(keys, seeded)
+
+        def run(parts):
+            def told():
+                for part in parts:
+                    read.add(len(part))
+                    yield part
+
+            return fold(told())
+
+        return fold if seeded else run
+
+    monkeypatch.setattr(thinning, "_dues", counted)
+    kept = [r["ts"] for r in thinning.due_thinning(rows, MINUTE, ["k0"], "ts").collect()]
+    assert sorted(kept) == [i * MINUTE for i in range(320)] and read.value <= 2 * 61
+
+
 def test_task_functions_travel_without_the_package(tmp_path):
     import os
     import subprocess
@@ -218,7 +244,7 @@ def test_task_functions_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    made = [thinning._answers(["k0"], 5, 50), thinning._dues(["k0"]), thinning._kept(["k0"], 5)]
+    made = [thinning._answers(["k0"], 5, 50), thinning._dues(["k0"]), thinning._composed(["k0"], 5, 400), thinning._kept(["k0"], 5)]
     (tmp_path / "f").write_bytes(cloudpickle.dumps(made))
     load = "import pickle, sys; pickle.load(open('f', 'rb')); assert 'fleetgauge' not in sys.modules"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
