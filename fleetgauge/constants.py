@@ -17,12 +17,6 @@ STAT_PREFIX = "Fleet"
 HEALTH_PREFIX = "FleetHealth"
 TRANS_PREFIX = "FleetTrans"
 
-# Sampling intervals (seconds) of the four collectors.
-STATS_INTERVAL_S = 60
-TRANS_INTERVAL_S = 180
-MAILBOX_INTERVAL_S = 300
-IO_INTERVAL_S = 600
-
 # Mailbox ages.
 MAIL_MIN_WAIT_US = 5 * MINUTE
 MAIL_LOOKBACK_US = 72 * HOUR
@@ -33,6 +27,11 @@ STATE_AVAILABLE, STATE_RESTRICTED, STATE_BUSY, STATE_UNREACHABLE = 0, 1, 2, 3
 # Maintenance states.
 MAINT_NONE, MAINT_MANUAL, MAINT_WINDOW = 0, 1, 3
 
+# Command words of maintenance, and the phrases of its report.
+MAINT_OFF_WORDS = ("off", "clear")
+MAINT_PREFIXES = ("on", "start +", "start ", "end +", "end ")
+WILL_START, SINCE, WILL_END = "will start in ", "since ", "will end in "
+
 # Business-time defaults.
 DEFAULT_BUSINESS_DAYS = "1-5"
 DEFAULT_BUSINESS_HOURS = "6-18"
@@ -67,8 +66,6 @@ DEFAULT_INCLUDES = [
 # Retention and query limits.
 METRIC_RETENTION_DAYS = 30
 METRIC_RETENTION_BYTES = 200 * 1024**3
-LOG_RETENTION_HOURS = 672
-ALERT_RETENTION_HOURS = 120
 MAX_POINTS = 43200
 
 # Fixed value: an alert nobody reports any more is over after this long.

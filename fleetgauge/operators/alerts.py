@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.constants import RESOLVE_TIMEOUT_US
 from fleetgauge.functions.scan import lag, last_seen, ordered_scan, running_max, running_sum
+from fleetgauge.functions.text import once
 from fleetgauge.operators.intervals import FOREVER, minus
 
 
@@ -76,11 +77,11 @@ def alert_inhibit(alerts: DataFrame, source="critical", target="warning", equal=
     A target comes out as the parts of its time that no source covers: none, one or several rows.
     """
     equal = list(equal)
-    spans = _spans(alerts).withColumn("_open", F.lit(FOREVER))
-    targets, sources = spans.where(F.col("severity") == target), spans.where(F.col("severity") == source)
-    left = minus(targets, sources.select(*equal, "s", "e"), equal)
-    others = alerts.where((F.col("severity") != target) | F.col("severity").isNull())
-    return _parts(left, alerts.columns).unionByName(others)
+    # told apart behind a generator: no part pushes its own filter into the rule evaluation, so all share it
+    role = F.when(F.col("severity") == source, 1).when(F.col("severity") == target, 2).otherwise(0)
+    spans = once(_spans(alerts).withColumn("_open", F.lit(FOREVER)), {"_role": role})
+    left = minus(spans.where("_role = 2").drop("_role"), spans.where("_role = 1").select(*equal, "s", "e"), equal)
+    return _parts(left, alerts.columns).unionByName(spans.where("_role <> 2").select(*alerts.columns))
 
 
 def alert_suppress(alerts: DataFrame, calendar: DataFrame, maint: DataFrame, until_us: int, manual: DataFrame | None = None) -> DataFrame:

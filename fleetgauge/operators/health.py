@@ -71,16 +71,6 @@ def extent_summary(files: DataFrame, suffix: str = ".TXN") -> DataFrame:
     )
 
 
-def log_metrics(summary: DataFrame) -> DataFrame:
-    """Extent samples: the count always, lowest and highest only when there are files."""
-    some = F.col("n_files") > 0
-    return conditional_emit(summary, {
-        "translog_file_count": (F.lit(True), F.col("n_files")),
-        "translog_file_min": (some & F.col("min_no").isNotNull(), F.col("min_no")),
-        "translog_file_max": (some & F.col("max_no").isNotNull(), F.col("max_no")),
-    }, ["instance"])
-
-
 def backup_status(stats: DataFrame, facility: str) -> DataFrame:
     """Backup and start-time samples from text and time statistics.
 

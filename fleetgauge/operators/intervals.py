@@ -28,17 +28,21 @@ def minus(intervals: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = {n: F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in zip(names, keys)}
     solid = islands(taken.select(*[e.alias(n) for n, e in keyed.items()], "s", "e"), names)
-    edges = solid.select(*names, "no", F.col("e").alias("s"), F.lit(None).cast("bigint").alias("e")).unionByName(
-        solid.select(*names, (F.col("no") - 1).alias("no"), F.lit(None).cast("bigint").alias("s"), F.col("s").alias("e")))
+    nothing = F.lit(None).cast("bigint")
+    ends = F.array(F.struct(F.col("no"), F.col("e").alias("s"), nothing.alias("e")), F.struct((F.col("no") - 1).alias("no"), nothing.alias("s"), F.col("s").alias("e")))
+    edges = solid.select(*names, F.explode(ends).alias("x")).select(*names, "x.no", "x.s", "x.e")
     gaps = edges.groupBy(*names, "no").agg(
         F.coalesce(F.max("s"), F.lit(-FOREVER)).alias("_from"), F.coalesce(F.max("e"), F.lit(FOREVER)).alias("_to"))
-    rows = intervals.withColumns(keyed)
-    for at, rank, alias in (("s", 1, "_first"), ("e", -1, "_last")):
-        marks = solid.select(*names, F.col("s").alias("_at"), F.lit(0).alias("_rank"), F.lit(1).alias("_one"))
-        asked = rows.withColumns({"_at": F.col(at), "_rank": F.lit(rank), "_one": F.lit(0)})
-        both = asked.unionByName(marks, allowMissingColumns=True)
-        rows = ordered_scan(both, names, ["_at", "_rank"], [running_sum("_one", alias)]).where("_one = 0").drop("_at", "_rank", "_one")
-    rows = rows.withColumn("no", F.explode(F.sequence("_first", F.greatest("_first", "_last"))))
+    # both ends of a row and the starts of the islands in one order: an island that starts with a row counts
+    # at its start, one that starts as the row ends does not count
+    both_ends = F.array(*[F.struct(F.col(at).alias("_at"), F.lit(rank).alias("_rank")) for at, rank in (("s", 1), ("e", -1))])
+    asked = intervals.withColumns(keyed).withColumn("x", F.explode(both_ends)).select("*", "x.*", F.lit(0).alias("_one")).drop("x")
+    marks = solid.select(*names, F.col("s").alias("_at"), F.lit(0).alias("_rank"), F.lit(1).alias("_one"))
+    seen = ordered_scan(asked.unionByName(marks, allowMissingColumns=True), names, ["_at", "_rank"], [running_sum("_one", "_seen")])
+    whole = [*dict.fromkeys([*names, *intervals.columns])]
+    rows = seen.where("_one = 0").groupBy(*whole).agg(F.min("_seen").alias("_first"), F.max("_seen").alias("_last"), F.count("*").alias("_n"))
+    rows = rows.withColumn("no", F.explode(F.sequence("_first", "_last")))
     parts = rows.join(gaps, [*names, "no"], "left").withColumns({
         "s": F.greatest("s", F.coalesce("_from", F.col("s"))), "e": F.least("e", F.coalesce("_to", F.col("e")))})
-    return parts.where("e > s").select(*intervals.columns)
+    equal = F.explode(F.array_repeat(F.lit(0), (F.col("_n") / 2).cast("int")))  # rows that are equal come out as often
+    return parts.where("e > s").select(*intervals.columns, equal.alias("_again")).drop("_again")

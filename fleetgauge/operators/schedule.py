@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.constants import (
-    DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, MAINT_MANUAL, MAINT_NONE, MAINT_WINDOW, SECOND,
+    DEFAULT_BUSINESS_DAYS, DEFAULT_BUSINESS_HOURS, MAINT_MANUAL, MAINT_NONE, MAINT_OFF_WORDS, MAINT_PREFIXES, MAINT_WINDOW, SECOND, SINCE,
+    WILL_END, WILL_START,
 )
 from fleetgauge.functions.scan import last_seen, ordered_scan, running_max
 from fleetgauge.operators.intervals import FOREVER
@@ -192,8 +193,8 @@ def maintenance_commands(commands: DataFrame) -> DataFrame:
     after = lambda prefix: now + minutes(prefix) * F.lit(60 * SECOND)
     rows = commands.withColumns({"_start": moment("start "), "_end": moment("end ")})
     rows = rows.withColumns({"_start_us": epoch_us("_start"), "_end_us": epoch_us("_end")})
-    off = F.lower(cmd).isin("off", "clear")
-    on, start_in, start, end_in, end = (cmd.startswith(p) for p in ("on", "start +", "start ", "end +", "end "))
+    off = F.lower(cmd).isin(*MAINT_OFF_WORDS)
+    on, start_in, start, end_in, end = (cmd.startswith(p) for p in MAINT_PREFIXES)
     action = (
         F.when(off, "clear")
         .when(on, F.when(minutes("on") == 0, "manual").otherwise("window"))
@@ -257,10 +258,10 @@ def maintenance_report(servers: DataFrame, maint: DataFrame, at_us: int) -> Data
     return rows.withColumn("status", status).select(
         "instance", "status",
         F.when(start.isNull(), "")
-        .when(starts_later, F.concat(F.lit("will start in "), duration_text(to_start)))
-        .when(F.col("status") > 0, F.concat(F.lit("since "), duration_text(to_start)))
+        .when(starts_later, F.concat(F.lit(WILL_START), duration_text(to_start)))
+        .when(F.col("status") > 0, F.concat(F.lit(SINCE), duration_text(to_start)))
         .otherwise("").alias("start_text"),
-        F.when((F.col("status") > 0) & (whole_div(end - now, SECOND) > 0), F.concat(F.lit("will end in "), duration_text(to_end)))
+        F.when((F.col("status") > 0) & (whole_div(end - now, SECOND) > 0), F.concat(F.lit(WILL_END), duration_text(to_end)))
         .otherwise("").alias("end_text"),
         F.coalesce(end - start <= F.lit(-SECOND), F.lit(False)).alias("warn"),
     )

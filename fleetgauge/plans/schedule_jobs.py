@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import HOUR, MINUTE
+from fleetgauge.constants import HOUR, MINUTE, SINCE, WILL_END, WILL_START
 from fleetgauge.functions.local import local_table
 from fleetgauge.operators import alerts as al
 from fleetgauge.operators import schedule as sc
@@ -164,9 +164,9 @@ REPORT = {
 
 
 @job("prj_maintenance_report", f"""
-    SELECT instance, status, CASE WHEN start_us IS NULL THEN '' WHEN start_us - {v.TO_US} >= 1000000 THEN concat('will start in ', {duration_sql('ds')})
-      WHEN status > 0 THEN concat('since ', {duration_sql('ds')}) ELSE '' END AS start_text,
-      CASE WHEN status > 0 AND end_us - {v.TO_US} >= 1000000 THEN concat('will end in ', {duration_sql('de')}) ELSE '' END AS end_text,
+    SELECT instance, status, CASE WHEN start_us IS NULL THEN '' WHEN start_us - {v.TO_US} >= 1000000 THEN concat('{WILL_START}', {duration_sql('ds')})
+      WHEN status > 0 THEN concat('{SINCE}', {duration_sql('ds')}) ELSE '' END AS start_text,
+      CASE WHEN status > 0 AND end_us - {v.TO_US} >= 1000000 THEN concat('{WILL_END}', {duration_sql('de')}) ELSE '' END AS end_text,
       coalesce(end_us - start_us <= -1000000, false) AS warn FROM state""", "up maint", REPORT)
 def prj_maintenance_report(spark, sf):
     servers = v.up(spark, sf).select("instance").distinct().withColumn("manual", F.col("instance").isin(MANUAL))

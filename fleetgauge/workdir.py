@@ -6,6 +6,8 @@ unset (local runs, tests) is a folder made here.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgauge-"))
+        made = tempfile.mkdtemp(prefix="fleetgauge-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)  # the driver's own folder goes with it
+        sc.setCheckpointDir(made)
     return sc.getCheckpointDir().rstrip("/")
 
 
