@@ -9,7 +9,7 @@ service of all queues reaches ``w`` times its size. Each partition works out its
 and the document's place in its queue; deficits carry across windows and partitions without passing state.
 Windows follow each other without gaps and are cut into sequences, so only the very last one is padded.
 
-Two passes over the texts: the first counts tokens, the second cuts. Places in queues are prefix sums over
+Texts are encoded once into a table of ids; a second pass cuts the ids. Places in queues are prefix sums over
 hash ranges (a window sees rows of one small range, another the sums of the ranges), so a hot source is spread.
 
 At most ``QUEUES`` hashed queues and the named ones exist, which bounds what each task is told. Null texts are
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.chunks import byte_encoder, row_sums
 from fleetgauge.llm.common import flat_bytes, slices, spread, text_or_empty
-from fleetgauge.llm.components import cut
+from fleetgauge.llm.components import cut, stored
 
 QUEUES = 256
 RANGE_ROWS = 4096  # rows of a hash range, about
@@ -62,6 +62,10 @@ class Mixture:
     def _starts(self) -> list[Fraction]:
         return [p[0] for p in self.phases]
 
+    @functools.cached_property
+    def _rough(self) -> list[float]:
+        return [float(w) for w in self.weights]
+
     def served(self, w: int) -> tuple[int, ...]:
         """Tokens taken from each queue before window ``w``."""
         if w * self.window >= sum(self.totals):
@@ -72,9 +76,10 @@ class Mixture:
 
     def window_of(self, queue: int, place: int, served) -> int:
         """The window that takes the token at ``place`` of a queue."""
-        time = Fraction(place) / self.weights[queue]
-        guess = int(sum(min(Fraction(t), time * x) for t, x in zip(self.totals, self.weights)) // self.window)
-        while served(guess)[queue] > place:
+        weights = self._rough
+        time = place / weights[queue]
+        guess = int(sum(min(t, time * x) for t, x in zip(self.totals, weights)) // self.window)  # then made exact
+        while guess and served(guess)[queue] > place:
             guess -= 1
         while served(guess + 1)[queue] <= place:
             guess += 1
@@ -99,16 +104,30 @@ def _queue(source: str, targets: dict[str, float] | None):
     return F.when(name.isin(*targets), name).otherwise(hashed) if targets else hashed
 
 
-def _counted(rows: DataFrame, paths: tuple[str, str | None]) -> DataFrame:
+def _encoded(rows: DataFrame, kind: str, paths: tuple[str, str | None], end_id: int) -> DataFrame:
+    """key, queue, doc_id, n and ``ids`` of every row; two bytes an id where the vocabulary allows it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(*paths)
         for batch in slices(batches):
             data, at = flat_bytes(batch.column("text"))
             codes, firsts, _ = encoder.chunks(data, at)
-            n = row_sums(encoder.sizes[codes], firsts) + 1
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("queue"), pa.array(n)], names=["key", "queue", "n"])
+            table, begins = encoder.ids()
+            sizes = encoder.sizes[codes]
+            n = row_sums(sizes, firsts) + 1
+            ends = np.cumsum(n)
+            out = np.full(int(ends[-1]), end_id, "<u4")
+            own = np.ones(len(out), bool)
+            own[ends - 1] = False  # each row's last id is the end
+            out[own] = table[spread(begins[codes], sizes)]
+            wide = bool((out > 0xFFFF).any())
+            raw = pa.py_buffer(out if wide else out.astype("<u2"))
+            bounds = np.concatenate([[0], ends]).astype(np.int64) * (4 if wide else 2)
+            ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds), raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("queue"), batch.column("doc_id"), pa.array(n), ids], names=["key", "queue", "doc_id", "n", "ids"])
 
-    return rows.select("key", "queue", "text").mapInArrow(run, "key string, queue string, n long")
+    return rows.select("key", "queue", "doc_id", "text").mapInArrow(run, f"key string, queue string, doc_id {kind}, n long, ids binary")
 
 
 def places(counted: DataFrame) -> DataFrame:
@@ -140,18 +159,17 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, sequenc
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     rows = docs.select("doc_id", text_or_empty().alias("text"), _queue(source, targets).alias("queue"), name.alias("_name"))
     rows = rows.withColumn("key", F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), "_name", "text")))
-    placed = cut(places(_counted(rows, paths)))
+    encoded = stored(_encoded(rows, kind, paths, end_id), "packing-ids")
+    placed = cut(places(encoded.select("key", "queue", "n")))
     totals = sorted((r["queue"], int(r["t"])) for r in placed.groupBy("queue").agg(F.sum(F.col("n") * F.col("copies")).alias("t")).collect())
     plan = mixture(totals, sequence * window_sequences, targets)
     number = {q: i for i, (q, _) in enumerate(totals)}
 
     # equal rows are one row with a count, so that each copy can be given its own place
-    texts = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    work = texts.join(placed.drop("n"), "key").select("doc_id", "text", "queue", "copies", "place")
+    distinct = encoded.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("ids").alias("ids"))
+    work = distinct.join(placed, "key").select("doc_id", "ids", "queue", "n", "copies", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(*paths)
-
         @functools.lru_cache(1 << 14)
         def served(w: int) -> tuple[int, ...]:
             return plan.served(w)
@@ -176,18 +194,13 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, sequenc
                 yield done, size, n, at // sequence, at % sequence
                 done += size
 
-        for batch in slices(batches):
-            data, at = flat_bytes(batch.column("text"))
-            codes, firsts, _ = encoder.chunks(data, at)
-            table, begins = encoder.ids()
-            sizes = encoder.sizes[codes]
-            ids = table[spread(begins[codes], sizes)].astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(row_sums(sizes, firsts))])
+        for batch in slices(batches, "ids"):
             owner, out, raw = [], [], []
-            names, copies, first = (batch.column(c).to_pylist() for c in ("queue", "copies", "place"))
-            for i in range(batch.num_rows):
-                own = np.append(ids[ends[i]:ends[i + 1]], np.array([end_id], "<u4")).tobytes()
-                n = len(own) // 4
+            names, copies, first, sizes = (batch.column(c).to_pylist() for c in ("queue", "copies", "place", "n"))
+            for i, own in enumerate(batch.column("ids").to_pylist()):
+                n = sizes[i]
+                if len(own) == 2 * n:
+                    own = np.frombuffer(own, "<u2").astype("<u4").tobytes()
                 for c in range(copies[i]):
                     for piece in pieces(number[names[i]], first[i] + c * n, n):
                         owner.append(i)
