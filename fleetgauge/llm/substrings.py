@@ -13,8 +13,8 @@ text. Strings are judged on the input.
    by the difference cover modulo 3: sort the sampled triples, name them, recurse on the names while they
    repeat, sort the rest by byte and following rank, merge. Adjacent prefixes of ``least`` bytes are compared:
    equal ones are repeats, as is any prefix of a run that stands for several copies.
-4. A GRAM with more distinct runs than a task should hold is split by longer prefixes: each of its windows is
-   counted by a 128-bit hash of all its bytes, which needs no sort since the key is the whole prefix.
+4. A GRAM with more distinct runs than a task should hold is split by longer GRAMs: windows whose anchors lie
+   at about the same place in them share more bytes. Blocks of places get narrower until no GRAM is crowded.
 5. What was found is joined back to all runs and cut out of the texts.
 
 No step gathers a GRAM, a group of copies or a source in one task. Shuffles: GRAM hashes, runs (places, not
@@ -267,24 +267,59 @@ def _sorted(strings: DataFrame, least: int) -> DataFrame:
     return strings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, run long, start long, end long")
 
 
-def _counted(strings: DataFrame, least: int) -> DataFrame:
-    """The same for runs of crowded GRAMs: every window counted under a hash of all its bytes."""
+def _split(strings: DataFrame, least: int, gram: int, block: int) -> DataFrame:
+    """Runs of crowded GRAMs in shorter runs under longer GRAMs: windows whose anchors lie in one block of
+    ``block`` places behind their starts share all bytes from the block's last start on to its first end.
+    Gives the shorter run (h2, run2, n, s2) and where it lies in the run it comes from (h, run, shift)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "s", most=1 << 20):
             data, at = flat_bytes(batch.column("s"))
-            starts = np.diff(at) - least + 1
-            mine, owner = spread(at[:-1], starts), np.repeat(np.arange(batch.num_rows), starts)
-            value = Prefixes(data).of(mine, mine + least).view(np.int64)
-            other = Prefixes(data ^ np.uint8(0x5A)).of(mine, mine + least).view(np.int64)
+            _, first, last, p = runs(data, at, least, gram)  # one run a string: it has one anchor
+            owner, far = [], []
+            for i, (x, y) in enumerate(zip((p - last).tolist(), (p - first).tolist())):
+                for b in range(x // block, y // block + 1):
+                    owner.append(i)
+                    far.append(b)
+            owner, low = np.array(owner, np.int64), np.array(far, np.int64) * block
+            p, begin = p[owner], first[owner]
+            a = p - np.minimum(p - begin, low + block - 1)
+            b = p - np.maximum(p - last[owner], low)
+            sums = Prefixes(data)
+            with np.errstate(over="ignore"):
+                h2 = sums.of(p - low, p - low - (block - 1) + least) * BASE + low.astype(np.uint64)
+                run2 = sums.of(a, b + least) * BASE + (p - a).astype(np.uint64)
+            raw = data.tobytes()
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h").take(take), batch.column("run").take(take), batch.column("n").take(take),
-                 pa.array(mine - at[owner]), pa.array(value), pa.array(other)], names=["h", "run", "n", "start", "v", "u"])
-
-    rows = strings.select("h", "run", "n", "s").mapInArrow(run, "h long, run long, n long, start long, v long, u long")
-    often = rows.groupBy("v", "u").agg(F.sum("n").alias("all")).where("all > 1").select("v", "u")
-    return rows.join(often, ["v", "u"], "left_semi").select("h", "run", "start", (F.col("start") + least).alias("end"))
+                [pa.array(h2.view(np.int64)), pa.array(run2.view(np.int64)), batch.column("n").take(take),
+                 pa.array([raw[x:y] for x, y in zip(a.tolist(), (b + least).tolist())], pa.binary()),
+                 batch.column("h").take(take), batch.column("run").take(take), pa.array(a - begin)],
+                names=["h2", "run2", "n", "s2", "h", "run", "shift"])
+
+    return strings.select("h", "run", "n", "s").mapInArrow(run, "h2 long, run2 long, n long, s2 binary, h long, run long, shift long")
+
+
+def _repeated(strings: DataFrame, least: int, gram: int) -> DataFrame:
+    """Repeats inside distinct runs (h, run, n, s), crowded GRAMs split until none is too large for a task.
+
+    At blocks of one place the shared bytes are the whole window, so a GRAM has a single run."""
+    result, back = None, []
+    for block in (32, 8, 2, 1, 0):
+        crowded = stored(strings.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_RUNS).select("h"), "crowded")
+        some = block > 0 and not crowded.limit(1).isEmpty()
+        found = _sorted(strings.join(crowded, "h", "left_anti").select("h", "run", "n", "s") if some else strings, least)
+        for link in reversed(back):
+            found = link.join(found.withColumnsRenamed({"h": "h2", "run": "run2"}), ["h2", "run2"]).select(
+                "h", "run", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+        result = found if result is None else result.unionByName(found)
+        if not some:
+            return result
+        parts = stored(_split(strings.join(crowded, "h", "left_semi"), least, gram, block), "split")
+        back.append(parts.select("h2", "run2", "h", "run", "shift"))
+        strings = stored(parts.groupBy(F.col("h2").alias("h"), F.col("run2").alias("run")).agg(
+            F.sum("n").alias("n"), F.first("s2").alias("s")), "strings")
+    return result
 
 
 def repeats(docs: DataFrame, least: int = 200) -> tuple[DataFrame, str]:
@@ -296,12 +331,11 @@ def repeats(docs: DataFrame, least: int = 200) -> tuple[DataFrame, str]:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     long = rows.where(F.octet_length("text") >= least)
-    often = _runs(long, least, gram, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    often = stored(_runs(long, least, gram, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "grams")
     found = _runs(long, least, gram, True).join(often, "h", "left_semi")
     found = stored(found, "runs")
     groups = found.groupBy("h", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "more")).alias("at"))
     groups = stored(groups.select("h", "run", "n", "at.*"), "groups")
-    crowded = groups.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_RUNS).select("h")
     # equal rows share their key and their bytes; a string that comes twice then stands for copies anyway
     places = groups.groupBy("key").agg(F.collect_list(F.struct("h", "run", "n", "first", "more")).alias("at"))
 
@@ -320,8 +354,7 @@ def repeats(docs: DataFrame, least: int = 200) -> tuple[DataFrame, str]:
             yield _strings(out)
 
     strings = stored(rows.join(places, "key").select("text", "at").mapInArrow(cut_out, "h long, run long, n long, s binary"), "strings")
-    result = (_sorted(strings.join(crowded, "h", "left_anti").select("h", "run", "n", "s"), least)
-              .unionByName(_counted(strings.join(crowded, "h", "left_semi"), least)))
+    result = _repeated(strings, least, gram)
     spans = found.join(result, ["h", "run"]).select(
         "key", (F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("end")).alias("b"))
     cuts = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
