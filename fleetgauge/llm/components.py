@@ -28,24 +28,24 @@ def _star(edges: DataFrame, centre: str, other: str) -> DataFrame:
     return edges.join(least, F.col(centre) == F.col("c"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Every node with ``component``, the smallest node reachable over the undirected edges (a, b).
+def labelled(edges: DataFrame, key: str = "fp") -> DataFrame:
+    """Nodes of the undirected edges (a, b) as ``key`` with ``component``, the smallest node reachable.
 
-    Nodes without edges are their own component; loops and repeated edges change nothing."""
-    pairs = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    Nodes that are the smallest of their component, or have no edge, are left out; loops and repeated edges
+    change nothing."""
+    pairs = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while not _is_done(pairs):
         # large star: the larger neighbours of a node meet its smallest neighbour
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b"), F.col("a")))
-        large = (_star(both, "u", "v").where("v > u")
-                 .select(F.least("m", "u").alias("a"), F.col("v").alias("b")).distinct())
+        large = _star(both, "u", "v").where("v > u").select(F.least("m", "u").alias("a"), F.col("v").alias("b"))
         # small star: a node and its smaller neighbours meet the smallest of them
-        small = _star(large, "b", "a")
-        pairs = cut(small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b")
-                    .union(small.select("m", "b")).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return nodes.join(pairs.select(F.col("b").alias(key), F.col("a").alias("component")), key, "left").select(
-        key, F.coalesce("component", key).alias("component"))
+        small = _star(large, "b", "a").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        pairs = cut(small.select("e.*").where("a <> b").distinct())
+    return pairs.select(F.col("b").alias(key), F.col("a").alias("component"))
+
+
+def _is_done(pairs: DataFrame) -> bool:
+    """Whether all edges (a < b) are stars: no node is both the end of one and the start of another, or the end of two."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(2).alias("n")), F.struct(F.col("b").alias("node"), F.lit(1).alias("n")))).alias("e"))
+    ends = ends.groupBy("e.node").agg(F.max("e.n").alias("role"), F.sum((F.col("e.n") == 1).cast("long")).alias("ends"))
+    return ends.where("ends > 1 OR (ends = 1 AND role = 2)").limit(1).isEmpty()

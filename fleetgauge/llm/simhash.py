@@ -11,10 +11,9 @@ is nearer than 3 and to six otherwise. So for every pair of segments a fingerpri
 codewords and looked up under all codewords of its neighbourhood: no link can be missed. Candidates are
 verified by the whole distance inside the join.
 
-Groups. Equal fingerprints are one row, so copies never meet each other. Bursts of fingerprints in one place
-are first joined by single bits: all that agree in 63 bits are within one bit of each other and link to the
-smallest of them, a row each instead of all pairs. Later joins only look across what is not yet connected, and
-a crowded key is split by AQE as any other.
+Groups. Equal fingerprints are one row, so copies never meet each other. A fingerprint near the smallest one filed
+under the same key first points at it, one link each instead of all pairs. The join then gives no links among
+those that point at the same one, and a crowded key is split by AQE as any other.
 
 Null and empty texts, and texts without words, have fingerprint 0 and link like any other; repeated rows fall
 into one component; components take the smallest doc_id (NULL if no member has a doc_id); further columns are ignored; an empty table gives an empty table.
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import slices, text_or_empty
-from fleetgauge.llm.components import components, cut
+from fleetgauge.llm.components import cut, labelled
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and bits
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -136,24 +135,34 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def single_bit_links(fps: DataFrame) -> DataFrame:
-    """From each distinct fingerprint to the smallest that differs from it in one given bit only, as a, b."""
-    masked = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        "fp", F.struct("bit", F.expr("fp & ~shiftleft(1L, bit)").alias("rest")).alias("key"))
-    # a key holds two fingerprints at most: with the bit and without it
-    return (masked.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-            .where("a < b").select("a", "b"))
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly before each of them becomes many: small inputs would stay in a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+SCHEMA = "key long, fp long, part long"
+
+
+def pointers(fps: DataFrame, most: int = 3) -> DataFrame:
+    """fp and ``part``, the smallest fingerprint that is near enough and the first filed under a key of its own.
+
+    One pointer a fingerprint, however crowded a place is; without such a neighbour it points at itself."""
+    own = fps.select("fp", F.col("fp").alias("part"))
+    filed = _spread(own).mapInArrow(functools.partial(_keys, all_near=False), SCHEMA)
+    least = filed.groupBy("key").agg(F.min("fp").alias("a"))
+    near = filed.select("key", "fp").join(least, "key").where((F.col("fp") > F.col("a")) & (_distance(F.col("fp"), F.col("a")) <= most))
+    return near.select("fp", F.col("a").alias("part")).unionByName(own).groupBy("fp").agg(F.min("part").alias("part"))
 
 
 def links(fps: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within ``most`` bits that lie in different parts.
 
-    ``fps`` has fp and part; rows of one part count as linked already."""
+    ``fps`` has fp and part; rows of one part count as linked already, through it."""
     if not 0 <= most <= 3:
         raise ValueError("the keys hold for up to three differing bits")
-    schema = "key long, fp long, part long"
-    filed = fps.mapInArrow(functools.partial(_keys, all_near=False), schema).alias("x")
-    asked = fps.mapInArrow(functools.partial(_keys, all_near=True), schema).alias("y")
+    dealt = _spread(fps.select("fp", "part"))
+    filed = dealt.mapInArrow(functools.partial(_keys, all_near=False), SCHEMA).alias("x")
+    asked = dealt.mapInArrow(functools.partial(_keys, all_near=True), SCHEMA).alias("y")
     near = asked.join(filed, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part"))
                       & (F.col("x.fp") > F.col("y.fp")) & (_distance(F.col("x.fp"), F.col("y.fp")) <= most))
     return near.select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
@@ -163,15 +172,10 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fp (16 lowercase hex digits) and component_id, the smallest doc_id reachable, for every row."""
     rows = cut(fingerprints(docs, words))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = fps.select("fp")
-    first = components(distinct, single_bit_links(distinct), "fp")
-    first = cut(first.select("fp", F.col("component").alias("part")))
-    found = links(first, most)
-    parts = first.select(F.col("fp").alias("a"), F.col("part").alias("pa"))
-    other = first.select(F.col("fp").alias("b"), F.col("part").alias("pb"))
-    across = found.join(parts, "a").join(other, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-    joined = components(first.select("part").distinct(), across, "part")
-    whole = first.join(joined, "part").select("fp", "component").join(fps, "fp")
+    parted = cut(pointers(fps.select("fp"), most))
+    edges = links(parted, most).unionByName(parted.select(F.col("part").alias("a"), F.col("fp").alias("b")))
+    labels = labelled(edges)
+    whole = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     named = whole.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
