@@ -154,11 +154,22 @@ def counter_resets(samples, value="count_total", keys=KEYS, ts="ts_us", tie="eve
 
 def vector_match(left: DataFrame, right: DataFrame, op: str, on, left_value="value", right_value="value") -> DataFrame:
     """Binary operator between two range results matched on all labels and the step; x/0 is NULL."""
-    a, b = F.col("_l").cast("double"), F.col("_r").cast("double")
-    ops = {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}
     lhs = left.select(*on, F.col(left_value).alias("_l"))
     rhs = right.select(*on, F.col(right_value).alias("_r"))
-    return lhs.join(rhs, list(on)).select(*on, ops[op].alias("value"))
+    return lhs.join(rhs, list(on)).select(*on, _applied(op, F.col("_l"), F.col("_r")).alias("value"))
+
+
+def _applied(op: str, a: Column, b: Column) -> Column:
+    a, b = a.cast("double"), b.cast("double")
+    return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[op]
+
+
+def rates_matched(samples, range_us, step_us, op: str, left: str, right: str, keys=KEYS, **names) -> DataFrame:
+    """The operator between the rates of two values of the same samples: both come from one pass, so that
+    they are matched already."""
+    both = counter_windows(samples, range_us, step_us, [left, right], keys, **names)
+    a, b = (F.col(c).cast("double") / F.lit(range_us / SECOND) for c in ("inc0", "inc1"))
+    return both.select(*keys, "step_us", _applied(op, a, b).alias("value"))
 
 
 def average_ratio(samples, range_us, step_us, total="ms_total", count="count_total", keys=KEYS, **names) -> DataFrame:

@@ -74,10 +74,7 @@ def wn_counter_resets(spark, sf):
 @job("jn_vector_match", """SELECT instance, op, step_us, CASE WHEN inc = 0 THEN NULL ELSE
       (CAST(inc_ms AS DOUBLE) / 86400.0::DOUBLE) / (CAST(inc AS DOUBLE) / 86400.0::DOUBLE) END AS value FROM w""", "counters", WINDOWS)
 def jn_vector_match(spark, sf):
-    c = v.counters(spark, sf)
-    total = rv.rate(c, RANGE, STEP, "ms_total")
-    count = rv.rate(c, RANGE, STEP, "count_total")
-    return rv.vector_match(total, count, "/", ["instance", "op", "step_us"], "rate", "rate")
+    return rv.rates_matched(v.counters(spark, sf), RANGE, STEP, "/", "ms_total", "count_total")
 
 
 @job("ag_avg_response", """SELECT instance, op, step_us, CASE WHEN inc = 0 THEN NULL
