@@ -30,7 +30,7 @@ from fleetgauge.llm.common import flat_bytes, text_or_empty
 from fleetgauge.llm.components import stored
 
 ORDER = 5  # bytes; a run fits a long
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 20
 
 
 def runs_of(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -46,16 +46,30 @@ def runs_of(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(data: np.ndarray, rows: np.ndarray):
+    """Consecutive texts of about PART_BYTES: their first and past-last row, distinct runs and each byte's among them."""
+    start, last = 0, len(rows) - 1
+    while start < last:
+        end = min(last, max(start + 1, int(np.searchsorted(rows, rows[start] + PART_BYTES, side="right")) - 1))
+        own = rows[start:end + 1]
+        value, place = np.unique(runs_of(data[own[0]:own[-1]], own - own[0]), return_inverse=True)
+        yield start, end, value, place
+        start = end
+
+
 def _block_counts(key: tuple, table: pa.Table) -> pa.Table:
     texts, wanted = _split(table)
     data, rows = flat_bytes(texts.column("text"))
-    run = runs_of(data, rows)
     in_target = np.isin(texts.column("id").to_numpy(zero_copy_only=False).astype(str), wanted) if len(wanted) else np.zeros(texts.num_rows, bool)
-    value, place = np.unique(run, return_inverse=True)
-    every = np.bincount(place, minlength=len(value))
-    target = np.bincount(place[np.repeat(in_target, np.diff(rows))], minlength=len(value))
-    block = pa.array(np.full(len(value), key[0].as_py(), np.int64))
-    return pa.table({"block": block, "run": pa.array(value), "n_b": pa.array(every.astype(np.int64)), "n_t": pa.array(target.astype(np.int64))})
+    found = [(np.zeros(0, np.int64),) * 3]
+    for start, end, value, place in _parts(data, rows):
+        target = np.repeat(in_target[start:end], np.diff(rows[start:end + 1]))
+        found.append((value, np.bincount(place, minlength=len(value)), np.bincount(place[target], minlength=len(value))))
+    values, every, target = (np.concatenate(x) for x in zip(*found))
+    value, place = np.unique(values, return_inverse=True)
+    sums = [np.bincount(place, weights=x, minlength=len(value)).astype(np.int64) for x in (every, target)]
+    return pa.table({"block": pa.array(np.full(len(value), key[0].as_py(), np.int64)), "run": pa.array(value),
+                     "n_b": pa.array(sums[0]), "n_t": pa.array(sums[1])})
 
 
 def _split(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -96,12 +110,15 @@ def _block_scores(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     data, rows = flat_bytes(texts.column("text"))
     known = right.column("run").to_numpy()
     order = np.argsort(known)
-    place = np.searchsorted(known[order], runs_of(data, rows))
-    sums = {}
-    for c in ("loss_t", "loss_b"):
-        loss = right.column(c).to_numpy()[order]
-        total = np.concatenate([[0.0], np.cumsum(loss[place])]) if len(place) else np.zeros(1)
-        sums[c] = (total[rows[1:]] - total[rows[:-1]]) / np.maximum(1, np.diff(rows))
+    known = known[order]
+    losses = {c: right.column(c).to_numpy()[order] for c in ("loss_t", "loss_b")}
+    sums = {c: np.zeros(texts.num_rows) for c in losses}
+    for start, end, value, place in _parts(data, rows):
+        at = np.searchsorted(known, value)
+        own = rows[start:end + 1] - rows[start]
+        for c, loss in losses.items():
+            total = np.concatenate([[0.0], np.cumsum(loss[at][place])])
+            sums[c][start:end] = (total[own[1:]] - total[own[:-1]]) / np.maximum(1, np.diff(own))
     return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(np.diff(rows).astype(np.int64)),
                      "loss_target": pa.array(sums["loss_t"]), "loss_background": pa.array(sums["loss_b"]),
                      "score": pa.array(sums["loss_b"] - sums["loss_t"])})
@@ -121,7 +138,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     dealt = rows.unionByName(wanted).withColumn("block", place)
     schema = "block long, run long, n_b long, n_t long"
     found = stored(dealt.groupBy("block").applyInArrow(_block_counts, schema), "lm-runs")
-    model = losses(found.groupBy("run").agg(F.sum("n_b").alias("n_b"), F.sum("n_t").alias("n_t")))
+    totals = stored(found.groupBy("run").agg(F.sum("n_b").alias("n_b"), F.sum("n_t").alias("n_t")), "lm-totals")
+    model = losses(totals)
     home = found.select("block", "run").join(model, "run")
     return dealt.groupBy("block").cogroup(home.groupBy("block")).applyInArrow(
         _block_scores, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
