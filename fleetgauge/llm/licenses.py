@@ -1,22 +1,26 @@
 """License statements in documents, by conditional compression.
 
-Lines that speak of licences begin candidate blocks. A block is compressed with zstandard alone and with each
-template as raw dictionary; the share of bytes that a dictionary saves ranks the templates. The best ones are
-confirmed by the exact differences of wording: enough of the template's words must stand in the block, in
-order, and numbers must agree.
+Lines that speak of licences are the candidates. A statement is a stretch of words, over line ends and comment
+marks, with a word on such a line: enough of a template's words must stand in it, in order, its numbers must be
+the template's, its first and last word must count, and it may be little longer than the template. Every start is
+tried against every template. Of stretches that overlap the one that says more of its template, less missing and
+extra words, goes first; of equal ones that of which zstandard saves more with the template as raw dictionary.
 
 One pass over whole texts, no shuffle; templates are a bounded parameter that travels with the job. Null and
-empty texts have no candidates; of templates that save alike the one with the fewer differences wins, then the
-first by name; repeated rows give equal rows; further columns are ignored; an empty table gives an empty table.
+empty texts have no candidates; matches alike in all this go by name, then place; repeated rows give equal rows;
+further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,7 +43,9 @@ TEMPLATES = {
 }
 CUE = re.compile(rb"licen[sc]e|copyright|permission|redistribut|creative commons|spdx|public domain", re.I)
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
+DIGIT = re.compile(rb"[0-9]")
 MAX_TEMPLATES = 1000
+CELLS = 1 << 20  # of one table of word matches
 
 
 @dataclass(frozen=True)
@@ -47,10 +53,13 @@ class Template:
     name: str
     text: bytes
     words: list[bytes]
+    numbers: list[bytes]
+    need: int  # words that must stand in a statement
+    reach: int  # words that it may span
     press: zstandard.ZstdCompressor
 
 
-def prepared(templates: dict[str, str]) -> list[Template]:
+def prepared(templates: dict[str, str], keep: float) -> list[Template]:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError("too many templates for one pass")
     out = []
@@ -59,64 +68,125 @@ def prepared(templates: dict[str, str]) -> list[Template]:
         words = WORD.findall(text.lower())
         if words:
             d = zstandard.ZstdCompressionDict(b" " * 8 + text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append(Template(name, text, words, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+            numbers = [w for w in words if DIGIT.search(w)]
+            need = next((k for k in range(1, len(words)) if k / len(words) >= keep), len(words))
+            out.append(Template(name, text, words, numbers, need, 2 + 11 * len(words) // 10, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
     return out
 
 
-def blocks(text: bytes, longest: int) -> Iterator[tuple[int, bytes]]:
-    """Number and words of each line with a cue, run on over further lines up to ``longest`` words."""
-    if not CUE.search(text):
+def regions(text: bytes, words: list[tuple[int, int]], before: int, after: int) -> tuple[int, list[tuple[int, int]], np.ndarray]:
+    """How many lines hold a cue, the ranges of words up to ``before`` and ``after`` such lines (joined), and how many words
+    of such lines come before each word."""
+    ends = np.array([m.start() for m in re.finditer(rb"\n", text)] + [len(text)], np.int64)
+    lines = np.unique(np.searchsorted(ends, [m.start() for m in CUE.finditer(text)]))
+    at = np.array([a for a, _ in words], np.int64)
+    past = np.searchsorted(at, ends[lines])
+    first = np.searchsorted(at, np.where(lines > 0, ends[lines - 1], 0))
+    inside = np.zeros(len(words) + 1, np.int64)
+    out: list[tuple[int, int]] = []
+    for a, b in zip(first.tolist(), past.tolist()):
+        inside[a + 1:b + 1] = 1
+        a, b = max(0, a - before), min(len(words), b + after)
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return len(lines), out, np.cumsum(inside)
+
+
+def in_order(template: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Of each row of ``block``, how many words of the template its first 0, 1, 2 ... words hold in order."""
+    best = np.zeros((block.shape[0], block.shape[1] + 1), np.int32)
+    for word in template:
+        more = np.maximum(best[:, 1:], best[:, :-1] + (block == word))
+        best[:, 1:] = np.maximum.accumulate(more, axis=1)
+    return best
+
+
+def matches(t: Template, block: list[bytes], places: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Start, end and number of words in order of each stretch that may state the template; ``places`` has the words of it."""
+    at = np.array(places, np.int64)
+    starts = at[np.searchsorted(at, at + t.reach) - np.arange(len(at)) >= t.need]
+    if not len(starts):
         return
-    lines = text.split(b"\n")
-    for i, line in enumerate(lines):
-        if not CUE.search(line):
-            continue
-        parts, k = line.split(), i + 1
-        while len(parts) < longest and k < len(lines):
-            parts += lines[k].split()
-            k += 1
-        yield i, b" ".join(parts)
-
-
-def differences(template: list[bytes], block: list[bytes]) -> tuple[float, list[str]]:
-    """The share of the template's words that the block holds in order, and what differs up to its last one."""
-    match = difflib.SequenceMatcher(None, template, block, autojunk=False)
-    same = [b for b in match.get_matching_blocks() if b.size]
-    if not same:
-        return 0.0, []
-    share = sum(b.size for b in same) / len(template)
-    first, last = same[0].b, same[-1].b + same[-1].size
+    ids = {w: i for i, w in enumerate(t.words)}
+    own = np.array([ids[w] for w in t.words], np.int32)
+    line = np.full(len(block) + t.reach, -1, np.int32)
+    line[at] = [ids[block[i]] for i in places]
+    step = max(1, CELLS // t.reach)
+    for k in range(0, len(starts), step):
+        some = starts[k:k + step]
+        held = in_order(own, line[some[:, None] + np.arange(t.reach)])
+        for row, size in zip(*np.nonzero((held[:, 1:] > held[:, :-1]) & (held[:, 1:] >= t.need))):
+            yield int(some[row]), int(some[row] + size + 1), int(held[row, size + 1])
+
+
+def first_counts(t: Template, stretch: list[bytes], held: int) -> bool:
+    ids = {w: i for i, w in enumerate(t.words)}
+    rest = np.array([[ids.get(w, -1) for w in stretch[1:]]], np.int32)
+    return held > in_order(np.array([ids[w] for w in t.words], np.int32), rest)[0, -1]
+
+
+def differences(template: list[bytes], stretch: list[bytes]) -> list[str]:
     found = []
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, template, block[first:last], autojunk=False).get_opcodes():
+    for tag, a, b, c, d in difflib.SequenceMatcher(None, template, stretch, autojunk=False).get_opcodes():
         if tag != "equal":
-            found.append(f"-{b' '.join(template[a:b]).decode()} +{b' '.join(block[first + c:first + d]).decode('utf-8', 'replace')}")
-    return share, found
-
-
-def scan(text: bytes, templates: list[Template], plain: zstandard.ZstdCompressor, keep: float, ranks: int = 3) -> tuple[int, list[dict]]:
-    """How many candidate blocks, and the confirmed ones."""
-    out, count = [], 0
-    longest = max((len(t.text.split()) for t in templates), default=0)
-    for line, block in blocks(text, longest):
-        count += 1
-        ranked = []
-        parts = block.split()
-        for t in templates:
-            own = b" ".join(parts[:2 + 11 * len(t.text.split()) // 10])
-            alone, told = len(plain.compress(own)), len(t.press.compress(own))
-            ranked.append((told / alone, t.name, t, own))
-        ranked.sort(key=lambda x: x[:2])
-        best = None
-        for ratio, name, t, own in ranked[:ranks]:
-            share, changes = differences(t.words, WORD.findall(own.lower()))
-            digits = [w for c in changes for w in re.findall(r"\d+", c)]
-            if share >= keep and not digits:
-                mine = (-share * len(t.words) + len(changes), len(changes), name)
-                if best is None or mine < best[0]:
-                    best = (mine, {"license": name, "line": line, "saved": 1 - ratio, "share": share, "changes": changes})
-        if best:
-            out.append(best[1])
-    return count, out
+            found.append(f"-{b' '.join(template[a:b]).decode()} +{b' '.join(stretch[c:d]).decode('utf-8', 'replace')}")
+    return found
+
+
+def index(templates: list[Template]) -> dict[bytes, list[int]]:
+    """The templates that hold a word."""
+    out: dict[bytes, list[int]] = defaultdict(list)
+    for i, t in enumerate(templates):
+        for w in set(t.words):
+            out[w].append(i)
+    return dict(out)
+
+
+def scan(text: bytes, templates: list[Template], holders: dict[bytes, list[int]], plain: zstandard.ZstdCompressor) -> tuple[int, list[dict]]:
+    """How many lines with a cue, and the statements in their order."""
+    if not CUE.search(text):
+        return 0, []
+    low = text.lower()
+    at = [m.span() for m in WORD.finditer(low)]
+    words = [low[a:b] for a, b in at]
+    reach = max((t.reach for t in templates), default=0)
+    count, areas, inside = regions(text, at, 0, reach)
+    ranked: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    for first, past in areas:
+        places: dict[int, list[int]] = defaultdict(list)
+        for i in range(first, past):
+            for k in holders.get(words[i], ()):
+                places[k].append(i - first)
+        for k, own in places.items():
+            if len(own) >= templates[k].need:
+                for a, b, held in matches(templates[k], words[first:past], own):
+                    if inside[first + b] > inside[first + a]:
+                        differ = len(templates[k].words) + b - a - 2 * held
+                        ranked[differ - held, differ].append((k, first + a, first + b))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for rank in sorted(ranked):
+        alike = []
+        for k, a, b in ranked[rank]:
+            t = templates[k]
+            if free(taken, a, b) and [w for w in words[a:b] if DIGIT.search(w)] == t.numbers:
+                held = (len(t.words) + b - a - rank[1]) // 2
+                if first_counts(t, words[a:b], held):
+                    own = b" ".join(text[at[a][0]:at[b - 1][1]].split())
+                    alike.append((len(t.press.compress(own)) / len(plain.compress(own)), t.name, a, b, t, held))
+        for ratio, name, a, b, t, held in sorted(alike, key=lambda x: x[:4]):
+            if free(taken, a, b):
+                taken.insert(bisect_left(taken, (a, b)), (a, b))
+                out.append((a, {"license": name, "line": text.count(b"\n", 0, at[a][0]), "saved": 1 - ratio,
+                                "share": held / len(t.words), "changes": differences(t.words, words[a:b])}))
+    return count, [found for _, found in sorted(out, key=lambda x: x[0])]
+
+
+def free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a..b meets none of the sorted ranges."""
+    i = bisect_left(taken, (a, b))
+    return (i == len(taken) or taken[i][0] >= b) and (i == 0 or taken[i - 1][1] <= a)
 
 
 FOUND = pa.list_(pa.struct([("license", pa.string()), ("line", pa.int64()), ("saved", pa.float64()), ("share", pa.float64()),
@@ -128,9 +198,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, keep
     given = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, plain = prepared(given), zstandard.ZstdCompressor(level=3, write_content_size=False)
+        known, plain = prepared(given, keep), zstandard.ZstdCompressor(level=3, write_content_size=False)
+        holders = index(known)
         for batch in slices(batches):
-            rows = [scan(x.encode(), known, plain, keep) for x in batch.column("text").to_pylist()]
+            rows = [scan(x.encode(), known, holders, plain) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], FOUND)],
                 names=["doc_id", "n_candidates", "found"])
