@@ -41,7 +41,7 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUE = re.compile(rb"licen[sc]e|copyright|permission|redistribut|creative commons|spdx|public domain", re.I)
+CUE = re.compile(rb"licen[sc]e|copyright|permission|redistribut|creative[\s#*/;%-]+commons|spdx|public[\s#*/;%-]+domain", re.I)
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
 DIGIT = re.compile(rb"[0-9]")
 MAX_TEMPLATES = 1000
@@ -74,9 +74,9 @@ def prepared(templates: dict[str, str], keep: float) -> list[Template]:
     return out
 
 
-def regions(text: bytes, words: list[tuple[int, int]], before: int, after: int) -> tuple[int, list[tuple[int, int]], np.ndarray]:
-    """How many lines hold a cue, the ranges of words up to ``before`` and ``after`` such lines (joined), and how many words
-    of such lines come before each word."""
+def regions(text: bytes, words: list[tuple[int, int]], reach: int) -> tuple[int, list[tuple[int, int]], np.ndarray]:
+    """How many lines hold a cue, the ranges of words up to ``reach`` before and after such lines (joined), and how
+    many words of such lines come before each word."""
     ends = np.array([m.start() for m in re.finditer(rb"\n", text)] + [len(text)], np.int64)
     lines = np.unique(np.searchsorted(ends, [m.start() for m in CUE.finditer(text)]))
     at = np.array([a for a, _ in words], np.int64)
@@ -86,7 +86,7 @@ def regions(text: bytes, words: list[tuple[int, int]], before: int, after: int)
     out: list[tuple[int, int]] = []
     for a, b in zip(first.tolist(), past.tolist()):
         inside[a + 1:b + 1] = 1
-        a, b = max(0, a - before), min(len(words), b + after)
+        a, b = max(0, a - reach), min(len(words), b + reach)
         if out and a <= out[-1][1]:
             a = out.pop()[0]
         out.append((a, b))
@@ -151,7 +151,7 @@ def scan(text: bytes, templates: list[Template], holders: dict[bytes, list[int]]
     at = [m.span() for m in WORD.finditer(low)]
     words = [low[a:b] for a, b in at]
     reach = max((t.reach for t in templates), default=0)
-    count, areas, inside = regions(text, at, 0, reach)
+    count, areas, inside = regions(text, at, reach)
     ranked: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
     for first, past in areas:
         places: dict[int, list[int]] = defaultdict(list)

@@ -30,8 +30,9 @@ def common(a, b):
 
 def brute(text, templates, keep):
     raw, words = text.encode(), []
+    cues = {raw.count(b"\n", 0, m.start()) for m in licenses.CUE.finditer(raw)}
     for i, line in enumerate(raw.split(b"\n")):
-        words += [(w, i, bool(licenses.CUE.search(line))) for w in licenses.WORD.findall(line.lower())]
+        words += [(w, i, i in cues) for w in licenses.WORD.findall(line.lower())]
     plain, all_ = zstandard.ZstdCompressor(level=3, write_content_size=False), []
     for t in licenses.prepared(templates, keep):
         n = len(t.words)
@@ -81,3 +82,12 @@ def test_every_stretch():
     every = {**licenses.TEMPLATES, **NEAR}
     for text in texts(1, [" "]):
         assert [(x["license"], x["line"], x["share"]) for x in scan(text, every)[1]] == brute(text, every, 0.8)
+
+
+def test_statements_wrapped_before_the_cue():
+    assert names("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.") == ["MPL-2.0"]
+    assert names("x\n/* This work is\n * licensed under the GNU General Public License, version 3. */") == ["GPL-3.0"]
+    assert scan("# put into the public\n# domain")[0] == 1
+    every = {**licenses.TEMPLATES, **NEAR}
+    for text in texts(2, [" ", "\n", "\n# ", "\n\n"]):
+        assert [(x["license"], x["line"], x["share"]) for x in scan(text, every)[1]] == brute(text, every, 0.8)
