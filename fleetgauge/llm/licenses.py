@@ -2,7 +2,7 @@
 
 Lines that speak of licences are the candidates. A statement is a stretch of words, over line ends and comment
 marks, with a word on such a line: enough of a template's words must stand in it, in order, its numbers must be
-the template's, its first and last word must count, and it may be little longer than the template. Every start is
+the template's, names in capitals (MIT) must be there, its first and last word must count, and it may be little longer than the template. Every start is
 tried against every template. Of stretches that overlap the one that says more of its template, less missing and
 extra words, goes first; of equal ones that of which zstandard saves more with the template as raw dictionary.
 
@@ -26,9 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from fleetgauge.llm.common import slices, text_or_empty
+from fleetgauge.llm.license_texts import CUSTOMARY
 
 #: Customary wordings of license statements.
-TEMPLATES = {
+PLAIN = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -41,6 +42,8 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: A wording that is there under its plain name is not repeated.
+TEMPLATES = {**{n: t for n, t in CUSTOMARY.items() if t not in PLAIN.values()}, **PLAIN}
 CUE = re.compile(rb"licen[sc]e|copyright|permission|redistribut|creative[\s#*/;%-]+commons|spdx|public[\s#*/;%-]+domain", re.I)
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
 DIGIT = re.compile(rb"[0-9]")
@@ -54,6 +57,7 @@ class Template:
     text: bytes
     words: list[bytes]
     numbers: list[bytes]
+    names: frozenset[bytes]  # written in capitals, as MIT
     need: int  # words that must stand in a statement
     reach: int  # words that it may span
     press: zstandard.ZstdCompressor
@@ -69,8 +73,9 @@ def prepared(templates: dict[str, str], keep: float) -> list[Template]:
         if words:
             d = zstandard.ZstdCompressionDict(b" " * 8 + text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             numbers = [w for w in words if DIGIT.search(w)]
+            names = frozenset() if text.isupper() else frozenset(w.lower() for w in WORD.findall(text) if len(w) > 1 and w.isupper())
             need = next((k for k in range(1, len(words)) if k / len(words) >= keep), len(words))
-            out.append(Template(name, text, words, numbers, need, 2 + 11 * len(words) // 10, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
+            out.append(Template(name, text, words, numbers, names, need, 2 + 11 * len(words) // 10, zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False)))
     return out
 
 
@@ -170,7 +175,7 @@ def scan(text: bytes, templates: list[Template], holders: dict[bytes, list[int]]
         alike = []
         for k, a, b in ranked[rank]:
             t = templates[k]
-            if free(taken, a, b) and [w for w in words[a:b] if DIGIT.search(w)] == t.numbers:
+            if free(taken, a, b) and t.names.issubset(words[a:b]) and [w for w in words[a:b] if DIGIT.search(w)] == t.numbers:
                 held = (len(t.words) + b - a - rank[1]) // 2
                 if first_counts(t, words[a:b], held):
                     own = b" ".join(text[at[a][0]:at[b - 1][1]].split())

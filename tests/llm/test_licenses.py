@@ -8,6 +8,7 @@ import zstandard
 from fleetgauge.llm import licenses
 
 NEAR = {f"CC-BY-{n}.0": f"Released under the CC-BY {n}.0 license." for n in range(1, 5)}
+SOME = {n: t for i, (n, t) in enumerate(licenses.TEMPLATES.items()) if len(t.split()) < 50 and (i % 9 == 0 or n in licenses.PLAIN)}
 
 
 def scan(text, templates=None, keep=0.8):
@@ -41,6 +42,7 @@ def brute(text, templates, keep):
             held, later = common(t.words, block), common(t.words, block[1:])
             for j in range(1, len(block) + 1):
                 numbers = [w for w in block[:j] if re.search(rb"\d", w)] == [w for w in t.words if re.search(rb"\d", w)]
+                numbers = numbers and t.names.issubset(block[:j])
                 if held[j] > held[j - 1] and held[j] > later[j - 1] and held[j] / n >= keep and numbers and any(c for _, _, c in words[s:s + j]):
                     differ = n + j - 2 * held[j]
                     all_.append((differ - held[j], differ, t, s, s + j, held[j] / n))
@@ -58,7 +60,7 @@ def brute(text, templates, keep):
 
 
 def texts(seed, breaks):
-    r, given = random.Random(seed), list(licenses.TEMPLATES.values()) + list(NEAR.values())
+    r, given = random.Random(seed), list(SOME.values()) + list(NEAR.values())
     for _ in range(40):
         parts = []
         for _ in range(r.randint(1, 5)):
@@ -79,7 +81,7 @@ def test_statements_within_lines():
 
 
 def test_every_stretch():
-    every = {**licenses.TEMPLATES, **NEAR}
+    every = {**SOME, **NEAR}
     for text in texts(1, [" "]):
         assert [(x["license"], x["line"], x["share"]) for x in scan(text, every)[1]] == brute(text, every, 0.8)
 
@@ -88,6 +90,35 @@ def test_statements_wrapped_before_the_cue():
     assert names("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.") == ["MPL-2.0"]
     assert names("x\n/* This work is\n * licensed under the GNU General Public License, version 3. */") == ["GPL-3.0"]
     assert scan("# put into the public\n# domain")[0] == 1
-    every = {**licenses.TEMPLATES, **NEAR}
+    every = {**SOME, **NEAR}
     for text in texts(2, [" ", "\n", "\n# ", "\n\n"]):
         assert [(x["license"], x["line"], x["share"]) for x in scan(text, every)[1]] == brute(text, every, 0.8)
+
+
+def test_customary_set():
+    for name, text in licenses.TEMPLATES.items():
+        assert licenses.CUE.search(text.encode()) and names(text) == [name]
+    assert names("""    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.""") == ["LGPL-2.1-or-later-header"]
+    assert names("// SPDX-License-Identifier: AGPL-3.0-or-later\nint x;") == ["AGPL-3.0-or-later-spdx"]
+    assert names("released under the Foo license, licensed under the FOO License") == []
+    two = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+  * Redistributions of source code must retain the above copyright notice, this
+    list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright notice, this
+    list of conditions and the following disclaimer in the documentation and/or
+    other materials provided with the distribution.
+"""
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+    three = """  * Neither the name of Foo nor the names of its contributors may be used to endorse
+    or promote products derived from this software without specific prior written permission.
+"""
+    assert names(two + end) == ["BSD-2-Clause-text"] and names(two + three + end) == ["BSD-3-Clause-text"]
+
+
+def test_templates_that_rank_alike():
+    for n in range(1, 5):
+        assert names(f"Released under the CC-BY {n}.0 license.", NEAR) == [f"CC-BY-{n}.0"]
