@@ -4,8 +4,9 @@ Texts are lower-cased in A-Z and split into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7
 words of an item (the whole item if it is shorter) is a pattern; a document's words go once through
 the automaton of all patterns, and the words inside any match are mapped back to the original text.
 
-The automaton travels to the tasks only up to a checked size of the items; a larger set is dealt into slices
-of that size by item, each with its own automaton, and a document's matches of all slices are put together.
+The items travel to the tasks only up to a checked size; a larger set is dealt into slices of about that size by
+item and text, written to the shared folder, where the tasks read the slice of their automaton. A document's
+matches of all slices are put together.
 
 Null and empty texts have no words and no hits; items without words are no pattern; items that say the same
 all count; repeated documents give equal rows; further columns are ignored; an empty table of documents gives
@@ -21,10 +22,13 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import slices, text_or_empty
+from fleetgauge.workdir import fresh_dir
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ITEM_BYTES = 32 << 20  # items that one automaton may hold
@@ -47,15 +51,25 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Patterns:
-    """Item numbers and their texts; built into an automaton once a task."""
+    """Item numbers and their texts, here or in files; built into an automaton once a task."""
 
     items: tuple[tuple[str, bytes], ...]
     window: int
+    files: tuple[str, ...] = ()
+
+    def rows(self) -> Iterator[tuple[str, bytes]]:
+        yield from self.items
+        for uri in self.files:
+            store, path = pyarrow.fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as f:
+                for batch in pyarrow.parquet.ParquetFile(f).iter_batches(1024, columns=["item", "text"]):
+                    for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                        yield name, text.encode()
 
     def automaton(self):
         """All patterns as words between blanks, a byte to a character; None without any."""
         owners: dict[bytes, set[str]] = {}
-        for name, text in self.items:
+        for name, text in self.rows():
             words = words_of(text)
             size = min(self.window, len(words))
             for i in range(len(words) - size + 1 if size else 0):
@@ -109,7 +123,7 @@ ARROW = pa.struct([
 
 
 def _scan(docs: DataFrame, patterns: Patterns) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((patterns.items, patterns.window))
+    shared = docs.sparkSession.sparkContext.broadcast((patterns.items, patterns.window, patterns.files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Patterns(*shared.value).automaton()
@@ -131,9 +145,17 @@ def _scan(docs: DataFrame, patterns: Patterns) -> DataFrame:
 def _slices(items: DataFrame, window: int, most: int) -> Iterator[Patterns]:
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // most))
-    for i in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i)
-        yield Patterns(tuple((r["item"], r["text"].encode()) for r in own.toLocalIterator()), window)
+    if parts == 1:
+        yield Patterns(tuple((r["item"], r["text"].encode()) for r in items.toLocalIterator()), window)
+        return
+    path = fresh_dir(items.sparkSession, "decontaminate-items")
+    dealt = items.distinct().withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    dealt.repartition("slice").write.partitionBy("slice").parquet(path)
+    files: dict[str, list[str]] = {}
+    for uri in items.sparkSession.read.parquet(path).inputFiles():
+        files.setdefault(re.findall(r"/slice=(\d+)/", uri)[-1], []).append(uri)
+    for i in sorted(files, key=int):
+        yield Patterns((), window, tuple(sorted(files[i])))
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = 13, most_bytes: int = ITEM_BYTES) -> DataFrame:
