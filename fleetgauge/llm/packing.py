@@ -12,7 +12,8 @@ Windows follow each other without gaps and are cut into sequences, so only the v
 Texts are encoded once into a table of ids; a second pass cuts the ids. Places in queues are prefix sums over
 hash ranges (a window sees rows of one small range, another the sums of the ranges), so a hot source is spread.
 
-At most ``QUEUES`` hashed queues and the named ones exist, which bounds what each task is told. Null texts are
+Up to ``QUEUES`` sources have a queue each; if there are more, those that ``targets`` does not name share
+``QUEUES`` hashed queues, which bounds what each task is told, and deficits hold by queue. Null texts are
 empty and pack as their end token alone, a null source is the empty source, repeated rows are packed one after
 another, an empty table gives an empty table, further columns are ignored.
 """
@@ -27,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.chunks import byte_encoder, row_sums
@@ -98,10 +99,11 @@ def mixture(totals: list[tuple[str, int]], window: int, targets: dict[str, float
     return Mixture(tuple(t for _, t in totals), tuple(weights), window)
 
 
-def _queue(source: str, targets: dict[str, float] | None):
-    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
+def _queue(name: Column, targets: dict[str, float] | None, shared: bool) -> Column:
+    """``=`` and the source, or ``#`` and the number of a queue that sources share."""
+    own = F.concat(F.lit("="), name)
     hashed = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string"))
-    return F.when(name.isin(*targets), name).otherwise(hashed) if targets else hashed
+    return (F.when(name.isin(*targets), own).otherwise(hashed) if targets else hashed) if shared else own
 
 
 def _encoded(rows: DataFrame, kind: str, paths: tuple[str, str | None], end_id: int) -> DataFrame:
@@ -157,12 +159,16 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, sequenc
     kind = docs.schema["doc_id"].dataType.simpleString()
     paths = (json_path, ranks_path)
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), _queue(source, targets).alias("queue"), name.alias("_name"))
+    names = docs.select(name.alias("s"))
+    if targets:
+        names = names.where(~F.col("s").isin(*targets))
+    shared = names.distinct().limit(QUEUES + 1).count() > QUEUES
+    rows = docs.select("doc_id", text_or_empty().alias("text"), _queue(name, targets, shared).alias("queue"), name.alias("_name"))
     rows = rows.withColumn("key", F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), "_name", "text")))
     encoded = stored(_encoded(rows, kind, paths, end_id), "packing-ids")
     placed = cut(places(encoded.select("key", "queue", "n")))
     totals = sorted((r["queue"], int(r["t"])) for r in placed.groupBy("queue").agg(F.sum(F.col("n") * F.col("copies")).alias("t")).collect())
-    plan = mixture(totals, sequence * window_sequences, targets)
+    plan = mixture(totals, sequence * window_sequences, {f"={q}": x for q, x in (targets or {}).items()})
     number = {q: i for i, (q, _) in enumerate(totals)}
 
     # equal rows are one row with a count, so that each copy can be given its own place
