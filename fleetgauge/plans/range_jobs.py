@@ -92,8 +92,9 @@ assert LIMITED == 90 * MINUTE and rv.bounded_step(v.FROM_US, v.TO_US, ASKED_STEP
 @job("li_max_points", f"SELECT instance, op, step_us, inc, n FROM w WHERE step_us BETWEEN {v.FROM_US} AND {v.TO_US}",
      "counters", windows_sql(9 * HOUR, LIMITED))
 def li_max_points(spark, sf):
-    out = rv.increase(v.counters(spark, sf), 9 * HOUR, LIMITED)
-    return out.where(F.col("step_us").between(v.FROM_US, v.TO_US))
+    low, high = v.extent(spark, sf)
+    out = rv.increase(v.counters(spark, sf), 9 * HOUR, rv.bounded_step(low, high, ASKED_STEP, LIMIT))
+    return out.where(F.col("step_us").between(low, high))
 
 
 LOOKBACK = 30 * MINUTE
@@ -114,7 +115,7 @@ def jn_instant_asof(spark, sf):
     CROSS JOIN (SELECT unnest(range({v.FROM_US}, {v.TO_US} + 1, {GRID})) AS step_us) g
     ANTI JOIN covered c ON c.instance = s.instance AND c.op = s.op AND c.step_us = g.step_us""", "gauges", INSTANT)
 def wn_alert_nodata(spark, sf):
-    return rv.no_data(v.gauges(spark, sf), v.FROM_US, v.TO_US, GRID, LOOKBACK)
+    return rv.no_data(v.gauges(spark, sf), *v.extent(spark, sf), GRID, LOOKBACK)
 
 
 @job("ag_last_reducer", f"""SELECT instance, op, max_by(value, ts_us) AS value FROM gauges

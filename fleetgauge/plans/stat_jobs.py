@@ -76,7 +76,7 @@ def flt_mail_pending(spark, sf):
       CAST(coalesce(sum(wait_s) // nullif(count(wait_s), 0), 0) AS BIGINT) AS avg_s, CAST(0 AS BIGINT) AS errors
     FROM (SELECT i.instance, scan_us, (scan_us - added_us) // 1000000 AS wait_s {PENDING}) GROUP BY ALL""", "mail", SCANS)
 def ag_mail_age_buckets(spark, sf):
-    return mb.age_buckets(v.mail(spark, sf), v.FROM_US, v.TO_US, EVERY)
+    return mb.age_buckets(v.mail(spark, sf), *v.extent(spark, sf), EVERY)
 
 
 @job("src_txn_listing", "SELECT instance, filename FROM txn WHERE filename LIKE '%.TXN'", "txn")

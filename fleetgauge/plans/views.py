@@ -51,6 +51,14 @@ def timed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ts_us": epoch_us("ts"), "instance": server()})
 
 
+def extent(spark, sf) -> tuple[int, int]:
+    """The days of the events, midnight to midnight, and at least the range given above."""
+    first, last = table(spark, sf, "events").select(epoch_us("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
+    if first is None:
+        return FROM_US, TO_US
+    return min(FROM_US, first // DAY * DAY), max(TO_US, (last // DAY + 1) * DAY)
+
+
 def counters(spark, sf) -> DataFrame:
     rows = events(spark, sf).select(
         "event_id", F.lit(JOB).alias("job"), "instance", F.col("event_type").alias("op"), "ts_us",
