@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontaminate, licenses, lm_scoring, packing, quality_net, quality_rules, simhash, substrings, token_counts
+from fleetgauge.llm import (
+    chat, decontaminate, licenses, lm_scoring, packing, quality_net, quality_rules, simhash, substrings, token_counts, topk, whitening)
 from fleetgauge.llm.common import table
 
 
@@ -79,6 +80,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS = {f.__name__: f for f in (
     op1_simhash, op2_quality_net, op3_token_counts, op4_substrings, op5_packing, op6_lm_scoring, op7_chat,
-    op8_quality_rules, op9_licenses, op10_decontaminate, pipeline)}
+    op8_quality_rules, op9_licenses, op10_decontaminate, op11_whitening, op13_top_k, pipeline)}
 # --- SQL twins ---------------------------------------------------------------------------
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -148,4 +157,15 @@ BENCHMARK_SQL = rf"""
       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
     FROM d LEFT JOIN found USING (r) LEFT JOIN words USING (r)"""
 
-CHECKS: dict[str, str] = {"op7_chat": CHAT_SQL, "op8_quality_rules": QUALITY_SQL, "op10_decontaminate": BENCHMARK_SQL}
+TOP_K_SQL = """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+CHECKS: dict[str, str] = {
+    "op7_chat": CHAT_SQL, "op8_quality_rules": QUALITY_SQL, "op10_decontaminate": BENCHMARK_SQL, "op13_top_k": TOP_K_SQL}
