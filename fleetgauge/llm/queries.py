@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import (
-    chat, decontaminate, licenses, lm_scoring, packing, quality_net, quality_rules, simhash, substrings, token_counts, topk, whitening)
+    alignment, chat, decontaminate, licenses, lm_scoring, packing, quality_net, quality_rules, simhash, substrings, token_counts, topk, whitening)
 from fleetgauge.llm.common import table
 
 
@@ -84,6 +84,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"),
+                            _tokenizer("piece_bpe_32k.model"))
+    return found.documents.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -96,7 +102,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS = {f.__name__: f for f in (
     op1_simhash, op2_quality_net, op3_token_counts, op4_substrings, op5_packing, op6_lm_scoring, op7_chat,
-    op8_quality_rules, op9_licenses, op10_decontaminate, op11_whitening, op13_top_k, pipeline)}
+    op8_quality_rules, op9_licenses, op10_decontaminate, op11_whitening,
+    op12_alignment, op13_top_k, pipeline)}
 # --- SQL twins ---------------------------------------------------------------------------
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,8 +166,8 @@ BENCHMARK_SQL = rf"""
 
 TOP_K_SQL = """
     WITH v AS (
-      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
-      WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     pairs AS (
       SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
