@@ -3,6 +3,9 @@ state is carried from batch to batch."""
 
 from __future__ import annotations
 
+import os
+
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import range_jobs as rj
@@ -43,13 +46,30 @@ def st_log_json(spark, sf):
     return tables.added_up(spark, f"{out}/table", ["minute_us", "method", "status"], {"n": F.sum("n")})
 
 
+def append(lines, folder: str) -> None:
+    """Adds the lines to the files of the folder, or starts some. Each task has its own file and begins where that
+    ended before, so a task that runs again leaves no line twice."""
+    folder = folder.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    sizes = {name: os.path.getsize(f"{folder}/{name}") for name in os.listdir(folder)}
+
+    def run(rows):
+        name = f"{TaskContext.get().partitionId()}.log"
+        with open(f"{folder}/{name}", "r+b" if name in sizes else "wb") as out:
+            out.seek(sizes.get(name, 0))
+            out.truncate()
+            for row in rows:
+                out.write(row["line"].encode() + b"\n")
+
+    lines.select("line").repartition(4).foreachPartition(run)
+
+
 @job("st_log_positions", f"SELECT '{v.JOB}' AS job, line FROM loglines", "loglines")
 def st_log_positions(spark, sf):
     src, out = fresh_dir(spark, "log"), fresh_dir(spark, "lines")
     lines = v.loglines(spark, sf)
-    for late in (False, True):  # the second run resumes after the first
-        rows = lines.where((F.col("event_id") % 2 == 1) == late)
-        rows.select(F.col("line").alias("value")).write.mode("append").text(src)
+    for late in (False, True):  # the second run resumes in the files of the first
+        append(lines.where((F.col("event_id") % 2 == 1) == late), src)
         tables.append_available(ingest.line_stream(spark, src, v.JOB), f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table")
 

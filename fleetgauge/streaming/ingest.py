@@ -10,6 +10,7 @@ from fleetgauge.functions.text import stat_key, whole_div
 from fleetgauge.sources.exposition import parse_samples
 from fleetgauge.sources.logs import log_times, parse_access_log
 from fleetgauge.streaming.tables import added_up
+from fleetgauge.streaming.tail import follow
 
 
 def metric_stream(spark: SparkSession, path: str, file_part: str = "(.*)", files_per_batch: int = 10_000) -> DataFrame:
@@ -21,8 +22,11 @@ def metric_stream(spark: SparkSession, path: str, file_part: str = "(.*)", files
     return parse_samples(lines)
 
 
-def line_stream(spark: SparkSession, path: str, job: str) -> DataFrame:
-    """Log lines of every new file with the static job label."""
+def line_stream(spark: SparkSession, path: str, job: str, growing: bool = True) -> DataFrame:
+    """Log lines with the static job label: of files that grow and are rotated (see ``tail``), or, unless
+    ``growing``, of every new file in any store that Spark reads."""
+    if growing:
+        return follow(spark, path).select(F.lit(job).alias("job"), "line")
     lines = spark.readStream.option("recursiveFileLookup", "true").text(path)
     return lines.select(F.lit(job).alias("job"), F.col("value").alias("line"))
 
