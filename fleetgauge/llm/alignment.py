@@ -39,10 +39,10 @@ from fleetgauge.llm.token_counts import piece_encoder, piece_model
 class Limits:
     """Of memory, not of results."""
 
-    part: int = 4 << 20  # bytes of text worked off together
-    block: int = 8 << 20  # bytes of a block of documents
+    part: int = 2 << 20  # bytes of text worked off together
+    block: int = 4 << 20  # bytes of a block of documents
     docs: int = 1 << 16  # documents of a block
-    keep: int = 1 << 19  # windows a task keeps
+    keep: int = 1 << 17  # windows, and chunks of either tokenizer, that a task keeps
 
 
 class Vocabulary:
@@ -195,6 +195,14 @@ class Aligner:
         self.encode_b, self.b = piece_encoder(model, fit), Vocabulary(piece_tokens(model))
         self.windows = Windows(self.a, self.b)
 
+    def forget(self, keep: int) -> None:
+        """Starts anew what holds more than ``keep``; windows' numbers are then given again."""
+        if len(self.windows.known) > keep:
+            self.windows.clear()
+        for encoder in (self.encode_a, self.encode_b):
+            if len(encoder.known) > keep:
+                encoder._clear()
+
     def _tokens(self, encoder: Encoder, vocabulary: Vocabulary, data: np.ndarray, rows: np.ndarray):
         codes, firsts, _ = encoder.chunks(data, rows)
         table, at = encoder.ids()
@@ -327,8 +335,7 @@ def _blocks(paths: tuple, names: list[str], with_text: bool, limits: Limits):
             if block.size >= limits.block or len(block.ids) >= limits.docs or len(windows.known) > limits.keep:
                 yield block.record(seq, names, key)
                 block, seq = Block(windows), seq + 1
-                if len(windows.known) > limits.keep:
-                    windows.clear()
+                aligner.forget(limits.keep)
         if block.ids:
             yield block.record(seq, names, key)
 
