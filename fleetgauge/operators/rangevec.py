@@ -1,9 +1,11 @@
 """Range-vector functions over counters and gauges.
 
 The window of step ``t`` is ``(t - range, t]``. Samples are first reduced to panes (one row per
-series and pane, cut where windows begin and end), so only panes are copied to the steps they
-belong to. A reset is a value below its predecessor; its delta is the value itself. Windows with
-fewer than two samples give no row.
+series and pane, cut where windows begin and end), with running sums over the panes of a series.
+A window is then told by its first and its last pane: each pane gives the steps whose window it
+begins and those whose window it ends, and the difference of the two running sums is the window's.
+So a step takes two rows, however many panes its window holds. A reset is a value below its
+predecessor; its delta is the value itself. Windows with fewer than two samples give no row.
 """
 
 from __future__ import annotations
@@ -38,9 +40,29 @@ def pane_end(ts: Column, range_us: int, step_us: int, chunk_us: int | None = Non
 
 def steps_of(end: str, range_us: int, step_us: int) -> Column:
     """The evaluation steps whose window holds the pane that ends at ``end``."""
-    first = ceil_to(F.col(end), step_us)
-    latest = F.col(end) + F.lit(int(range_us) - 1)
-    return F.when(first <= latest, F.sequence(first, latest, F.lit(int(step_us))))
+    return _grid(F.col(end), F.col(end) + F.lit(int(range_us) - 1), step_us)
+
+
+def _grid(low: Column, high: Column, step_us: int) -> Column:
+    """The steps from ``low`` to ``high``."""
+    first = ceil_to(low, step_us)
+    return F.when(first <= high, F.sequence(first, high, F.lit(int(step_us))))
+
+
+def ended_by(end: str, after: Column, range_us: int, step_us: int) -> Column:
+    """The steps whose window has the pane that ends at ``end`` as its last; ``after`` is the end of the next pane."""
+    return _grid(F.col(end), F.least(F.col(end) + F.lit(int(range_us) - 1), after - 1), step_us)
+
+
+def begun_by(end: str, before: Column, range_us: int, step_us: int) -> Column:
+    """The steps whose window has the pane that ends at ``end`` as its first; ``before`` is the end of the pane before."""
+    return _grid(F.greatest(F.col(end), before + F.lit(int(range_us))), F.col(end) + F.lit(int(range_us) - 1), step_us)
+
+
+def _marked(steps: Column, last: bool) -> Column:
+    """The steps with the side of their window that a pane is."""
+    steps = F.coalesce(steps, F.array().cast("array<bigint>"))
+    return F.transform(steps, lambda t: F.struct(t.alias("step_us"), F.lit(last).alias("last")))
 
 
 def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us", tie="event_id") -> DataFrame:
@@ -63,12 +85,15 @@ def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us
     )
     # One row per pane from here on: add the step from the previous pane's last sample.
     series = Window.partitionBy(*keys).orderBy("pane_us")
-    panes = panes.withColumn("before", F.lag("last").over(series))
+    panes = panes.withColumns({
+        "before": F.lag("last").over(series), "before_us": F.lag("pane_us").over(series), "after_us": F.lead("pane_us").over(series),
+    })
     edges = [reset_aware(F.col(f"before.v{i}"), F.col(f"first.v{i}")) for i in n]
+    panes = panes.withColumns({f"edge{i}": F.coalesce(edges[i], F.lit(0)) for i in n})
     return panes.select(
-        *keys, "pane_us", "n",
+        *keys, "pane_us", "before_us", "after_us", "n", F.sum("n").over(series).alias("upto_n"),
         *[f"inc{i}" for i in n],
-        *[F.coalesce(edges[i], F.lit(0)).alias(f"edge{i}") for i in n],
+        *[F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")).over(series).alias(f"upto{i}") for i in n],
         F.col("first.ts").alias("first_ts"),
         F.col("first.v0").alias("first_v"),
         F.col("last.ts").alias("last_ts"),
@@ -84,24 +109,21 @@ def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS,
     """
     values = [value] if isinstance(value, str) else list(value)
     panes = counter_panes(samples, keys, values, int(range_us), int(step_us), ts, tie)
-    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", range_us, step_us)))
-    incs = [
-        (F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")) - F.min_by(f"edge{i}", "pane_us")).alias(f"inc{i}")
-        for i in range(len(values))
-    ]
-    out = (
-        placed.groupBy(*keys, "step_us")
-        .agg(
-            *incs,
-            F.sum("n").alias("n"),
-            F.min("first_ts").alias("first_ts"),
-            F.min_by("first_v", "pane_us").alias("first_v"),
-            F.max("last_ts").alias("last_ts"),
-            F.max_by("last_d", "pane_us").alias("last_d"),
-            F.max_by("last_gap", "pane_us").alias("last_gap"),
-        )
-        .where("n >= 2")
+    ends = _marked(ended_by("pane_us", F.col("after_us"), range_us, step_us), True)
+    begins = _marked(begun_by("pane_us", F.col("before_us"), range_us, step_us), False)
+    placed = panes.withColumn("at", F.explode(F.concat(ends, begins)))
+    last = F.col("at.last")
+    # what runs up to the last pane, less what runs up to the first sample of the first one
+    placed = placed.select(
+        *keys, F.col("at.step_us").alias("step_us"), F.when(last, F.col("upto_n")).otherwise(F.col("n") - F.col("upto_n")).alias("n"),
+        *[F.when(last, F.col(f"upto{i}")).otherwise(F.col(f"inc{i}") - F.col(f"upto{i}")).alias(f"inc{i}") for i in range(len(values))],
+        *[F.when(~last, F.col(c)).alias(c) for c in ("first_ts", "first_v")],
+        *[F.when(last, F.col(c)).alias(c) for c in ("last_ts", "last_d", "last_gap")],
     )
+    out = placed.groupBy(*keys, "step_us").agg(
+        *[F.sum(c).alias(c) for c in ("n", *[f"inc{i}" for i in range(len(values))])],
+        *[F.max(c).alias(c) for c in ("first_ts", "first_v", "last_ts", "last_d", "last_gap")],
+    ).where("n >= 2")
     return out.withColumnRenamed("inc0", "inc") if isinstance(value, str) else out
 
 
@@ -191,8 +213,9 @@ def instant_panes(samples, keys, value, range_us, step_us, ts="ts_us", tie="even
 def instant(samples, step_us, lookback_us, value="value", keys=KEYS, ts="ts_us", tie="event_id") -> DataFrame:
     """Value of each series at each step: latest sample in ``(t - lookback, t]``."""
     panes = instant_panes(samples, keys, value, int(lookback_us), int(step_us), ts, tie)
-    placed = panes.withColumn("step_us", F.explode(steps_of("pane_us", lookback_us, step_us)))
-    return placed.groupBy(*keys, "step_us").agg(F.max_by("s.v", "pane_us").alias("value"))
+    after = F.lead("pane_us").over(Window.partitionBy(*keys).orderBy("pane_us"))
+    steps = ended_by("pane_us", F.col("after_us"), int(lookback_us), int(step_us))
+    return panes.withColumn("after_us", after).select(*keys, F.explode(steps).alias("step_us"), F.col("s.v").alias("value"))
 
 
 def no_data(samples, from_us, to_us, step_us, lookback_us, keys=KEYS, ts="ts_us") -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.constants import DAY
+from fleetgauge.constants import DAY, HOUR
 from fleetgauge.functions.text import whole_div
-from fleetgauge.operators import alerts as al
 from fleetgauge.operators import rangevec as rv
-from fleetgauge.operators import thinning as th
-from fleetgauge.streaming.tables import drop_batch, latest, newest_version, previous_batch, read_days, run_available, trim_days, write_batch, write_days
+from fleetgauge.streaming import folds
+from fleetgauge.streaming.tables import latest, read_days, run_available, trim_days, write_batch, write_days
 
 
 def range_increase(stream: DataFrame, out: str, checkpoint: str, range_us: int, step_us: int, value="count_total",
@@ -55,78 +54,23 @@ def read_increase(spark: SparkSession, out: str, keys=("instance", "op")) -> Dat
     return latest(spark, f"{out}/windows", [*keys, "step_us"])
 
 
-def _from_start(stored: DataFrame, batch: DataFrame, before: DataFrame | None, known: str, keys: list[str], ts: str):
-    """For each series of the batch where to begin again: its last settled point (column ``known`` of ``before``)
-    not after its first new row, else that row. Gives these starts, and the stored rows from there on."""
-    low = batch.groupBy(*keys).agg(F.min(ts).alias("_low"))
-    if before is not None:
-        a, b = low.alias("a"), before.alias("b")
-        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"b.{known}") <= F.col("a._low")]
-        low = a.join(b, on, "left").groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(
-            F.coalesce(F.max(f"b.{known}"), F.min("a._low")).alias("_low"))
-    a, b = stored.alias("a"), low.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    first = low.agg(F.min("_low")).first()[0]  # days before it are not read
-    days = F.lit(True) if first is None else F.col("a.day") >= first // DAY
-    return low, a.join(b, on).where(days & (F.col(f"a.{ts}") >= F.col("b._low"))).select("a.*")
-
-
-def _untouched(before: DataFrame, low: DataFrame, known: str, keys: list[str]) -> DataFrame:
-    a, b = before.alias("a"), low.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{known}") >= F.col("b._low")]
-    return a.join(b, on, "left_anti")
+def alert_states(stream: DataFrame, out: str, checkpoint: str, for_us: int, keys=("instance",), ts="ts_us", tie="event_id",
+                 bucket_us: int = HOUR, keep_us: int = 60 * DAY) -> None:
+    """Changes of alert episodes under ``out`` as evaluations come in, in any order, up to ``keep_us`` late."""
+    found = folds.changes(stream, folds.alert_fold(for_us, ts, tie), list(keys), bucket_us, keep_us)
+    folds.follow_changes(found, f"{out}/changes", checkpoint)
 
 
-def alert_states(stream: DataFrame, out: str, checkpoint: str, for_us: int, keys=("instance",), ts="ts_us", tie="event_id") -> None:
-    """Alert episodes under ``out`` as evaluations come in, in any order.
-
-    An episode begins with a true evaluation, so a series is followed again from the last episode that begins
-    no later than the batch's first evaluation of it.
-    """
-    spark, keys = stream.sparkSession, list(keys)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*keys, ts, tie, "active", whole_div(F.col(ts), DAY).alias("day"))
-        write_days(rows, f"{out}/evals", batch_id)
-        stored = read_days(spark, f"{out}/evals", rows.schema, batch_id)
-        before = previous_batch(spark, f"{out}/episodes", batch_id)
-        low, again = _from_start(stored, rows, before, "active_at", keys, ts)
-        found = al.alert_episodes(again.select(*keys, ts, tie, "active"), for_us, keys=keys, ts=ts, tie=tie)
-        if before is not None:
-            found = found.unionByName(_untouched(before, low, "active_at", keys))
-        write_batch(found, f"{out}/episodes", batch_id)
-        drop_batch(spark, f"{out}/episodes", batch_id - 2)
-
-    run_available(stream, handle, checkpoint)
-
-
-def read_episodes(spark: SparkSession, out: str) -> DataFrame:
-    return newest_version(spark, f"{out}/episodes")
+def read_episodes(spark: SparkSession, out: str, keys=("instance",)) -> DataFrame:
+    return folds.episodes(spark.read.parquet(f"{out}/changes"), list(keys))
 
 
 def sample_thinning(stream: DataFrame, out: str, checkpoint: str, interval_us: int, keys=("instance", "op"),
-                    ts="ts_us", tie="event_id", chunk_intervals: int = 8) -> None:
-    """The kept samples under ``out`` as samples come in, in any order.
-
-    A kept sample stays kept as long as nothing older comes in, so a series is thinned again from the last
-    one that is no later than the batch's first sample of it.
-    """
-    spark, keys = stream.sparkSession, list(keys)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*keys, ts, tie, whole_div(F.col(ts), DAY).alias("day"))
-        write_days(rows, f"{out}/samples", batch_id)
-        stored = read_days(spark, f"{out}/samples", rows.schema, batch_id)
-        before = previous_batch(spark, f"{out}/kept", batch_id)
-        low, again = _from_start(stored, rows, before, ts, keys, ts)
-        kept = th.due_thinning(again, interval_us, keys, ts, tie, chunk_intervals)
-        if before is not None:
-            kept = kept.unionByName(_untouched(before, low, ts, keys).select(*kept.columns))
-        write_batch(kept, f"{out}/kept", batch_id)
-        drop_batch(spark, f"{out}/kept", batch_id - 2)
-
-    run_available(stream, handle, checkpoint)
+                    ts="ts_us", tie="event_id", bucket_us: int = 6 * HOUR, keep_us: int = 60 * DAY) -> None:
+    """Changes of the kept samples under ``out`` as samples come in, in any order, up to ``keep_us`` late."""
+    found = folds.changes(stream, folds.thinning_fold(interval_us, ts, tie), list(keys), bucket_us, keep_us)
+    folds.follow_changes(found, f"{out}/changes", checkpoint)
 
 
-def read_kept(spark: SparkSession, out: str) -> DataFrame:
-    return newest_version(spark, f"{out}/kept")
+def read_kept(spark: SparkSession, out: str, keys=("instance", "op"), ts="ts_us", tie="event_id") -> DataFrame:
+    return folds.standing(spark.read.parquet(f"{out}/changes"), list(keys), (ts, tie))
