@@ -39,10 +39,10 @@ from fleetgauge.llm.token_counts import piece_encoder, piece_model
 class Limits:
     """Of memory, not of results."""
 
-    part: int = 2 << 20  # bytes of text worked off together
+    part: int = 3 << 20  # bytes of text worked off together
     block: int = 4 << 20  # bytes of a block of documents
     docs: int = 1 << 16  # documents of a block
-    keep: int = 1 << 17  # windows, and chunks of either tokenizer, that a task keeps
+    keep: int = 3 << 16  # windows, and chunks of either tokenizer, that a task keeps
 
 
 class Vocabulary:
@@ -133,6 +133,7 @@ class Windows:
 
     def __init__(self, a: Vocabulary, b: Vocabulary) -> None:
         self.a, self.b = a, b
+        self.digits = Vocabulary([b"%d," % i for i in range(max(len(a.size), len(b.size)))])
         self.clear()
 
     def clear(self) -> None:
@@ -164,23 +165,34 @@ class Windows:
         ends = np.union1d(a_end, b_end)  # each stretch between ends lies in one token of either side
         a_at, b_at = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
         shared = np.flatnonzero((a_end[a_at] == ends) & (b_end[b_at] == ends))
-        last_a, last_b = a_at[shared] + 1, b_at[shared] + 1
-        of_a, of_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, i, j = [], 0, 0
-        for x, y in zip(last_a.tolist(), last_b.tolist()):
-            groups.append(f"{','.join(of_a[i:x])}|{','.join(of_b[j:y])}")
-            i, j = x, y
         # windows end at shared ends
         window = a_end[np.cumsum(n_a) - 1]
         till = np.searchsorted(ends[shared], window) + 1
-        k = 0
-        for end in till.tolist():
-            self.text.append(";".join(groups[k:end]).encode())
-            k = end
+        self.text += self._texts(a, b, a_at[shared] + 1, b_at[shared] + 1, till)
         self.groups = np.concatenate([self.groups, np.diff(till, prepend=0)])
         self.links = np.concatenate([self.links, np.diff(np.searchsorted(ends, window) + 1, prepend=0)])
         self.pairs = np.concatenate([self.pairs, a[a_at] << 32 | b[b_at]])
 
+    def _texts(self, a: np.ndarray, b: np.ndarray, till_a: np.ndarray, till_b: np.ndarray, till: np.ndarray) -> list[bytes]:
+        """The groups of each window as text; groups end before the tokens ``till_a`` and ``till_b``, windows before
+        the groups ``till``."""
+        n_a, n_b = np.diff(till_a, prepend=0), np.diff(till_b, prepend=0)
+        group = np.arange(len(till_a))
+        of_a, of_b = np.repeat(group, n_a), np.repeat(group, n_b)
+        # tokens in the order of the text: a group's A ids, then its B ids, each with the sign that follows it
+        place_a = np.arange(len(a)) + (till_b - n_b)[of_a]
+        place_b = np.arange(len(b)) + till_a[of_b]
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        size = self.digits.size[ids]
+        end = np.cumsum(size)
+        out = self.digits.joined(ids).copy()
+        out[end[place_a[till_a - 1]] - 1] = ord("|")
+        close = end[place_b[till_b - 1]]
+        out[close - 1] = ord(";")
+        raw, stops = out.tobytes(), close[till - 1].tolist()
+        return [raw[x:y - 1] for x, y in zip([0, *stops[:-1]], stops)]
+
     def pairs_of(self, codes: np.ndarray) -> np.ndarray:
         at = np.cumsum(self.links) - self.links
         return self.pairs[spread(at[codes], self.links[codes])]
@@ -250,6 +262,23 @@ class Aligner:
         return counts[0], counts[1], has, self.windows.codes(keys), np.concatenate([[0], np.cumsum(counts[2])])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from zero in the least of one, two, four or eight bytes; the first byte of all tells which."""
+    most = int(values.max()) if len(values) else 0
+    kind = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    return bytes([kind]) + values.astype(f"u{kind}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
 def spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a blank before each."""
     own = rows + np.arange(len(rows))
@@ -312,11 +341,11 @@ class Block:
         pairs, linked = np.unique(self.windows.pairs_of(used), return_inverse=True)
         at = np.cumsum(links) - links
         # each document counts once for a pair, whatever its windows
-        both = np.unique(np.repeat(docs, links[window]) << 32 | linked[spread(at[window], links[window])])
+        both = distinct(np.repeat(docs, links[window]) << 32 | linked[spread(at[window], links[window])])
         seen = np.bincount(both & 0xFFFFFFFF, minlength=len(pairs))
         held = np.bincount(docs, minlength=len(self.ids))
         n_a, n_b, n_groups, n_links = zip(*self.counts)
-        ints = [x.astype(np.int32).tobytes() for x in (held, window, times, links, linked)]
+        ints = [packed(x) for x in (held, window, times, links, linked)]
         values = [(TaskContext.get().partitionId() << 32) + seq, self.ids, n_a, n_b, n_groups, n_links, self.groups, *ints, pairs, seen]
         long, many, raw = pa.int64(), pa.list_(pa.int64()), pa.binary()
         kinds = [long, pa.list_(key), many, many, many, many, pa.list_(raw), raw, raw, raw, raw, raw, many, many]
@@ -384,7 +413,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             one = {n: batch.column(n)[i] for n in batch.schema.names}
-            held, window, times, links, linked = (np.frombuffer(one[n].as_py(), np.int32).astype(np.int64) for n in ("held", "windows", "times", "links", "linked"))
+            held, window, times, links, linked = (unpacked(one[n].as_py()) for n in ("held", "windows", "times", "links", "linked"))
             totals = one["totals"].values
             count, best = (np.zeros(len(totals), np.int64) for _ in range(2))
             place = totals.field("place").to_numpy()
