@@ -85,15 +85,12 @@ def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us
     )
     # One row per pane from here on: add the step from the previous pane's last sample.
     series = Window.partitionBy(*keys).orderBy("pane_us")
-    panes = panes.withColumns({
-        "before": F.lag("last").over(series), "before_us": F.lag("pane_us").over(series), "after_us": F.lead("pane_us").over(series),
-    })
+    panes = panes.withColumn("before", F.lag("last").over(series))
     edges = [reset_aware(F.col(f"before.v{i}"), F.col(f"first.v{i}")) for i in n]
-    panes = panes.withColumns({f"edge{i}": F.coalesce(edges[i], F.lit(0)) for i in n})
     return panes.select(
-        *keys, "pane_us", "before_us", "after_us", "n", F.sum("n").over(series).alias("upto_n"),
+        *keys, "pane_us", "n",
         *[f"inc{i}" for i in n],
-        *[F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")).over(series).alias(f"upto{i}") for i in n],
+        *[F.coalesce(edges[i], F.lit(0)).alias(f"edge{i}") for i in n],
         F.col("first.ts").alias("first_ts"),
         F.col("first.v0").alias("first_v"),
         F.col("last.ts").alias("last_ts"),
@@ -102,13 +99,16 @@ def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us
     )
 
 
-def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS, ts="ts_us", tie="event_id") -> DataFrame:
-    """Per series and step: increase, sample count and the edge samples of the window.
-
-    ``value`` may be a list; then ``inc0``, ``inc1``, ... hold the increases.
-    """
-    values = [value] if isinstance(value, str) else list(value)
-    panes = counter_panes(samples, keys, values, int(range_us), int(step_us), ts, tie)
+def windows_of(panes: DataFrame, range_us: int, step_us: int, keys, count: int = 1, firsts=(), lasts=()) -> DataFrame:
+    """Per series and step the increases and the sample count of the window, from panes with ``count`` increases
+    (``inc0`` within, ``edge0`` from the pane before, ...); of the columns ``firsts`` the first pane's value, of
+    ``lasts`` the last one's."""
+    n = range(count)
+    series = Window.partitionBy(*keys).orderBy("pane_us")
+    panes = panes.withColumns({
+        "before_us": F.lag("pane_us").over(series), "after_us": F.lead("pane_us").over(series), "upto_n": F.sum("n").over(series),
+        **{f"upto{i}": F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")).over(series) for i in n},
+    })
     ends = _marked(ended_by("pane_us", F.col("after_us"), range_us, step_us), True)
     begins = _marked(begun_by("pane_us", F.col("before_us"), range_us, step_us), False)
     placed = panes.withColumn("at", F.explode(F.concat(ends, begins)))
@@ -116,14 +116,22 @@ def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS,
     # what runs up to the last pane, less what runs up to the first sample of the first one
     placed = placed.select(
         *keys, F.col("at.step_us").alias("step_us"), F.when(last, F.col("upto_n")).otherwise(F.col("n") - F.col("upto_n")).alias("n"),
-        *[F.when(last, F.col(f"upto{i}")).otherwise(F.col(f"inc{i}") - F.col(f"upto{i}")).alias(f"inc{i}") for i in range(len(values))],
-        *[F.when(~last, F.col(c)).alias(c) for c in ("first_ts", "first_v")],
-        *[F.when(last, F.col(c)).alias(c) for c in ("last_ts", "last_d", "last_gap")],
+        *[F.when(last, F.col(f"upto{i}")).otherwise(F.col(f"inc{i}") - F.col(f"upto{i}")).alias(f"inc{i}") for i in n],
+        *[F.when(~last, F.col(c)).alias(c) for c in firsts], *[F.when(last, F.col(c)).alias(c) for c in lasts],
     )
-    out = placed.groupBy(*keys, "step_us").agg(
-        *[F.sum(c).alias(c) for c in ("n", *[f"inc{i}" for i in range(len(values))])],
-        *[F.max(c).alias(c) for c in ("first_ts", "first_v", "last_ts", "last_d", "last_gap")],
+    return placed.groupBy(*keys, "step_us").agg(
+        *[F.sum(c).alias(c) for c in ("n", *[f"inc{i}" for i in n])], *[F.max(c).alias(c) for c in (*firsts, *lasts)],
     ).where("n >= 2")
+
+
+def counter_windows(samples, range_us, step_us, value="count_total", keys=KEYS, ts="ts_us", tie="event_id") -> DataFrame:
+    """Per series and step: increase, sample count and the edge samples of the window.
+
+    ``value`` may be a list; then ``inc0``, ``inc1``, ... hold the increases.
+    """
+    values = [value] if isinstance(value, str) else list(value)
+    panes = counter_panes(samples, keys, values, int(range_us), int(step_us), ts, tie)
+    out = windows_of(panes, int(range_us), int(step_us), keys, len(values), ("first_ts", "first_v"), ("last_ts", "last_d", "last_gap"))
     return out.withColumnRenamed("inc0", "inc") if isinstance(value, str) else out
 
 

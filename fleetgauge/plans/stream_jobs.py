@@ -8,13 +8,14 @@ import os
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from fleetgauge.constants import DAY
 from fleetgauge.plans import range_jobs as rj
 from fleetgauge.plans import schedule_jobs as sj
 from fleetgauge.plans import text_jobs as tj
 from fleetgauge.plans import views as v
 from fleetgauge.plans.registry import job
 from fleetgauge.sources import exposition as ex
-from fleetgauge.streaming import ingest, stateful, tables
+from fleetgauge.streaming import folds, ingest, stateful, tables
 from fleetgauge.workdir import fresh_dir
 
 
@@ -79,9 +80,12 @@ def st_log_positions(spark, sf):
     FROM (SELECT *, lower(concat_ws('.', facility, stat)) AS key FROM stats WHERE facility IS NOT NULL) GROUP BY ALL""", "stats")
 def st_snapshot_dedup(spark, sf):
     src, out = fresh_dir(spark, "stats"), fresh_dir(spark, "firsts")
-    v.stats(spark, sf).repartition(4).write.parquet(src)
-    rows = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
-    tables.run_available(rows, lambda df, i: tables.write_batch(ingest.first_of_snapshot(df), f"{out}/table", i), f"{out}/checkpoint")
+    rows = v.stats(spark, sf).select("event_id", "ts_us", "instance", "facility", "stat", "value_milli")
+    stream = shuffled(rows, src)
+    # a row without a name, two days on, closes the last snapshot
+    beat = rows.agg((F.max("ts_us") + 2 * DAY).alias("ts_us")).select(*[F.col(c) if c == "ts_us" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    beat.write.mode("append").parquet(src)
+    folds.follow_changes(ingest.first_of_snapshot(stream), f"{out}/table", f"{out}/checkpoint")
     return ingest.firsts(spark, f"{out}/table")
 
 
@@ -89,14 +93,14 @@ def st_snapshot_dedup(spark, sf):
 def st_range_increase(spark, sf):
     src, out = fresh_dir(spark, "counters"), fresh_dir(spark, "increase")
     rows = v.counters(spark, sf).select("event_id", "instance", "op", "ts_us", "count_total")
-    stateful.range_increase(shuffled(rows, src), out, f"{out}/checkpoint", rj.RANGE, rj.STEP)
-    return stateful.read_increase(spark, out)
+    stateful.range_increase(shuffled(rows, src), out, f"{out}/checkpoint", rj.RANGE, rj.STEP, bucket_us=DAY)
+    return stateful.read_increase(spark, out, rj.RANGE, rj.STEP)
 
 
 @job("st_alert_state", sj.EPISODES_SQL, "evals", sj.EPISODES)
 def st_alert_state(spark, sf):
     src, out = fresh_dir(spark, "evals"), fresh_dir(spark, "episodes")
-    stateful.alert_states(shuffled(v.evals(spark, sf), src), out, f"{out}/checkpoint", sj.FOR_US)
+    stateful.alert_states(shuffled(v.evals(spark, sf), src), out, f"{out}/checkpoint", sj.FOR_US, bucket_us=DAY)
     return stateful.read_episodes(spark, out)
 
 
@@ -104,5 +108,5 @@ def st_alert_state(spark, sf):
 def st_sample_thinning(spark, sf):
     src, out = fresh_dir(spark, "gauges"), fresh_dir(spark, "thinned")
     rows = v.gauges(spark, sf).select("event_id", "instance", "op", "ts_us")
-    stateful.sample_thinning(shuffled(rows, src), out, f"{out}/checkpoint", tj.THIN)
+    stateful.sample_thinning(shuffled(rows, src), out, f"{out}/checkpoint", tj.THIN, bucket_us=DAY)
     return stateful.read_kept(spark, out)

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 MISSING = -(2**63)  # stands for NULL
 ROCKSDB = {
@@ -69,7 +69,7 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = np.concatenate([p[list(self.fold.rows)].to_numpy(dtype=np.int64) for p in rows])
-        own = new[:, 0] // self.bucket_us
+        own = (new[:, 0] - 1) // self.bucket_us  # a bucket holds its end, as panes do
         floor, after = self._floor()
         late = (own <= floor) | (new[:, 0] == MISSING)
         if late.any():
@@ -141,8 +141,8 @@ def changes(stream: DataFrame, fold: Fold, keys: list[str], bucket_us: int, keep
     return rows.groupBy(*keys).transformWithStateInPandas(FoldProcessor(fold, keys, bucket_us, keep_us), schema, "Append", "EventTime")
 
 
-def follow_changes(out: DataFrame, path: str, checkpoint: str) -> None:
-    """Append the changes of all available input under ``path``, each once."""
+def follow_changes(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the changes of all available input under ``path``, each once; gives the ended query."""
     conf = out.sparkSession.conf
     before = {k: conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
@@ -154,6 +154,7 @@ def follow_changes(out: DataFrame, path: str, checkpoint: str) -> None:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
     query.awaitTermination()
+    return query
 
 
 class SnapshotProcessor(StatefulProcessor):
@@ -184,7 +185,7 @@ class SnapshotProcessor(StatefulProcessor):
             new = pd.concat([pickle.loads(self.first.get()[0]), new])
         else:
             self.handle.registerTimer(closes)
-        new = new.sort_values(["key", "event_id"], kind="stable")
+        new = new.sort_values(["key", "event_id", "value_milli"])
         firsts = new.drop_duplicates("key").assign(n=new.groupby("key", sort=True)["n"].sum().to_numpy())
         self.first.update((pickle.dumps(firsts.reset_index(drop=True)),))
 
@@ -269,3 +270,22 @@ def thinning_fold(interval_us: int, ts: str = "ts_us", tie: str = "event_id") ->
         return (due,), rows[kept]
 
     return Fold((ts, tie), (ts, tie), (MISSING,), step)
+
+
+def pane_fold(range_us: int, step_us: int, bucket_us: int, value: str, ts: str = "ts_us", tie: str = "event_id") -> Fold:
+    """Panes of a counter: samples, increase within the pane, and from the last sample before it.
+
+    Panes are cut where windows and buckets begin and end. State: the value of the row before (MISSING: none)."""
+
+    def step(state, rows):
+        t, v = rows[:, 0], rows[:, 2]
+        before = np.concatenate([[state[0]], v[:-1]])
+        known = (v != MISSING) & (before != MISSING)
+        delta = np.where(v < before, v, v - np.where(known, before, 0)) * known
+        cuts = [t + -t % step_us, t + -t % bucket_us, t + range_us + -(t + range_us) % step_us - range_us]
+        end = np.minimum.reduce(cuts)
+        first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        edge = delta[first]
+        return (int(v[-1]),), np.stack([end[first], np.diff(first, append=len(t)), np.add.reduceat(delta, first) - edge, edge], axis=1)
+
+    return Fold((ts, tie, value), ("pane_us", "n", "inc0", "edge0"), (MISSING,), step)

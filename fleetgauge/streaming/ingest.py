@@ -9,7 +9,7 @@ from fleetgauge.constants import DAY, MINUTE
 from fleetgauge.functions.text import stat_key, whole_div
 from fleetgauge.sources.exposition import parse_samples
 from fleetgauge.sources.logs import log_times, parse_access_log
-from fleetgauge.streaming.tables import added_up
+from fleetgauge.streaming.folds import MISSING, SnapshotProcessor
 from fleetgauge.streaming.tail import follow
 
 
@@ -41,19 +41,23 @@ def requests_per_minute(lines: DataFrame) -> DataFrame:
     return logs.groupBy(minute.alias("minute_us"), "method", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_of_snapshot(stats: DataFrame, snapshot_us: int = DAY) -> DataFrame:
-    """Per name and snapshot of one batch: the first row's number and value, and how many rows there are.
-
-    Parts of several batches are aggregated again by ``firsts``: a row that comes late but is earlier takes over.
+def first_of_snapshot(stats: DataFrame, snapshot_us: int = DAY, delay_us: int = 0) -> DataFrame:
+    """instance, snapshot, key, event_id and value_milli of the first row, n rows: given once a snapshot is closed, when
+    the stream's newest row is ``delay_us`` past its end. Until then its names are state, afterwards nothing is. Rows
+    that come to a closed snapshot are given as they come, ``late``. Rows without a name count nothing, but tell the time.
     """
-    rows = stats.where("facility IS NOT NULL AND stat IS NOT NULL").withColumns({
-        "key": stat_key(), "snapshot": whole_div(F.col("ts_us"), snapshot_us),
-    })
-    return rows.groupBy("instance", "snapshot", "key").agg(
-        F.min(F.struct("event_id", "value_milli")).alias("first"), F.count(F.lit(1)).alias("n"))
+    timed = stats.withColumn("_time", F.timestamp_micros("ts_us")).withWatermark("_time", f"{int(delay_us)} microseconds")
+    named = F.col("facility").isNotNull() & F.col("stat").isNotNull()
+    rows = timed.select(
+        "instance", whole_div(F.col("ts_us"), snapshot_us).alias("snapshot"), F.when(named, stat_key()).alias("key"),
+        *[F.coalesce(F.col(c).cast("bigint"), F.lit(MISSING)).alias(c) for c in ("event_id", "value_milli")], F.lit(1).cast("bigint").alias("n"))
+    closes = SnapshotProcessor(["instance", "snapshot"], lambda snapshot: (snapshot + 1) * snapshot_us // 1000)
+    schema = "instance string, snapshot bigint, key string, event_id bigint, value_milli bigint, n bigint, late boolean"
+    return rows.groupBy("instance", "snapshot").transformWithStateInPandas(closes, schema, "Append", "EventTime")
 
 
 def firsts(spark: SparkSession, path: str) -> DataFrame:
-    """instance, snapshot, key, value of the first row and the number of rows after it."""
-    rows = added_up(spark, path, ["instance", "snapshot", "key"], {"first": F.min("first"), "n": F.sum("n")})
-    return rows.select("instance", "snapshot", "key", F.col("first.value_milli").alias("value"), (F.col("n") - 1).alias("n_dup"))
+    """instance, snapshot, key, value of the first row and the number of rows after it, late rows included."""
+    rows = spark.read.parquet(path).groupBy("instance", "snapshot", "key").agg(
+        F.min(F.struct("event_id", "value_milli")).alias("first"), F.sum("n").alias("n"))
+    return rows.select("instance", "snapshot", "key", F.nullif("first.value_milli", F.lit(MISSING)).alias("value"), (F.col("n") - 1).alias("n_dup"))

@@ -1,57 +1,30 @@
-"""Streaming forms of the ordered operators.
+"""Streaming forms of the ordered operators, on keyed state (see ``folds``).
 
-Input may come late and in any order: each micro-batch stores its rows by day, finds what they touch and
-runs the batch operator over that stretch again. So a hot series is spread over tasks just as in batch, a
-batch without rows changes nothing, and a batch that is run again gives the same result.
+Input may come late and in any order, batches may be empty; the result is that of the batch operator.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fleetgauge.constants import DAY, HOUR
-from fleetgauge.functions.text import whole_div
 from fleetgauge.operators import rangevec as rv
 from fleetgauge.streaming import folds
-from fleetgauge.streaming.tables import latest, read_days, run_available, trim_days, write_batch, write_days
 
 
 def range_increase(stream: DataFrame, out: str, checkpoint: str, range_us: int, step_us: int, value="count_total",
-                   keys=("instance", "op"), ts="ts_us", tie="event_id", keep_days: int | None = None) -> None:
-    """Keep the windows of ``wn_increase`` up to date under ``out``, late samples included.
-
-    A batch recomputes only the (series, step) pairs whose window holds one of its samples, from the days of
-    the series that those windows touch. ``keep_days`` drops stored samples that many days older than the newest.
-    """
-    spark, keys = stream.sparkSession, list(keys)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*keys, ts, tie, value, whole_div(F.col(ts), DAY).alias("day"))
-        write_days(rows, f"{out}/samples", batch_id)
-        stored = read_days(spark, f"{out}/samples", rows.schema, batch_id)
-        panes = batch.select(*keys, rv.pane_end(F.col(ts), int(range_us), int(step_us)).alias("pane")).distinct()
-        touched = panes.select(*keys, F.explode(rv.steps_of("pane", range_us, step_us)).alias("step_us")).distinct()
-        days = touched.select(*keys, F.explode(F.sequence(
-            whole_div(F.col("step_us") - F.lit(int(range_us)), DAY), whole_div(F.col("step_us"), DAY))).alias("day")).distinct()
-        near = _same(stored, days, [*keys, "day"])
-        windows = rv.increase(near, range_us, step_us, value, keys, ts=ts, tie=tie)
-        write_batch(_same(windows, touched, [*keys, "step_us"]), f"{out}/windows", batch_id)
-        if keep_days is not None:
-            trim_days(spark, f"{out}/samples", keep_days)
-
-    run_available(stream, handle, checkpoint)
-
-
-def _same(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys are wanted; a NULL key is a key."""
-    a, b = rows.alias("a"), wanted.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return a.join(b, on, "left_semi")
-
-
-def read_increase(spark: SparkSession, out: str, keys=("instance", "op")) -> DataFrame:
-    return latest(spark, f"{out}/windows", [*keys, "step_us"])
+                   keys=("instance", "op"), ts="ts_us", tie="event_id", bucket_us: int = HOUR, keep_us: int = 60 * DAY) -> None:
+    """Changes of the panes of ``wn_increase`` under ``out`` as samples of whole numbers come in, up to ``keep_us`` late.
+
+    A sample changes its own pane and what leads to the next one, however many windows hold them."""
+    fold = folds.pane_fold(int(range_us), int(step_us), bucket_us, value, ts, tie)
+    folds.follow_changes(folds.changes(stream, fold, list(keys), bucket_us, keep_us), f"{out}/changes", checkpoint)
+
+
+def read_increase(spark: SparkSession, out: str, range_us: int, step_us: int, keys=("instance", "op")) -> DataFrame:
+    """Windows from the panes as they stand."""
+    panes = folds.standing(spark.read.parquet(f"{out}/changes"), list(keys), ("pane_us", "n", "inc0", "edge0"))
+    return rv.windows_of(panes, int(range_us), int(step_us), list(keys)).select(*keys, "step_us", "inc0", "n").withColumnRenamed("inc0", "inc")
 
 
 def alert_states(stream: DataFrame, out: str, checkpoint: str, for_us: int, keys=("instance",), ts="ts_us", tie="event_id",

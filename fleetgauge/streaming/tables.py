@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -34,57 +33,6 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def previous_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What the batch before wrote; NULL in the first batch."""
-    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id > 0 else None
-
-
-def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Remove a state table no batch can need again (only the last batch is ever run twice)."""
-    if batch_id >= 0:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each row of an upsert table."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys and c != "batch"]
-    newest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("r"))
-    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
-
-
-def write_days(rows: DataFrame, path: str, batch_id: int) -> None:
-    """A batch's rows under (day, batch); a repeated batch replaces its own."""
-    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
-
-
-def read_days(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows of all batches up to this one."""
-    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(whole).parquet(path).where(F.col("batch") <= batch_id).drop("batch")
-
-
-def trim_days(spark: SparkSession, path: str, keep_days: int) -> None:
-    """Remove the folders of days that are ``keep_days`` or more older than the newest."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {s.getPath().getName(): s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("day=")}
-    days = sorted(int(n[4:]) for n in found if n[4:].lstrip("-").isdigit())
-    for day in days:
-        if day <= days[-1] - keep_days:
-            fs.delete(found[f"day={day}"], True)
-
-
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The table as the last finished batch wrote it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/batch={max(done)}")
-
-
 def added_up(spark: SparkSession, path: str, keys: list[str], totals: dict) -> DataFrame:
     """A table of partial aggregates, one part per batch, aggregated again."""
     return spark.read.parquet(path).groupBy(*keys).agg(*[e.alias(c) for c, e in totals.items()])

@@ -205,10 +205,10 @@ def test_streams_take_late_and_empty_input(spark, tmp_path):
     same(stateful.read_episodes(spark, out), alerts.alert_episodes(whole, 8 * MINUTE))
     out = str(tmp_path / "thin")
     stateful.sample_thinning(in_files(spark, evals, kind, f"{out}-in", 4), out, f"{out}/checkpoint", 30 * MINUTE, **names)
-    same(stateful.read_kept(spark, out), thinning.due_thinning(whole, 30 * MINUTE, ["instance"]))
+    same(stateful.read_kept(spark, out, ["instance"]), thinning.due_thinning(whole, 30 * MINUTE, ["instance"]))
     out = str(tmp_path / "inc")
     stateful.range_increase(in_files(spark, evals, kind, f"{out}-in", 4), out, f"{out}/checkpoint", HOUR, 20 * MINUTE, **names)
-    same(stateful.read_increase(spark, out, ["instance"]), rangevec.increase(whole, HOUR, 20 * MINUTE, keys=["instance"]))
+    same(stateful.read_increase(spark, out, HOUR, 20 * MINUTE, ["instance"]), rangevec.increase(whole, HOUR, 20 * MINUTE, keys=["instance"]))
 
 
 def test_thinning_folds_little_of_an_even_series(spark, monkeypatch):
