@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetgauge.constants import RESOLVE_TIMEOUT_US
 from fleetgauge.functions.scan import lag, last_seen, ordered_scan, running_max, running_sum
-from fleetgauge.functions.text import once
 from fleetgauge.operators.intervals import FOREVER, minus
+from fleetgauge.workdir import settled
 
 
 def alert_episodes(evals: DataFrame, for_us: int, keep_us: int = 0, keys=("instance",), ts="ts_us", tie="event_id") -> DataFrame:
@@ -77,9 +77,9 @@ def alert_inhibit(alerts: DataFrame, source="critical", target="warning", equal=
     A target comes out as the parts of its time that no source covers: none, one or several rows.
     """
     equal = list(equal)
-    # told apart behind a generator: no part pushes its own filter into the rule evaluation, so all share it
+    # alerts are few beside the evaluations they come from; written once, the rule is not evaluated for every use
     role = F.when(F.col("severity") == source, 1).when(F.col("severity") == target, 2).otherwise(0)
-    spans = once(_spans(alerts).withColumn("_open", F.lit(FOREVER)), {"_role": role})
+    spans = settled(_spans(alerts).withColumns({"_open": F.lit(FOREVER), "_role": role}))
     left = minus(spans.where("_role = 2").drop("_role"), spans.where("_role = 1").select(*equal, "s", "e"), equal)
     return _parts(left, alerts.columns).unionByName(spans.where("_role <> 2").select(*alerts.columns))
 

@@ -20,8 +20,10 @@ def labelled(rows: DataFrame, name: str, labels: list[str]) -> DataFrame:
 
 
 def target_labels(samples: DataFrame, targets: DataFrame) -> DataFrame:
-    """Attach pod and namespace of the scrape target; Spark broadcasts the targets when small enough."""
-    return samples.join(targets.select("job", "instance", "pod", "namespace"), ["job", "instance"])
+    """Attach pod and namespace of the scrape target, empty for a target that is not listed; Spark broadcasts the
+    targets when small enough."""
+    known = targets.select("job", "instance", "pod", "namespace")
+    return samples.join(known, ["job", "instance"], "left").fillna("", ["pod", "namespace"])
 
 
 def label_values(samples: DataFrame, label: str) -> DataFrame:

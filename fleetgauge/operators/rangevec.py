@@ -38,31 +38,25 @@ def pane_end(ts: Column, range_us: int, step_us: int, chunk_us: int | None = Non
     return F.least(*ends) if len(ends) > 1 else ends[0]
 
 
-def steps_of(end: str, range_us: int, step_us: int) -> Column:
-    """The evaluation steps whose window holds the pane that ends at ``end``."""
-    return _grid(F.col(end), F.col(end) + F.lit(int(range_us) - 1), step_us)
-
-
-def _grid(low: Column, high: Column, step_us: int) -> Column:
-    """The steps from ``low`` to ``high``."""
-    first = ceil_to(low, step_us)
-    return F.when(first <= high, F.sequence(first, high, F.lit(int(step_us))))
+def _from_to(low: Column, high: Column, step_us: int) -> Column:
+    """The first step from ``low`` on, and ``high``."""
+    return F.struct(ceil_to(low, step_us).alias("low"), high.alias("high"))
 
 
 def ended_by(end: str, after: Column, range_us: int, step_us: int) -> Column:
     """The steps whose window has the pane that ends at ``end`` as its last; ``after`` is the end of the next pane."""
-    return _grid(F.col(end), F.least(F.col(end) + F.lit(int(range_us) - 1), after - 1), step_us)
+    return _from_to(F.col(end), F.least(F.col(end) + F.lit(int(range_us) - 1), after - 1), step_us)
 
 
 def begun_by(end: str, before: Column, range_us: int, step_us: int) -> Column:
     """The steps whose window has the pane that ends at ``end`` as its first; ``before`` is the end of the pane before."""
-    return _grid(F.greatest(F.col(end), before + F.lit(int(range_us))), F.col(end) + F.lit(int(range_us) - 1), step_us)
+    return _from_to(F.greatest(F.col(end), before + F.lit(int(range_us))), F.col(end) + F.lit(int(range_us) - 1), step_us)
 
 
-def _marked(steps: Column, last: bool) -> Column:
-    """The steps with the side of their window that a pane is."""
-    steps = F.coalesce(steps, F.array().cast("array<bigint>"))
-    return F.transform(steps, lambda t: F.struct(t.alias("step_us"), F.lit(last).alias("last")))
+def _steps(rows: DataFrame, steps: str, step_us: int) -> DataFrame:
+    """A row for each step of the struct ``steps``, as ``step_us``."""
+    low, high = F.col(f"{steps}.low"), F.col(f"{steps}.high")
+    return rows.where(low <= high).withColumn("step_us", F.explode(F.sequence(low, high, F.lit(int(step_us)))))
 
 
 def counter_panes(samples: DataFrame, keys, values, range_us, step_us, ts="ts_us", tie="event_id") -> DataFrame:
@@ -109,13 +103,13 @@ def windows_of(panes: DataFrame, range_us: int, step_us: int, keys, count: int =
         "before_us": F.lag("pane_us").over(series), "after_us": F.lead("pane_us").over(series), "upto_n": F.sum("n").over(series),
         **{f"upto{i}": F.sum(F.col(f"inc{i}") + F.col(f"edge{i}")).over(series) for i in n},
     })
-    ends = _marked(ended_by("pane_us", F.col("after_us"), range_us, step_us), True)
-    begins = _marked(begun_by("pane_us", F.col("before_us"), range_us, step_us), False)
-    placed = panes.withColumn("at", F.explode(F.concat(ends, begins)))
+    sides = [F.struct(steps.alias("steps"), F.lit(is_last).alias("last")) for steps, is_last in (
+        (ended_by("pane_us", F.col("after_us"), range_us, step_us), True), (begun_by("pane_us", F.col("before_us"), range_us, step_us), False))]
+    placed = _steps(panes.withColumn("at", F.explode(F.array(*sides))), "at.steps", step_us)
     last = F.col("at.last")
     # what runs up to the last pane, less what runs up to the first sample of the first one
     placed = placed.select(
-        *keys, F.col("at.step_us").alias("step_us"), F.when(last, F.col("upto_n")).otherwise(F.col("n") - F.col("upto_n")).alias("n"),
+        *keys, "step_us", F.when(last, F.col("upto_n")).otherwise(F.col("n") - F.col("upto_n")).alias("n"),
         *[F.when(last, F.col(f"upto{i}")).otherwise(F.col(f"inc{i}") - F.col(f"upto{i}")).alias(f"inc{i}") for i in n],
         *[F.when(~last, F.col(c)).alias(c) for c in firsts], *[F.when(last, F.col(c)).alias(c) for c in lasts],
     )
@@ -223,7 +217,8 @@ def instant(samples, step_us, lookback_us, value="value", keys=KEYS, ts="ts_us",
     panes = instant_panes(samples, keys, value, int(lookback_us), int(step_us), ts, tie)
     after = F.lead("pane_us").over(Window.partitionBy(*keys).orderBy("pane_us"))
     steps = ended_by("pane_us", F.col("after_us"), int(lookback_us), int(step_us))
-    return panes.withColumn("after_us", after).select(*keys, F.explode(steps).alias("step_us"), F.col("s.v").alias("value"))
+    placed = _steps(panes.withColumn("after_us", after).withColumn("at", steps), "at", int(step_us))
+    return placed.select(*keys, "step_us", F.col("s.v").alias("value"))
 
 
 def no_data(samples, from_us, to_us, step_us, lookback_us, keys=KEYS, ts="ts_us") -> DataFrame:

@@ -219,7 +219,20 @@ def flt_prefix_rules(spark, sf):
     return rows.select("event_id", no.stat_key().alias("key"))
 
 
-@job("flt_facility", "SELECT event_id, facility, stat FROM stats WHERE lower(facility) <> 'brand#7'", "stats")
+# The rules are as many as there are part types: the excludes are the types' first words under one brand.
+@job("flt_prefix_rule_table", f"""
+    SELECT event_id, {KEY} AS key FROM stats WHERE {NAMED} AND (
+      EXISTS (SELECT 1 FROM part WHERE p_size = 7 AND starts_with({KEY}, lower(concat(p_brand, '.eco'))))
+      OR NOT EXISTS (SELECT 1 FROM part WHERE starts_with({KEY}, lower(concat(p_brand, '.', substr(p_type, 1, CAST(p_size % 3 + 2 AS INT)))))))""", "stats")
+def flt_prefix_rule_table(spark, sf):
+    part = v.table(spark, sf, "part")
+    exclude = part.select(F.expr("lower(concat(p_brand, '.', substring(p_type, 1, p_size % 3 + 2)))").alias("prefix"))
+    include = part.where("p_size = 7").select(F.expr("lower(concat(p_brand, '.eco'))").alias("prefix"))
+    rows = fl.prefix_rules(v.stats(spark, sf).where(NAMED), include, exclude)
+    return rows.select("event_id", no.stat_key().alias("key"))
+
+
+@job("flt_facility", "SELECT event_id, facility, stat FROM stats WHERE lower(facility) IS DISTINCT FROM 'brand#7'", "stats")
 def flt_facility(spark, sf):
     return fl.drop_facility(v.stats(spark, sf), "BRAND#7").select("event_id", "facility", "stat")
 
@@ -237,21 +250,29 @@ def flt_invalid_split(spark, sf):
     return fl.verdicts(rows).select("event_id", "verdict")
 
 
-def _samples(spark, sf, labels=("job", "instance", "op")):
-    return lb.labelled(v.gauges(spark, sf), f"{HEALTH_PREFIX}_response_ms", list(labels))
+ZONE = "CASE WHEN event_id % 4 <> 0 THEN concat('z', event_id % 3) END"  # some samples have no such label
+
+
+def _samples(spark, sf):
+    rows = v.gauges(spark, sf).withColumn("zone", F.expr(ZONE))
+    return lb.labelled(rows, f"{HEALTH_PREFIX}_response_ms", ["job", "instance", "op", "zone"])
 
 
 @job("flt_label_match", f"""
     SELECT event_id, concat('{HEALTH_PREFIX}_response_ms{{instance="', instance, '", job="', job, '", op="', op, '"}}') AS series_key, value
-    FROM gauges WHERE instance = 'srv2' AND op = 'click' AND job = '{v.JOB}'""", "gauges")
+    FROM gauges WHERE instance = 'srv2' AND op = 'click' AND job = '{v.JOB}' AND coalesce({ZONE}, '') = ''""", "gauges")
 def flt_label_match(spark, sf):
-    out = fl.label_match(_samples(spark, sf), {"instance": "srv2", "job": v.JOB, "op": "click"})
+    out = fl.label_match(_samples(spark, sf), {"instance": "srv2", "job": v.JOB, "op": "click", "zone": ""})
     return out.select("event_id", "series_key", "value")
 
 
-@job("flt_label_regex", "SELECT event_id, op, value FROM gauges WHERE regexp_full_match(op, 'c.*|sign')", "gauges")
+@job("flt_label_regex", f"""
+    SELECT event_id, op, {ZONE} AS zone, value FROM gauges
+    WHERE regexp_full_match(op, 'c.*|sign') AND regexp_full_match(coalesce({ZONE}, ''), 'z1|') AND {ZONE} IS DISTINCT FROM 'z2'""", "gauges")
 def flt_label_regex(spark, sf):
-    return fl.label_regex(_samples(spark, sf), "op", "c.*|sign").select("event_id", "op", "value")
+    samples = _samples(spark, sf)
+    matchers = [("op", "=~", "c.*|sign"), ("zone", "=~", "z1|"), ("zone", "!=", "z2")]
+    return fl.select_series(samples, fl.series_of(samples), matchers).select("event_id", "op", "zone", "value")
 
 
 @job("flt_value_threshold", "SELECT event_id, instance, value FROM gauges WHERE value > 100000", "gauges")
@@ -275,9 +296,11 @@ def jn_description(spark, sf):
     return no.described(v.stats(spark, sf).where(NAMED), helps).select("event_id", "key", "help")
 
 
-@job("jn_target_labels", "SELECT event_id, instance, job, op, value, pod, namespace FROM gauges JOIN targets USING (job, instance)", "gauges targets")
+@job("jn_target_labels", """
+    SELECT event_id, instance, job, op, value, coalesce(pod, '') AS pod, coalesce(namespace, '') AS namespace
+    FROM gauges LEFT JOIN (SELECT * FROM targets WHERE instance <> 'srv3') USING (job, instance)""", "gauges targets")
 def jn_target_labels(spark, sf):
-    out = lb.target_labels(v.gauges(spark, sf), v.targets(spark, sf))
+    out = lb.target_labels(v.gauges(spark, sf), v.targets(spark, sf).where("instance <> 'srv3'"))  # one is not listed
     return out.select("event_id", "instance", "job", "op", "value", "pod", "namespace")
 
 

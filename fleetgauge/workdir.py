@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder: what uses them more than once doesn't work them out again."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder under the shared one."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

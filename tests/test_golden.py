@@ -188,8 +188,51 @@ def test_prefix_rules(spark):
     want = ["Platform.Network.Total.x", "Server.Users", "traveler.push.x"]
     assert kept(filters.prefix_rules(rows)) == want
     from fleetgauge.constants import DEFAULT_EXCLUDES, DEFAULT_INCLUDES
-    many = DEFAULT_EXCLUDES + [f"nothing{i}." for i in range(300)]
-    assert kept(filters.prefix_rules(rows, DEFAULT_INCLUDES, many)) == want
+    sizes = []
+    for n in (300, 10_000):  # the plan doesn't grow with the rules
+        many = spark.createDataFrame([(p,) for p in DEFAULT_EXCLUDES] + [(f"nothing{i:05d}.",) for i in range(n)] + [(None,)], "prefix string")
+        found = filters.prefix_rules(rows, DEFAULT_INCLUDES, many)
+        assert kept(found) == want
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200
+    assert kept(filters.prefix_rules(rows, DEFAULT_INCLUDES, DEFAULT_EXCLUDES + [f"nothing{i}." for i in range(300)])) == want
+    none = spark.createDataFrame([], "prefix string")
+    assert len(kept(filters.prefix_rules(rows, none, none))) == 5
+    assert kept(filters.prefix_rules(rows, none, spark.createDataFrame([("",)], "prefix string"))) == []
+
+
+def test_missing_labels_are_empty(spark):
+    rows = spark.createDataFrame([(1, {"op": "x"}), (2, {}), (3, {"op": "x\n"}), (4, {"op": ""})], "i int, labels map<string,string>")
+    rows = rows.withColumn("series_key", F.to_json("labels"))
+
+    def ids(df):
+        return sorted(r["i"] for r in df.collect())
+
+    assert ids(filters.label_match(rows, {"op": ""})) == [2, 4] and ids(filters.label_match(rows, {"op": "x"})) == [1]
+    assert ids(filters.label_regex(rows, "op", ".*")) == [1, 2, 3, 4] and ids(filters.label_regex(rows, "op", "x")) == [1]
+    series = filters.series_of(rows)
+    for matcher, want in ((("op", "=", ""), [2, 4]), (("op", "!=", "x"), [2, 3, 4]), (("op", "=~", "x|"), [1, 2, 4]), (("op", "!~", "x.*"), [2, 4])):
+        assert ids(filters.select_series(rows, series, [matcher])) == want, matcher
+    assert ids(filters.select_series(rows, series, [])) == [1, 2, 3, 4]
+
+
+def test_matchers_run_once_a_series(spark):
+    """A thousand samples of three series: the regular expression sees three rows."""
+    rows = spark.range(1000).select(F.col("id"), F.create_map(F.lit("op"), F.concat(F.lit("o"), F.col("id") % 3)).alias("labels"))
+    rows = rows.withColumn("series_key", F.col("labels")["op"])
+    out = filters.select_series(rows, filters.series_of(rows), [("op", "=~", "o[12]")])
+    assert out.count() == 666
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    match, aggregate = (next(i for i, line in enumerate(plan) if x in line) for x in ("RLIKE", "Aggregate"))
+    assert match < aggregate  # above the aggregate: after it
+
+
+def test_rows_without_facility_or_target_stay(spark):
+    rows = spark.createDataFrame([(1, "Own"), (2, "Other"), (3, None)], "i int, facility string")
+    assert sorted(r["i"] for r in filters.drop_facility(rows, "OWN").collect()) == [2, 3]
+    samples = spark.createDataFrame([("j", "a"), ("j", "b")], "job string, instance string")
+    targets = spark.createDataFrame([("j", "a", "p", "n")], "job string, instance string, pod string, namespace string")
+    assert sorted(map(tuple, labels.target_labels(samples, targets).collect())) == [("j", "a", "p", "n"), ("j", "b", "", "")]
 
 
 def test_first_wins(spark):
