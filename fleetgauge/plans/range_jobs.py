@@ -11,19 +11,18 @@ from fleetgauge.plans import views as v
 from fleetgauge.plans.registry import job
 
 RANGE, STEP = DAY, 6 * HOUR
-K = RANGE // STEP
 
 
-def windows_sql(range_us: int, step_us: int) -> dict[str, str]:
-    k = range_us // step_us
+def windows_sql(range_us: int, step_us: int | str, beside: str = "") -> dict[str, str]:
+    """``step_us`` may be a column of the view ``beside``."""
     order = "PARTITION BY instance, op ORDER BY ts_us, event_id"
     return {
         "pairs": f"""SELECT *, lag(count_total) OVER w AS pc, lag(ms_total) OVER w AS pm, lag(ts_us) OVER w AS pt
                      FROM counters WINDOW w AS ({order})""",
         "deltas": """SELECT *, CASE WHEN pc IS NULL THEN 0 WHEN count_total < pc THEN count_total ELSE count_total - pc END AS dc,
                        CASE WHEN pm IS NULL THEN 0 WHEN ms_total < pm THEN ms_total ELSE ms_total - pm END AS dm FROM pairs""",
-        "placed": f"""SELECT *, unnest([((ts_us + {step_us} - 1) // {step_us}) * {step_us} + i * {step_us}
-                        FOR i IN range({k})]) AS step_us FROM deltas""",
+        "placed": f"""SELECT deltas.*, unnest(range(((ts_us + {step_us} - 1) // {step_us}) * {step_us}, ts_us + {range_us}, {step_us})) AS step_us
+                      FROM deltas{beside}""",
         "w": """SELECT instance, op, step_us, CAST(sum(dc) - min_by(dc, ts_us) AS BIGINT) AS inc,
                   CAST(sum(dm) - min_by(dm, ts_us) AS BIGINT) AS inc_ms, count(*) AS n,
                   min(ts_us) AS first_ts, max(ts_us) AS last_ts, min_by(count_total, ts_us) AS first_v,
@@ -85,12 +84,12 @@ def ag_avg_response(spark, sf):
 
 ASKED_STEP = 1 * MINUTE
 LIMIT = 480
-LIMITED = rv.bounded_step(v.FROM_US, v.TO_US, ASKED_STEP, LIMIT)
-assert LIMITED == 90 * MINUTE and rv.bounded_step(v.FROM_US, v.TO_US, ASKED_STEP, MAX_POINTS) == MINUTE
+assert rv.bounded_step(0, 30 * DAY, ASKED_STEP, LIMIT) == 90 * MINUTE and rv.bounded_step(0, 30 * DAY, ASKED_STEP, MAX_POINTS) == MINUTE
+LIMITED = {"grid": f"SELECT greatest({ASKED_STEP}, (high - low + {LIMIT - 1}) // {LIMIT}) AS step FROM extent"}
 
 
-@job("li_max_points", f"SELECT instance, op, step_us, inc, n FROM w WHERE step_us BETWEEN {v.FROM_US} AND {v.TO_US}",
-     "counters", windows_sql(9 * HOUR, LIMITED))
+@job("li_max_points", "SELECT instance, op, step_us, inc, n FROM w WHERE step_us BETWEEN (SELECT low FROM extent) AND (SELECT high FROM extent)",
+     "counters extent", LIMITED | windows_sql(9 * HOUR, "step", ", grid"))
 def li_max_points(spark, sf):
     low, high = v.extent(spark, sf)
     out = rv.increase(v.counters(spark, sf), 9 * HOUR, rv.bounded_step(low, high, ASKED_STEP, LIMIT))
@@ -112,8 +111,8 @@ def jn_instant_asof(spark, sf):
 
 @job("wn_alert_nodata", f"""
     SELECT s.instance, s.op, g.step_us FROM (SELECT DISTINCT instance, op FROM gauges) s
-    CROSS JOIN (SELECT unnest(range({v.FROM_US}, {v.TO_US} + 1, {GRID})) AS step_us) g
-    ANTI JOIN covered c ON c.instance = s.instance AND c.op = s.op AND c.step_us = g.step_us""", "gauges", INSTANT)
+    CROSS JOIN (SELECT unnest(range(low, high + 1, {GRID})) AS step_us FROM extent) g
+    ANTI JOIN covered c ON c.instance = s.instance AND c.op = s.op AND c.step_us = g.step_us""", "gauges extent", INSTANT)
 def wn_alert_nodata(spark, sf):
     return rv.no_data(v.gauges(spark, sf), *v.extent(spark, sf), GRID, LOOKBACK)
 

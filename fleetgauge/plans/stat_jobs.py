@@ -51,7 +51,7 @@ def src_stat_catalog(spark, sf):
 
 
 EVERY = 6 * HOUR
-SCANS = {"scans": f"SELECT unnest(range({v.FROM_US}, {v.TO_US} + 1, {EVERY})) AS scan_us"}
+SCANS = {"scans": f"SELECT unnest(range(low, high + 1, {EVERY})) AS scan_us FROM extent"}
 PENDING = f"""FROM scans CROSS JOIN (SELECT DISTINCT instance FROM mail) i LEFT JOIN mail ON mail.instance = i.instance AND delivery_priority <> 'L' AND NOT has_send_at
     AND added_us <= scan_us - {MAIL_MIN_WAIT_US} AND added_us >= scan_us - {MAIL_LOOKBACK_US}"""
 
@@ -74,7 +74,7 @@ def flt_mail_pending(spark, sf):
     SELECT instance, scan_us, count(*) FILTER (wait_s < 300) AS lt_5m, count(*) FILTER (wait_s >= 300 AND wait_s < 900) AS m5_15,
       count(*) FILTER (wait_s >= 900 AND wait_s < 3600) AS m15_60, count(*) FILTER (wait_s >= 3600) AS ge_60m, count(wait_s) AS n,
       CAST(coalesce(sum(wait_s) // nullif(count(wait_s), 0), 0) AS BIGINT) AS avg_s, CAST(0 AS BIGINT) AS errors
-    FROM (SELECT i.instance, scan_us, (scan_us - added_us) // 1000000 AS wait_s {PENDING}) GROUP BY ALL""", "mail", SCANS)
+    FROM (SELECT i.instance, scan_us, (scan_us - added_us) // 1000000 AS wait_s {PENDING}) GROUP BY ALL""", "mail extent", SCANS)
 def ag_mail_age_buckets(spark, sf):
     return mb.age_buckets(v.mail(spark, sf), *v.extent(spark, sf), EVERY)
 

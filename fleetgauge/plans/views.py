@@ -52,11 +52,9 @@ def timed(rows: DataFrame) -> DataFrame:
 
 
 def extent(spark, sf) -> tuple[int, int]:
-    """The days of the events, midnight to midnight, and at least the range given above."""
+    """The days of the events, midnight to midnight; of no events, the first day of all."""
     first, last = table(spark, sf, "events").select(epoch_us("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
-    if first is None:
-        return FROM_US, TO_US
-    return min(FROM_US, first // DAY * DAY), max(TO_US, (last // DAY + 1) * DAY)
+    return (0, DAY) if first is None else (first // DAY * DAY, (last // DAY + 1) * DAY)
 
 
 def counters(spark, sf) -> DataFrame:
@@ -313,6 +311,8 @@ _NAMES = ["LastBackup.DB.Status", "LastBackup.TL.Status", "LastBackup.TL.LastLog
 
 # name -> (views it needs, SQL)
 SQL_VIEWS: dict[str, tuple[list[str], str]] = {
+    "extent": ([], f"""
+        SELECT epoch_us(min(ts)) // {DAY} * {DAY} AS low, (epoch_us(max(ts)) // {DAY} + 1) * {DAY} AS high FROM events"""),
     "counters": ([], f"""
         SELECT event_id, '{JOB}' AS job, {_SRV} AS instance, event_type AS op, epoch_us(ts) AS ts_us,
           CAST(row_number() OVER w AS BIGINT) AS count_total,
