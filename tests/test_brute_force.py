@@ -250,3 +250,31 @@ def test_task_functions_travel_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_windows_take_two_rows_a_step(spark, monkeypatch):
+    """Thirty days by a minute: 43,200 steps a sample, yet each step has two rows, and the sums are right."""
+    rng = random.Random(4)
+    times = sorted(rng.sample(range(0, 3 * 1440 * 60), 25))
+    rows = [("a", "x", i, t * SECOND, rng.randrange(100)) for i, t in enumerate(times)]
+    placed, plain = [], rangevec._steps
+
+    def kept(*args):
+        placed.append(plain(*args))
+        return placed[-1]
+
+    monkeypatch.setattr(rangevec, "_steps", kept)
+    span, step = 30 * 1440 * MINUTE, MINUTE
+    df = spark.createDataFrame(rows, "instance string, op string, event_id long, ts_us long, count_total long")
+    got = {r["step_us"]: (r["inc"], r["n"]) for r in rangevec.increase(df, span, step).collect()}
+    steps = placed[0].select("step_us").distinct().count()
+    assert placed[0].count() == 2 * steps
+    deltas = [0] + [b[4] if b[4] < a[4] else b[4] - a[4] for a, b in zip(rows, rows[1:])]
+    want = {}
+    for t in range(-(-rows[0][3] // step) * step, rows[-1][3] + span, step):
+        inside = [i for i, r in enumerate(rows) if t - span < r[3] <= t]
+        if len(inside) > 1:
+            want[t] = (sum(deltas[i] for i in inside[1:]), len(inside))
+    assert got == want
+    value = {r["step_us"]: r["value"] for r in rangevec.instant(df, step, span, value="count_total").collect()}
+    assert all(value[t] == next(r[4] for r in reversed(rows) if r[3] <= t) for t in want)
