@@ -69,15 +69,50 @@ def retention(
     return days.withColumn("keep", young & fits)
 
 
-def latest_state(updates: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Current value per (package, name): the last update counts, a NULL value deletes the name,
-    and a package delete removes everything the package got up to then.
+KEY = ("package", "name")
 
-    ``updates``: package, name, value, ts_us, event_id. ``deletes``: package, ts_us, event_id.
-    """
-    at = F.struct("ts_us", "event_id")
-    last = updates.groupBy("package", "name").agg(F.max(F.struct("ts_us", "event_id", "value")).alias("u"))
-    wiped = deletes.groupBy("package").agg(F.max(at).alias("d"))
-    rows = last.join(wiped, "package", "left")
+
+def last_updates(updates: DataFrame) -> DataFrame:
+    """The last update of each (package, name) as ``u`` (ts_us, event_id, value); a NULL value is kept, as a delete."""
+    return updates.groupBy(*KEY).agg(F.max(F.struct("ts_us", "event_id", "value")).alias("u"))
+
+
+def current(state: DataFrame, deletes: DataFrame) -> DataFrame:
+    """package, name, value as they stand: a NULL value deletes the name, and a package delete (package, ts_us,
+    event_id) removes everything the package got up to then."""
+    wiped = deletes.groupBy("package").agg(F.max(F.struct("ts_us", "event_id")).alias("d"))
+    rows = state.join(wiped, "package", "left")
     alive = F.col("d").isNull() | (F.struct("u.ts_us", "u.event_id") > F.col("d"))
-    return rows.where(alive & F.col("u.value").isNotNull()).select("package", "name", "u.value")
+    return rows.where(alive & F.col("u.value").isNotNull()).select(*KEY, "u.value")
+
+
+def latest_state(updates: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Current value per (package, name) from all updates (package, name, value, ts_us, event_id) and package deletes."""
+    return current(last_updates(updates), deletes)
+
+
+def _bucketed(rows: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The rows as a table in buckets of their key ``k``, which is never NULL (a null-safe join would not keep them)."""
+    if "k" not in rows.columns:
+        rows = rows.withColumn("k", F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}))
+    rows.write.bucketBy(buckets, "k").sortBy("k").option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def start_state(updates: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """The state after a first batch of updates, as a table bucketed by its key under ``path``."""
+    return _bucketed(last_updates(updates), table, path, buckets)
+
+
+def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State and last updates of a batch, both in buckets: the later update of each key."""
+    rows = state.alias("a").join(batch.alias("b"), "k", "full")
+    here = F.col("a.u").isNotNull()
+    return rows.select("k", *[F.when(here, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in KEY], F.greatest("a.u", "b.u").alias("u"))
+
+
+def upsert(state: DataFrame, updates: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """The state after one more batch, as a new table. Only the batch is shuffled, to the buckets of the state; the two
+    meet bucket by bucket, and the result is in its buckets already. Updates may come late: the later one stays."""
+    batch = _bucketed(last_updates(updates), f"{table}_batch", f"{path}_batch", buckets)
+    return _bucketed(merged(state, batch), table, path, buckets)

@@ -180,20 +180,39 @@ def snk_retention(spark, sf):
     return st.retention(sizes, v.TO_US // DAY, KEEP_DAYS, KEEP_BYTES)
 
 
-@job("snk_latest_state", """
+LATEST_SQL = """
     WITH u AS (SELECT concat(facility, '/', snapshot % 7) AS package, stat AS name, ts_us, event_id,
         CASE WHEN event_id % 11 <> 0 THEN value_milli END AS value, event_id % 50 = 3 AS wipe FROM stats WHERE facility IS NOT NULL),
       d AS (SELECT package, max(ts_us) AS ts_us FROM u WHERE wipe GROUP BY ALL)
     SELECT package, name, value FROM (SELECT * FROM u WHERE NOT wipe
       QUALIFY row_number() OVER (PARTITION BY package, name ORDER BY ts_us DESC, event_id DESC) = 1) l
-    LEFT JOIN d USING (package) WHERE value IS NOT NULL AND (d.ts_us IS NULL OR l.ts_us > d.ts_us)""".replace("WITH u", ", u", 1), "stats")
-def snk_latest_state(spark, sf):
+    LEFT JOIN d USING (package) WHERE value IS NOT NULL AND (d.ts_us IS NULL OR l.ts_us > d.ts_us)""".replace("WITH u", ", u", 1)
+
+
+def _updates(spark, sf):
+    """Updates and package deletes."""
     rows = v.stats(spark, sf).where("facility IS NOT NULL").select(
         F.concat("facility", F.lit("/"), (F.col("snapshot") % 7).cast("string")).alias("package"), F.col("stat").alias("name"),
         F.when(F.col("event_id") % 11 != 0, F.col("value_milli")).alias("value"), "ts_us", "event_id",
     )
     wipe = F.col("event_id") % 50 == 3
-    return st.latest_state(rows.where(~wipe), rows.where(wipe).select("package", "ts_us", "event_id"))
+    return rows.where(~wipe), rows.where(wipe).select("package", "ts_us", "event_id")
+
+
+@job("snk_latest_state", LATEST_SQL, "stats")
+def snk_latest_state(spark, sf):
+    return st.latest_state(*_updates(spark, sf))
+
+
+@job("snk_state_upsert", LATEST_SQL, "stats")
+def snk_state_upsert(spark, sf):
+    updates, deletes = _updates(spark, sf)
+    path = fresh_dir(spark, "state")
+    name, state = path.rsplit("/", 1)[-1].replace("-", "_"), None
+    for part in range(3):  # batches in no order of time
+        batch, table = updates.where(F.col("event_id") % 3 == part), f"{name}_{part}"
+        state = st.start_state(batch, table, f"{path}/{part}", 8) if state is None else st.upsert(state, batch, table, f"{path}/{part}", 8)
+    return st.current(state, deletes)
 
 
 THIN = 3 * HOUR
