@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import flat_bytes, slices, spread, text_or_empty
+from fleetgauge.llm.common import flat_bytes, offsets, slices, spread, text_or_empty
 from fleetgauge.llm.components import stored
 
 GRAM = 100  # bytes that windows of one anchor share
@@ -228,39 +228,59 @@ def _runs(rows: DataFrame, least: int, gram: int, with_place: bool) -> DataFrame
     return rows.select("key", "text").mapInArrow(run, schema)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of h as batches that end with a group, with the first row of each group (and the end)."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            h = batch.column("h").to_numpy()
+            edges = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1]), [len(h)]])
+            rest = batch.slice(edges[-2])  # may go on
+            if edges[-2]:
+                yield batch.slice(0, edges[-2]), edges[:-1]
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
 def _sorted(strings: DataFrame, least: int) -> DataFrame:
-    """Repeats inside distinct runs (h, run, n, s): h, run, start, end."""
+    """Repeats inside distinct runs (h, run, n, s): h, run, start, end.
+
+    A run that is alone in its group needs no sort: equal windows have their anchor at the same place in them, so two
+    in one run would begin at the same byte; it repeats whole if it has copies, else not at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size = 0
+
+        def told(part: pa.Table | pa.RecordBatch, rows, start, end) -> pa.RecordBatch:
+            own = part.select(["h", "run"]).take(pa.array(rows, pa.int64()))
+            columns = [own.column(c) for c in ("h", "run")]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["h", "run", "start", "end"])
 
         def done() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
             found = repeated_starts(whole.column("s").to_pylist(), whole.column("n").to_numpy(), least)
             out = [(i, a, b) for i, x in enumerate(found) for a, b in ranges(x, least)]
-            columns = np.array(out, np.int64).reshape(-1, 3).T
-            take = pa.array(np.ascontiguousarray(columns[0]))
-            part = whole.select(["h", "run"]).take(take).combine_chunks()
-            return pa.RecordBatch.from_arrays(
-                [part.column("h").combine_chunks(), part.column("run").combine_chunks(),
-                 pa.array(np.ascontiguousarray(columns[1])), pa.array(np.ascontiguousarray(columns[2]))],
-                names=["h", "run", "start", "end"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column("h").to_numpy()
-            edges = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1]), [len(h)]])
-            for a, b in zip(edges[:-1], edges[1:]):
-                if size > SORT_BYTES and h[a] != last:  # only between groups
+            return told(whole, *np.ascontiguousarray(np.array(out, np.int64).reshape(-1, 3).T))
+
+        for batch, edges in _whole_groups(batches):
+            count = np.diff(edges)
+            alone = edges[:-1][count == 1]
+            copied = alone[batch.column("n").to_numpy()[alone] > 1]
+            if len(copied):
+                length = np.diff(offsets(batch.column("s")))[copied]
+                yield told(batch, copied, np.zeros(len(copied), np.int64), length)
+            for a, b in zip(edges[:-1][count > 1], edges[1:][count > 1]):
+                if size > SORT_BYTES:  # only between groups
                     yield done()
                     held, size = [], 0
                 part = batch.slice(a, b - a)
                 held.append(part)
-                data, at = flat_bytes(part.column("s"))
-                size += int(at[-1])
-                last = h[a]
+                at = offsets(part.column("s"))
+                size += int(at[-1] - at[0])
         if held:
             yield done()
 
