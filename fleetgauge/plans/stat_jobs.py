@@ -253,16 +253,19 @@ def flt_invalid_split(spark, sf):
 ZONE = "CASE WHEN event_id % 4 <> 0 THEN concat('z', event_id % 3) END"  # some samples have no such label
 
 
-def _samples(spark, sf):
+def _samples(spark, sf, labels=("job", "instance", "op")):
     rows = v.gauges(spark, sf).withColumn("zone", F.expr(ZONE))
-    return lb.labelled(rows, f"{HEALTH_PREFIX}_response_ms", ["job", "instance", "op", "zone"])
+    return lb.labelled(rows, f"{HEALTH_PREFIX}_response_ms", list(labels))
+
+
+ZONED = ("job", "instance", "op", "zone")
 
 
 @job("flt_label_match", f"""
     SELECT event_id, concat('{HEALTH_PREFIX}_response_ms{{instance="', instance, '", job="', job, '", op="', op, '"}}') AS series_key, value
     FROM gauges WHERE instance = 'srv2' AND op = 'click' AND job = '{v.JOB}' AND coalesce({ZONE}, '') = ''""", "gauges")
 def flt_label_match(spark, sf):
-    out = fl.label_match(_samples(spark, sf), {"instance": "srv2", "job": v.JOB, "op": "click", "zone": ""})
+    out = fl.label_match(_samples(spark, sf, ZONED), {"instance": "srv2", "job": v.JOB, "op": "click", "zone": ""})
     return out.select("event_id", "series_key", "value")
 
 
@@ -270,7 +273,7 @@ def flt_label_match(spark, sf):
     SELECT event_id, op, {ZONE} AS zone, value FROM gauges
     WHERE regexp_full_match(op, 'c.*|sign') AND regexp_full_match(coalesce({ZONE}, ''), 'z1|') AND {ZONE} IS DISTINCT FROM 'z2'""", "gauges")
 def flt_label_regex(spark, sf):
-    samples = _samples(spark, sf)
+    samples = _samples(spark, sf, ZONED)
     matchers = [("op", "=~", "c.*|sign"), ("zone", "=~", "z1|"), ("zone", "!=", "z2")]
     return fl.select_series(samples, fl.series_of(samples), matchers).select("event_id", "op", "zone", "value")
 
