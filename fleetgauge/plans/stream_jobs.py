@@ -19,6 +19,9 @@ from fleetgauge.streaming import folds, ingest, stateful, tables
 from fleetgauge.workdir import fresh_dir
 
 
+SERIES = 8  # partitions of the state: the test tables have few series
+
+
 def shuffled(rows, path: str):
     """The rows as a stream of files in no time order, so that every batch brings late ones."""
     rows.repartition(4).write.parquet(path)
@@ -85,7 +88,7 @@ def st_snapshot_dedup(spark, sf):
     # a row without a name, two days on, closes the last snapshot
     beat = rows.agg((F.max("ts_us") + 2 * DAY).alias("ts_us")).select(*[F.col(c) if c == "ts_us" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
     beat.write.mode("append").parquet(src)
-    folds.follow_changes(ingest.first_of_snapshot(stream), f"{out}/table", f"{out}/checkpoint")
+    folds.follow_changes(ingest.first_of_snapshot(stream), f"{out}/table", f"{out}/checkpoint", SERIES)
     return ingest.firsts(spark, f"{out}/table")
 
 
@@ -93,14 +96,14 @@ def st_snapshot_dedup(spark, sf):
 def st_range_increase(spark, sf):
     src, out = fresh_dir(spark, "counters"), fresh_dir(spark, "increase")
     rows = v.counters(spark, sf).select("event_id", "instance", "op", "ts_us", "count_total")
-    stateful.range_increase(shuffled(rows, src), out, f"{out}/checkpoint", rj.RANGE, rj.STEP, bucket_us=DAY)
+    stateful.range_increase(shuffled(rows, src), out, f"{out}/checkpoint", rj.RANGE, rj.STEP, bucket_us=DAY, partitions=SERIES)
     return stateful.read_increase(spark, out, rj.RANGE, rj.STEP)
 
 
 @job("st_alert_state", sj.EPISODES_SQL, "evals", sj.EPISODES)
 def st_alert_state(spark, sf):
     src, out = fresh_dir(spark, "evals"), fresh_dir(spark, "episodes")
-    stateful.alert_states(shuffled(v.evals(spark, sf), src), out, f"{out}/checkpoint", sj.FOR_US, bucket_us=DAY)
+    stateful.alert_states(shuffled(v.evals(spark, sf), src), out, f"{out}/checkpoint", sj.FOR_US, bucket_us=DAY, partitions=SERIES)
     return stateful.read_episodes(spark, out)
 
 
@@ -108,5 +111,5 @@ def st_alert_state(spark, sf):
 def st_sample_thinning(spark, sf):
     src, out = fresh_dir(spark, "gauges"), fresh_dir(spark, "thinned")
     rows = v.gauges(spark, sf).select("event_id", "instance", "op", "ts_us")
-    stateful.sample_thinning(shuffled(rows, src), out, f"{out}/checkpoint", tj.THIN, bucket_us=DAY)
+    stateful.sample_thinning(shuffled(rows, src), out, f"{out}/checkpoint", tj.THIN, bucket_us=DAY, partitions=SERIES)
     return stateful.read_kept(spark, out)

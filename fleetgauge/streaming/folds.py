@@ -141,11 +141,14 @@ def changes(stream: DataFrame, fold: Fold, keys: list[str], bucket_us: int, keep
     return rows.groupBy(*keys).transformWithStateInPandas(FoldProcessor(fold, keys, bucket_us, keep_us), schema, "Append", "EventTime")
 
 
-def follow_changes(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the changes of all available input under ``path``, each once; gives the ended query."""
+def follow_changes(out: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> StreamingQuery:
+    """Append the changes of all available input under ``path``, each once; gives the ended query.
+
+    ``partitions`` of the state are fixed by the first run of a checkpoint (default: the session's shuffle partitions)."""
     conf = out.sparkSession.conf
-    before = {k: conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
+    wanted = ROCKSDB | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         conf.set(k, v)
     try:
         query = (out.writeStream.format("parquet").outputMode("append").option("path", path)

@@ -13,12 +13,13 @@ from fleetgauge.streaming import folds
 
 
 def range_increase(stream: DataFrame, out: str, checkpoint: str, range_us: int, step_us: int, value="count_total",
-                   keys=("instance", "op"), ts="ts_us", tie="event_id", bucket_us: int = HOUR, keep_us: int = 60 * DAY) -> None:
+                   keys=("instance", "op"), ts="ts_us", tie="event_id", bucket_us: int = HOUR, keep_us: int = 60 * DAY,
+                   partitions: int | None = None) -> None:
     """Changes of the panes of ``wn_increase`` under ``out`` as samples of whole numbers come in, up to ``keep_us`` late.
 
     A sample changes its own pane and what leads to the next one, however many windows hold them."""
     fold = folds.pane_fold(int(range_us), int(step_us), bucket_us, value, ts, tie)
-    folds.follow_changes(folds.changes(stream, fold, list(keys), bucket_us, keep_us), f"{out}/changes", checkpoint)
+    folds.follow_changes(folds.changes(stream, fold, list(keys), bucket_us, keep_us), f"{out}/changes", checkpoint, partitions)
 
 
 def read_increase(spark: SparkSession, out: str, range_us: int, step_us: int, keys=("instance", "op")) -> DataFrame:
@@ -28,10 +29,11 @@ def read_increase(spark: SparkSession, out: str, range_us: int, step_us: int, ke
 
 
 def alert_states(stream: DataFrame, out: str, checkpoint: str, for_us: int, keys=("instance",), ts="ts_us", tie="event_id",
-                 bucket_us: int = HOUR, keep_us: int = 60 * DAY) -> None:
+                 bucket_us: int = HOUR, keep_us: int = 60 * DAY,
+                   partitions: int | None = None) -> None:
     """Changes of alert episodes under ``out`` as evaluations come in, in any order, up to ``keep_us`` late."""
     found = folds.changes(stream, folds.alert_fold(for_us, ts, tie), list(keys), bucket_us, keep_us)
-    folds.follow_changes(found, f"{out}/changes", checkpoint)
+    folds.follow_changes(found, f"{out}/changes", checkpoint, partitions)
 
 
 def read_episodes(spark: SparkSession, out: str, keys=("instance",)) -> DataFrame:
@@ -39,10 +41,11 @@ def read_episodes(spark: SparkSession, out: str, keys=("instance",)) -> DataFram
 
 
 def sample_thinning(stream: DataFrame, out: str, checkpoint: str, interval_us: int, keys=("instance", "op"),
-                    ts="ts_us", tie="event_id", bucket_us: int = 6 * HOUR, keep_us: int = 60 * DAY) -> None:
+                    ts="ts_us", tie="event_id", bucket_us: int = 6 * HOUR, keep_us: int = 60 * DAY,
+                   partitions: int | None = None) -> None:
     """Changes of the kept samples under ``out`` as samples come in, in any order, up to ``keep_us`` late."""
     found = folds.changes(stream, folds.thinning_fold(interval_us, ts, tie), list(keys), bucket_us, keep_us)
-    folds.follow_changes(found, f"{out}/changes", checkpoint)
+    folds.follow_changes(found, f"{out}/changes", checkpoint, partitions)
 
 
 def read_kept(spark: SparkSession, out: str, keys=("instance", "op"), ts="ts_us", tie="event_id") -> DataFrame:
