@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetgauge.constants import DAY, HOUR, TRANS_PREFIX
 from fleetgauge.functions.local import local_table
 from fleetgauge.functions.text import milli_text, whole_div
+from fleetgauge.operators import expiry as ep
 from fleetgauge.operators import labels as lb
 from fleetgauge.operators import store as st
 from fleetgauge.operators import thinning as th
@@ -15,6 +16,7 @@ from fleetgauge.plans.registry import job
 from fleetgauge.plans.stat_jobs import milli_text_sql
 from fleetgauge.sources import exposition as ex
 from fleetgauge.sources import logs as lg
+from fleetgauge.sources import prom as pm
 from fleetgauge.sources import reports as rp
 from fleetgauge.workdir import fresh_dir
 
@@ -80,6 +82,16 @@ def src_exposition_text(spark, sf):
     return ex.read_exposition(spark, path, FILE_PART)
 
 
+@job("src_prom_format", f"""
+    SELECT concat('instance=', instance, '/d=', d) AS file, name, 'counter' AS type, '{FAMILIES[1][3]}' AS help,
+      concat(name, '{{op="', op, '"}}') AS series_key, op, CAST(value_text AS DOUBLE) AS value FROM texts WHERE family_no = 2""",
+     "trans_report", SAMPLES)
+def src_prom_format(spark, sf):
+    path = fresh_dir(spark, "metrics")
+    ex.write_exposition(trans_lines(spark, sf), path, SCOPE)
+    return pm.read_samples(spark, path, [TOTAL], FILE_PART)
+
+
 @job("se_union_distinct", f"""
     SELECT concat(name, '{{op="', op, '"}} ', value_text) AS line FROM texts WHERE family_no = 1
     UNION SELECT concat(name, '{{op="', op, '"}} ', value_text) FROM texts WHERE family_no = 2""", "trans_report", SAMPLES)
@@ -180,6 +192,22 @@ def snk_retention(spark, sf):
     return st.retention(sizes, v.TO_US // DAY, KEEP_DAYS, KEEP_BYTES)
 
 
+@job("snk_retention_drop", f"""
+    SELECT event_id, day, line FROM (
+      SELECT event_id, epoch_us(ts) // {DAY} AS day, line, epoch_us(ts) // {DAY} >= {v.TO_US // DAY - KEEP_DAYS} AND
+        sum(strlen(line)) OVER (ORDER BY epoch_us(ts) // {DAY} DESC RANGE UNBOUNDED PRECEDING) <= {KEEP_BYTES} AS keep
+      FROM loglines JOIN events USING (event_id)) WHERE keep""", "loglines")
+def snk_retention_drop(spark, sf):
+    path = fresh_dir(spark, "retention")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    rows = v.loglines(spark, sf).select("event_id", "line", whole_div(F.col("ts_us"), DAY).alias("day"))
+    kept = ep.create(rows, table, path)
+    sizes = kept.select("day", F.octet_length("line").cast("bigint").alias("bytes"))
+    ep.retire(spark, table, st.retention(sizes, v.TO_US // DAY, KEEP_DAYS, KEEP_BYTES), v.TO_US)
+    ep.purge(spark, table, v.TO_US)
+    return spark.table(table).select("event_id", "day", "line")
+
+
 LATEST_SQL = """
     WITH u AS (SELECT concat(facility, '/', snapshot % 7) AS package, stat AS name, ts_us, event_id,
         CASE WHEN event_id % 11 <> 0 THEN value_milli END AS value, event_id % 50 = 3 AS wipe FROM stats WHERE facility IS NOT NULL),
